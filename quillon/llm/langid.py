@@ -46,8 +46,9 @@ def _joined(texts: list):
     """Chunks of lower-cased texts, joined by blanks, with the byte bounds of each."""
     for begin, end in chunks(texts):
         parts = [("" if t is None else t).lower() for t in texts[begin:end]]
-        lengths = np.array([len(p.encode("utf-8", "replace")) + 3 for p in parts])
-        yield "   ".join(parts) + "   ", np.concatenate([[0], np.cumsum(lengths)]), begin, end
+        # blanks on both sides, so that no trigram reaches into the next text
+        lengths = np.array([len(p.encode("utf-8", "replace")) + 4 for p in parts])
+        yield "".join(f"  {p}  " for p in parts), np.concatenate([[0], np.cumsum(lengths)]), begin, end
 
 
 def _count(languages: tuple):

@@ -92,13 +92,15 @@ line as (
 long_line as (select * from line where length(s) >= {linededup.MIN_CHARS}),
 kind as (select s, min(doc_id * 1000000 + number) as spot, length(s) as n from long_line group by s),
 half as (
-  select spot, s, n, cast(floor(n / 2) as bigint) as half_n from kind),
+  select spot, s, n, substr(s, 1, cast(floor(n / 2) as bigint)) as front, substr(s, cast(floor(n / 2) as bigint) + 1) as back from kind),
+probe as (
+  select spot, s, n as m, front, back from half
+  union all
+  select spot, s, n - 1, substr(s, 1, cast(floor((n - 1) / 2) as bigint)), substr(s, cast(floor((n - 1) / 2) as bigint) + 2) from kind),
 candidate as (
-  select x.spot as a, y.spot as b, x.s as s, y.s as t from half x join half y
-    on y.n in (x.n, x.n + 1) and substr(x.s, 1, x.half_n) = substr(y.s, 1, x.half_n) and x.spot <> y.spot
+  select x.spot as a, y.spot as b, x.s as s, y.s as t from half x join probe y on x.n = y.m and x.front = y.front and x.spot <> y.spot
   union
-  select x.spot, y.spot, x.s, y.s from half x join half y
-    on y.n in (x.n, x.n + 1) and substr(x.s, x.half_n + 1) = substr(y.s, y.n - (x.n - x.half_n) + 1) and x.spot <> y.spot),
+  select x.spot, y.spot, x.s, y.s from half x join probe y on x.n = y.m and x.back = y.back and x.spot <> y.spot),
 links as (select a, b from candidate where levenshtein(s, t) <= {linededup.MAX_EDITS}),
 both_ways as (select a, b from links union select b, a from links),
 nodes as (select distinct a as id from both_ways),
