@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_map, written
+
+#: Linear rounds at most before all pairs across components are checked, the
+#: number of such pairs for each member up to which they are checked at once, and
+#: the share of a round's checks that must succeed for another one.
+ROUNDS, PER_MEMBER, WORTH = 8, 4, 0.05
+#: Bytes of payload in one tile of the last step.
+TILE_BYTES = 4_000_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,44 +54,111 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first())
 
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Callable) -> DataFrame:
     """Components of the verified links among all pairs that share a bucket.
 
     ``members(bucket, id)`` may repeat rows. ``fetch(ids)`` gives
-    ``(id, payload)`` for a frame of ids; ``verify`` keeps the true links of a
-    frame ``(a, pa, b, pb)`` and returns ``(a, b)``. The result is
-    ``(node, root)`` as from :func:`connected_components`.
+    ``(id, payload)`` for a frame of ids. ``linked(left, right, ask)`` tells
+    which pairs of two lists of payloads are linked: ``ask`` is a Boolean matrix
+    of the pairs in question, or None for the pairs (0, 0), (1, 1) and so on; the
+    answer has its shape (or is a vector). The result is ``(node, root)`` as from
+    :func:`connected_components`.
 
     No bucket is expanded into all its pairs. First each member meets the
-    smallest one of its bucket; where a bucket's members then still lie in more
-    than one component, every pair across components is verified as well, all
-    but the largest component against the rest. Pairs inside a component need
-    no check. So the components are those of the complete graph of links.
+    smallest one of its bucket. While the members of buckets then still lie in
+    more than one component, and linear rounds help, each member outside its
+    bucket's largest component meets one more member of that, chosen by a hash.
+    At last, for each largest component, the members outside it in its buckets
+    are compared with it and with each other in tiles of bounded size, which
+    return links between components only. Pairs inside a component need no check,
+    so the components are those of the complete graph of links.
     """
     members = members.where("bucket is not null and id is not null")
     centres = members.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c <> d").select("bucket", "c")
     multi = written(members.join(centres, "bucket").select("bucket", "c", "id").distinct(), "buckets")
     payload = written(fetch(multi.select("id").distinct()), "payload")
 
+    def check(batch: pa.RecordBatch):
+        chosen = batch.filter(pa.array(linked(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), None), pa.bool_()))
+        yield chosen.column("a"), chosen.column("b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         left = payload.select(F.col("id").alias("a"), F.col("payload").alias("pa"))
         right = payload.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
-        return verify(pairs.join(right, "b").join(left, "a").select("a", "pa", "b", "pb"))
-
-    first = multi.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(first), "links")
-    roots = connected_components(links)
-
-    labelled = multi.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = (
-        sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "root")).alias("most")).where("k > 1").select("bucket", F.col("most.root").alias("major"))
+        return written(arrow_map(pairs.join(right, "b").join(left, "a").select("a", "pa", "b", "pb"), check, "a long, b long"), "links")
+
+    def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+    roots = connected_components(verified(multi.where("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()))
+    buckets, worth = multi.select("bucket", "id"), True
+    for turn in range(ROUNDS + 1):
+        labelled = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("one"))
+        mixed = (
+            sizes.groupBy("bucket")
+            .agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "root", "one")).alias("most"))
+            .where("k > 1")
+            .select("bucket", "all", F.col("most.root").alias("major"), F.col("most.one.id").alias("c"))
+        )
+        # a bucket within one component is settled for good
+        still = written(labelled.join(mixed, "bucket"), "mixed")
+        cost = still.agg(F.count("*").alias("members"), F.sum(F.when(F.col("root") != F.col("major"), F.col("all")).otherwise(0)).alias("pairs")).first()
+        if not cost["members"]:
+            return roots
+        if not worth or cost["pairs"] <= PER_MEMBER * cost["members"]:
+            break
+        pairs = still.where("root <> major").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        more = verified(pairs)
+        found = more.count()
+        worth = found > WORTH * pairs.count()
+        buckets = still.select("bucket", "id")
+        if found:
+            roots = merged(roots, more)
+            if not worth:
+                now = roots.withColumnRenamed("node", "id").withColumnRenamed("root", "fresh")
+                still = still.drop("root").join(now, "id", "left").withColumn("root", F.coalesce("fresh", "id")).drop("fresh")
+        if not worth:
+            break
+    more = written(_across(still.select("major", "id", "root").distinct(), payload, linked), "links")
+    return roots if more.isEmpty() else merged(roots, more)
+
+
+def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame:
+    """Links ``(a, b)`` between the roots of ``members(major, id, root)`` of a major."""
+    rows = members.withColumn("outside", F.col("root") != F.col("major")).join(payload, "id")
+    parts = rows.groupBy("major").agg(
+        *[F.ceil(F.sum(F.when(F.col("outside") == x, F.length("payload")).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))]
     )
-    open_ = written(labelled.join(mixed, "bucket"), "mixed")
-    minor = open_.where("root <> major").select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
-    rest = open_.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry"))
-    pairs = minor.join(rest, "bucket").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verified(pairs.join(first, ["a", "b"], "left_anti")), "links")
-    if more.isEmpty():
-        return roots
-    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    rows = rows.join(parts.where("outer > 0"), "major").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    part = F.col("part")
+    to = F.when(
+        F.col("outside"),
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.greatest(F.col("inner"), F.lit(1)) - 1), lambda j: place("in", part, j, 0)),
+            F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: place("out", F.least(part, j), F.greatest(part, j), 0)),
+        ),
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: place("in", i, part, 1)))
+    dealt = rows.withColumn("to", F.explode(to)).select("major", F.col("to.kind").alias("kind"), F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "part", "root", "payload")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        root = t.column("root").to_numpy()
+        data = t.column("payload").to_pylist()
+        if t.column("kind")[0].as_py() == "in":
+            side = t.column("side").to_numpy()
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        elif t.column("i")[0].as_py() == t.column("j")[0].as_py():
+            x = y = np.arange(len(root))
+        else:
+            own = t.column("part").to_numpy() == t.column("i")[0].as_py()
+            x, y = np.flatnonzero(own), np.flatnonzero(~own)
+        if not len(x) or not len(y):
+            return pa.table([[], []], schema=schema)
+        ask = root[x][:, None] != root[y][None, :]
+        i, j = np.nonzero(linked([data[k] for k in x], [data[k] for k in y], ask) & ask)
+        edges = np.unique(np.stack([root[x][i], root[y][j]], axis=1), axis=0)
+        return pa.table([edges[:, 0], edges[:, 1]], schema=schema)
+
+    return dealt.groupBy("major", "kind", "i", "j").applyInArrow(compare, "a long, b long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,11 +134,17 @@ def _texts(batch: pa.RecordBatch):
     yield ids, texts
 
 
-def _verify(edits: int):
-    def run(batch: pa.RecordBatch):
-        keep = [within(s, t, edits) for s, t in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)]
-        chosen = batch.filter(pa.array(keep, pa.bool_()))
-        yield chosen.column("a"), chosen.column("b")
+def _linked(edits: int):
+    def run(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
+        if ask is None:
+            return np.array([within(s, t, edits) for s, t in zip(left, right, strict=True)], bool)
+        out = np.zeros(ask.shape, bool)
+        if out.size:
+            sizes = np.array([len(t) for t in right])
+            for i, s in enumerate(left):
+                for j in np.flatnonzero(ask[i] & (abs(sizes - len(s)) <= edits)):
+                    out[i, j] = within(s, right[j], edits)
+        return out
 
     return run
 
@@ -183,7 +190,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = arrow_map(source.join(wanted, "id").select("text", "wanted"), _texts, "id long, payload string")
         return found.dropDuplicates(["id"])
 
-    roots = link(members, fetch, lambda pairs: arrow_map(pairs, _verify(edits), "a long, b long"))
+    roots = link(members, fetch, _linked(edits))
     labelled = lines.select("id", "number", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("id", "number", F.coalesce("root", "h").alias("root"))
     first = labelled.groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct("id", "number")).alias("at")).where("k > 1").select("root", "at")
     return (
@@ -207,14 +214,11 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows.
     """
     gone = repeated_lines(docs, id_col, text_col, edits, least).select(F.col("id").alias("__gone_id"), "gone")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    joined = docs.select(row.alias("row"), docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text")).join(gone, F.col("__id") == F.col("__gone_id"), "left")
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    schema = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
-    slim = docs.select(F.struct(*[docs[c] for c in kept]).alias("row")) if kept else None
-    if slim is not None:
-        schema = slim.schema["row"].dataType.simpleString()
-        joined = joined.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in kept]))
+    row = F.struct(*[docs[c] for c in kept]).alias("row")
+    slim = docs.select(row, docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"))
+    joined = slim.join(gone, F.col("__id") == F.col("__gone_id"), "left")
+    schema = slim.schema["row"].dataType.simpleString()
     out = arrow_map(joined.select("row", "text", "gone"), _rebuild, f"row {schema}, text string, n_lines long, n_removed long")
     columns = {c: F.col("row")[c] for c in kept} | {text_col: F.col("text")}
     return out.select(*[columns[c].alias(c) for c in docs.columns if c in columns], "n_lines", "n_removed")

@@ -106,23 +106,50 @@ def _sets(size: int, bands: int, rows: int):
     return run
 
 
-def _verify(percent: int, count: int):
+def _linked(percent: int, count: int):
     # An estimate from 240 minima has a standard deviation of 0.026 at 0.8; a
-    # pair 0.2 below the threshold is refused by its signature alone.
-    floor = count * max(0.0, percent / 100 - 0.2)
-
-    def run(batch: pa.RecordBatch):
-        keep = []
-        for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint8, count), np.frombuffer(y, np.uint8, count)
-            s, t = (len(x) - count) // 8, (len(y) - count) // 8
-            if 100 * min(s, t) < percent * max(s, t) or np.count_nonzero(p == q) < floor:
-                keep.append(False)
+    # pair 0.13 below the threshold is refused by its signature alone.
+    floor = count * max(0.0, percent / 100 - 0.13)
+
+    def sets(data: list) -> tuple[np.ndarray, list, np.ndarray]:
+        prints = np.stack([np.frombuffer(x, np.uint8, count) for x in data])
+        own = [np.frombuffer(x, np.uint64, (len(x) - count) // 8, count) for x in data]
+        return prints, own, np.array([len(x) for x in own], np.int64)
+
+    def run(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
+        if not left or not right:
+            return np.zeros(0 if ask is None else ask.shape, bool)
+        if ask is None:
+            out = np.zeros(len(left), bool)
+            for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                out[k] = pair(x, y)
+            return out
+        p, xs, nx = sets(left)
+        q, ys, ny = sets(right)
+        every, place = np.unique(np.concatenate(ys), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(ny)[:-1]])
+        out = np.zeros(ask.shape, bool)
+        flags = np.zeros(len(every) + 1, bool)
+        for i in range(len(left)):
+            maybe = ask[i] & (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny))
+            at = np.flatnonzero(maybe)
+            at = at[(q[at] == p[i]).sum(axis=1) >= floor]
+            if not len(at):
                 continue
-            both = len(np.intersect1d(np.frombuffer(x, np.uint64, s, count), np.frombuffer(y, np.uint64, t, count), assume_unique=True))
-            keep.append(100 * both >= percent * (s + t - both))
-        chosen = batch.filter(pa.array(keep, pa.bool_()))
-        yield chosen.column("a"), chosen.column("b")
+            spot = np.minimum(np.searchsorted(every, xs[i]), len(every) - 1)
+            spot = spot[every[spot] == xs[i]]
+            flags[spot] = True
+            both = np.add.reduceat(flags[place], starts)[at]
+            flags[spot] = False
+            out[i, at] = 100 * both >= percent * (nx[i] + ny[at] - both)
+        return out
+
+    def pair(x: bytes, y: bytes) -> bool:
+        s, t = (len(x) - count) // 8, (len(y) - count) // 8
+        if 100 * min(s, t) < percent * max(s, t) or np.count_nonzero(np.frombuffer(x, np.uint8, count) == np.frombuffer(y, np.uint8, count)) < floor:
+            return False
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64, s, count), np.frombuffer(y, np.uint64, t, count), assume_unique=True))
+        return 100 * both >= percent * (s + t - both)
 
     return run
 
@@ -157,10 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def fetch(ids: DataFrame) -> DataFrame:
         return arrow_map(source.join(ids, "id", "left_semi"), _sets(size, bands, rows), "id long, payload binary")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return arrow_map(pairs, _verify(percent, bands * rows), "a long, b long")
-
-    roots = link(members, fetch, verify)
+    roots = link(members, fetch, _linked(percent, bands * rows))
     return (
         rows_.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
