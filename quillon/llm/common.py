@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,13 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bound, in code points, of the text that one NumPy step works on.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
+#: Upper bound, in bytes, of the Arrow batches sent to Python workers.
+BATCH_BYTES = 4_000_000
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Put this package on the import path of the Python workers."""
+    """Put this package on the import path of the Python workers and bound their batches."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if BATCH_BYTES < int(spark.conf.get(size).rstrip("bB")):
+        spark.conf.set(size, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -55,6 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory of this worker back; it serves later stages, too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over batches; ``function`` maps one batch to batches."""
     out = to_arrow(df.sparkSession, schema)
@@ -65,6 +80,7 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out
                 )
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from .graph import link
 #: probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
 #: Words whose hashes a worker keeps.
-CACHE = 400_000
+CACHE = 131_072
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import to_arrow
+from .common import release, to_arrow
 
 #: Chunks whose ids a worker keeps.
 CACHE = 400_000
@@ -229,5 +229,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     yield rows()
         packer.finish()
         yield rows()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
