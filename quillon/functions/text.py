@@ -158,3 +158,67 @@ def said_yes(value: Column) -> Column:
 def joined(values: Column, sep: str = " ; ") -> Column:
     """All values that are not null."""
     return F.array_join(F.filter(values, lambda x: x.isNotNull()), sep)
+
+
+def snap_quote(quote: Column, source: Column) -> Column:
+    """A quote that begins or ends within a word, widened to whole words of its source."""
+    exact, folded = F.position(quote, source), F.position(F.lower(quote), F.lower(source))
+    at = F.when(exact > 0, exact).otherwise(folded)
+    before, after = F.substring(source, F.lit(1), at - 1), F.substring(source, at + F.length(quote), F.length(source))
+    head, rest = F.regexp_extract(before, r"[\p{L}\p{N}]*$", 0), F.regexp_extract(after, r"^[\p{L}\p{N}]*", 0)
+    wider = F.concat(head, F.substring(source, at, F.length(quote)), rest)
+    return F.when((at > 0) & (quote != "") & (F.length(wider) > F.length(quote)), wider).otherwise(quote)
+
+
+_STRING = r'"((?:[^"\\]++|\\.)*+)'
+
+
+def json_string(value: Column, name: str) -> Column:
+    """A string member of a JSON text that may be cut off, even within that string."""
+    whole, cut = (F.regexp_extract_all(value, F.lit(rf'(?s)"{name}"\s*:\s*{_STRING}{end}'), F.lit(1)) for end in ('"', "$"))
+    raw = F.coalesce(F.try_element_at(whole, F.lit(1)), F.try_element_at(cut, F.lit(1)))
+    return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "v string")["v"], raw)
+
+
+def json_part(value: Column, name: str) -> Column:
+    """The flat object of a member, up to its brace or the end of a text that is cut off."""
+    pattern = rf'(?s)"{name}"\s*:\s*(\{{(?:[^"{{}}]++|{_STRING}(?:"|$))*+)'
+    return F.try_element_at(F.regexp_extract_all(value, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
+def repair_verdict(value: Column) -> Column:
+    """A verdict out of a JSON text that is cut off; null without an id or a first category."""
+
+    def category(name: str) -> Column:
+        part = json_part(value, name)
+        field = json_string(part, "evidence_field")
+        quote = F.coalesce(F.nullif(json_string(part, "evidence_quote"), F.lit("")), F.lit("(truncated)"))
+        whole = F.struct(json_string(part, "category").alias("category"), quote.alias("evidence_quote"), F.when(field.isin("title", "abstract"), field).otherwise("abstract").alias("evidence_field"))
+        return F.when(F.coalesce(json_string(part, "category"), F.lit("")) != "", whole)
+
+    none = F.coalesce(value.rlike(r'"secondary"\s*:\s*null'), F.lit(False))
+    text_or = lambda name, default: F.coalesce(F.nullif(json_string(value, name), F.lit("")), F.lit(default)).alias(name)
+    out = F.struct(
+        json_string(value, "record_id").alias("record_id"),
+        text_or("doi", ""),
+        category("primary").alias("primary"),
+        F.when(~none, category("secondary")).alias("secondary"),
+        text_or("confidence", "high"),
+        text_or("reasoning", "(reasoning truncated during emit)"),
+    )
+    return F.when((F.coalesce(json_string(value, "record_id"), F.lit("")) != "") & category("primary").isNotNull(), out)
+
+
+def notebook_text(value: Column) -> Column:
+    """P10: the cells and plain outputs of a notebook; null for a text that is no JSON."""
+    book = F.try_parse_json(value)
+    many = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    lines = lambda v, path: F.coalesce(F.array_join(F.try_variant_get(v, path, "array<string>"), ""), F.try_variant_get(v, path, "string"), F.lit(""))
+
+    def parts(cell: Column) -> Column:
+        kind, body = F.try_variant_get(cell, "$.cell_type", "string"), lines(cell, "$.source")
+        own = F.when(kind.isin("markdown", "code") & (F.trim(F.regexp_replace(body, r"\s+", " ")) != ""), F.concat(F.lit("["), kind, F.lit(" cell]\n"), body))
+        shown = F.transform(many(cell, "$.outputs"), lambda o: F.concat(F.lit("[output]\n"), F.nullif(lines(o, "$.data['text/plain']"), F.lit(""))))
+        return F.array_compact(F.concat(F.array(own), shown))
+
+    return F.when(book.isNotNull(), F.array_join(F.flatten(F.transform(many(book, "$.cells"), parts)), "\n\n"))

@@ -74,12 +74,13 @@ def positional_join(left: DataFrame, right: DataFrame, key: str, pos: str) -> Da
 
 
 def union_first(streams: list[DataFrame], key: str) -> DataFrame:
-    """Streams in order; a key's first stream, then its first row, wins."""
+    """Streams in order; a key's first stream wins, and the smallest of its rows there."""
     all_rows = None
     for i, s in enumerate(streams):
         s = s.withColumn("stream", F.lit(i))
         all_rows = s if all_rows is None else all_rows.unionByName(s, allowMissingColumns=True)
-    return all_rows
+    rest = [c for c in all_rows.columns if c not in (key, "stream")]
+    return all_rows.groupBy(key).agg(F.min(F.struct("stream", *rest)).alias("__m")).select(key, "__m.*")
 
 
 def contains_blocked(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id: str, probe: str, words: int = 8) -> DataFrame:

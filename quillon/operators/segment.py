@@ -49,29 +49,76 @@ def windows(df: DataFrame, key: str, text: str, size: int, overlap: int) -> Data
     return df.where(n > 0).select(key, F.posexplode(starts).alias("chunk", "start"), F.col(text).alias("__t")).select(key, "chunk", "start", F.substring(F.col("__t"), F.col("start") + 1, F.lit(size)).alias("body"))
 
 
-def plan_pages(page_rows: DataFrame, key: str, ceiling: int, overlap: int = 1) -> DataFrame:
-    """Greedy runs of pages under a token ceiling with an overlap of pages.
+def plan_pages(page_rows: DataFrame, key: str, ceiling: int, overlap: int = 1, sections: DataFrame | None = None, tail: float = 0.1) -> DataFrame:
+    """Greedy runs of pages under a token ceiling with an overlap of pages.
 
     ``page_rows(key, page, char_start, char_end)``; a page counts 1600 tokens and a
-    quarter for each character."""
+    quarter for each character. With ``sections(key, start)``, a run ends before the
+    page of the last section that begins in its final ``tail``, be it the last run.
+    A document that fits into one run is not cut."""
+
+    snap = sections is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page").reset_index(drop=True)
-        out, i, n = [], 0, len(pdf)
-        cost = lambda a, b: int(1600 * (b - a + 1) + 0.25 * (pdf.char_end[b] - pdf.char_start[a]))
-        while i < n:
+        first, last, n = pdf.char_start.tolist(), pdf.char_end.tolist(), len(pdf)
+        breaks = [] if not snap or pdf["__breaks"][0] is None else sorted(pdf["__breaks"][0])
+        cost = lambda a, b: int(1600 * (b - a + 1) + 0.25 * (last[b] - first[a]))
+
+        def end_of(i: int) -> int:
             j = i
             while j + 1 < n and cost(i, j + 1) <= ceiling:
                 j += 1
+            near = [b for b in breaks if last[j] - tail * (last[j] - first[i]) <= b <= last[j]]
+            if j == i or not near or (i == 0 and cost(0, n - 1) <= ceiling):
+                return j
+            home = next((k for k in range(i, j + 1) if first[k] <= near[-1] < last[k]), j + 1)
+            return max(i, home - 1)
+
+        out, i = [], 0
+        while i < n:
+            j = end_of(i)
             out.append((pdf[key][0], len(out), int(pdf.page[i]), int(pdf.page[j]), cost(i, j)))
-            if j + 1 >= n:
-                break
-            i = max(i + 1, j + 1 - overlap)
+            i = n if j + 1 >= n else max(i + 1, j + 1 - overlap)
         return pd.DataFrame(out, columns=[key, "chunk", "page_start", "page_end", "est_tokens"])
 
+    if snap:
+        page_rows = page_rows.join(sections.groupBy(key).agg(F.collect_list("start").alias("__breaks")), key, "left")
     return page_rows.groupBy(key).applyInPandas(run, f"{key} long, chunk long, page_start long, page_end long, est_tokens long")
 
 
+def pack_units(units: DataFrame, key: str, order: str, source: str, text: str, images: str, image_limit: int, char_limit: int, overlap: int = 2000) -> DataFrame:
+    """Files of a paper in runs of bounded images and characters.
+
+    A file beyond a bound is cut into runs of its own, whose texts overlap by
+    ``overlap`` characters or half a run at most. Each file begins with a line
+    that names it; a null text is empty, a null list of images too."""
+    step = max(1, char_limit - min(overlap, char_limit // 2))
+    cut = lambda xs, size, by: [xs[i : i + size] for i in range(0, len(xs), by)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, texts, shots = [], [], []
+        for u in pdf.sort_values(order).itertuples(index=False):
+            body = f"===== FILE: {getattr(u, source)} =====\n" + (getattr(u, text) or "")
+            found = getattr(u, images)
+            found = [] if found is None else list(found)
+            big = len(body) > char_limit or len(found) > image_limit
+            if (texts or shots) and (big or sum(map(len, texts)) + len(body) > char_limit or len(shots) + len(found) > image_limit):
+                out.append((texts, shots))
+                texts, shots = [], []
+            if big:
+                a, b = cut(body, char_limit, step), cut(found, image_limit, image_limit)
+                out += [(a[k : k + 1], b[k] if k < len(b) else []) for k in range(max(len(a), len(b)))]
+            else:
+                texts, shots = [*texts, body], [*shots, *found]
+        if texts or shots:
+            out.append((texts, shots))
+        return pd.DataFrame([(pdf[key][0], i, t, s) for i, (t, s) in enumerate(out)], columns=[key, "chunk", "texts", "images"])
+
+    kind = units.schema[key].dataType.simpleString()
+    return units.select(key, order, source, text, images).groupBy(key).applyInPandas(run, f"{key} {kind}, chunk long, texts array<string>, images array<string>")
+
+
 def rebuild(df: DataFrame, key: str, order: str, body: str, sep: str = "\f") -> DataFrame:
     """Bodies joined in order."""
     return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, body))), lambda x: x[body]), sep).alias("text"))

@@ -323,8 +323,7 @@ def union_first_wins(spark, d):
     """Three streams, the first to name a key wins."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    u = link.union_first([c.where("key % 2 = 0"), s, c], "key")
-    return u.groupBy("key").agg(F.min(F.struct("stream", "name")).alias("m")).select("key", F.col("m.name").alias("name"), F.col("m.stream").alias("stream"))
+    return link.union_first([c.where("key % 2 = 0"), s, c], "key").select("key", "name", "stream")
 
 
 @query("""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.validate import route
 
@@ -14,16 +15,15 @@ def ingest(spark: SparkSession, folder: str, schema, validate: Callable[[DataFra
     """Reads new files of ``folder``, validates, keeps rows with new keys in ``table``.
 
     Keys are never forgotten: each micro-batch is joined with the table itself.
-    A batch that is run again after a failure finds its own keys there with its
-    batch number, and writes only what is missing."""
+    Each batch overwrites a folder of its own and sees only earlier ones, so that
+    a batch that is run again after a failure writes the same rows again."""
 
     def step(batch: DataFrame, number: int) -> None:
         checked = validate(batch)
-        history = spark.read.parquet(table) if _exists(spark, table) else None
-        routed = route(checked, history if history is not None else checked.limit(0), key, order=order).withColumn("batch", F.lit(number))
-        kept = routed.where("route = 'keep'")
-        kept.write.mode("append").parquet(table)
-        routed.where("route <> 'keep'").write.mode("append").parquet(quarantine)
+        history = spark.read.schema(StructType([*checked.schema, StructField("batch", LongType())])).parquet(table).where(F.col("batch") < number) if _exists(spark, table) else checked.limit(0)
+        routed = route(checked, history, key, order=order)
+        routed.where("route = 'keep'").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        routed.where("route <> 'keep'").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     query = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
