@@ -14,7 +14,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def best_value(df: DataFrame, keys: list[str], value: str, score: Column, order: str) -> DataFrame:
     """The best-scored value of a key; ties go to the first seen."""
-    return df.groupBy(*keys).agg(F.min_by(F.col(value), F.struct((-score).alias("s"), F.col(order).alias("o"))).alias(value), F.max(score).alias("score"))
+    # a column of its own, so that both aggregates share one computation
+    scored = df.withColumn("__score", score)
+    return scored.groupBy(*keys).agg(F.min_by(F.col(value), F.struct((-F.col("__score")).alias("s"), F.col(order).alias("o"))).alias(value), F.max("__score").alias("score"))
 
 
 def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
