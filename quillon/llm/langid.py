@@ -212,6 +212,13 @@ def identify_pages(pages: DataFrame, model: np.ndarray, languages: tuple = LANGU
 
 
 def keep_identified(docs: DataFrame, accept: tuple | None = None, languages: tuple = LANGUAGES) -> DataFrame:
-    """``docs`` without the rows whose language is not accepted, all columns kept."""
-    gone = identify_documents(docs, languages, accept=accept).where("not accepted").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs`` without the rows whose language is not accepted, all columns kept.
+
+    Rows are told apart by a number written with them, so ids may be null or
+    repeat: a rejected row takes no other row with it. Texts move by that number
+    only, never by host.
+    """
+    source = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    model = fit(document_rows(source), languages)
+    gone = fuse(document_rows(source, id_col="__row"), model, languages, accept=accept).where("not accepted").select(F.col("id").alias("__gone"))
+    return source.join(gone, source["__row"] == gone["__gone"], "left_anti").drop("__row")

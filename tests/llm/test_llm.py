@@ -151,6 +151,14 @@ def test_language(spark):
     assert {r["id"]: r["lang"] for r in langid.identify_pages(pages, model).collect()}[1] == "fr"
 
 
+def test_language_rejects_single_rows(spark):
+    good = "the and of to with this that"
+    rows = [(None, good), (None, "123"), (None, None), (None, good), (7, good), (7, "456"), (8, good)]
+    d = spark.createDataFrame([(i, t, "en", "s", n, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    kept = langid.keep_identified(d)
+    assert kept.columns == d.columns and sorted(r["row"] for r in kept.collect()) == ["0", "3", "4", "6"]
+
+
 def test_toxicity_held_out(spark):
     got = queries.op7_toxicity(spark, SF.replace("0.001", "0.01")).toPandas()
     labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").toPandas()
