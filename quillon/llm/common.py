@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,25 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Put this package on the import path of the Python workers and bound their batches."""
+    """Send this package to the Python workers and bound their batches.
+
+    The package goes as an archive through Spark's own file service, so that
+    hosts need share no folder with the driver."""
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if BATCH_BYTES < int(spark.conf.get(size).rstrip("bB")):
         spark.conf.set(size, str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    sc = spark.sparkContext
+    if getattr(sc, "_quillon_sent", False):
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quillon-")), "quillon.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(_ROOT, "quillon")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, _ROOT))
+    sc.addPyFile(archive)
+    sc._quillon_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a point that survives the loss of any executor.
-    The folder goes when the session ends.
+    The folder goes when the session ends, or with :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}-{name}"
@@ -58,7 +71,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`written` wrote; only for frames that nothing unwritten reads any more."""
+    for df in frames:
+        path = getattr(df, "_quillon_path", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, discard, written
 
 #: Linear rounds at most before all pairs across components are checked, the
 #: number of such pairs for each member up to which they are checked at once, and
@@ -26,28 +26,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``root`` is the smallest node it reaches. Nodes that are roots or have no
     edges are absent. Null ends and loops are ignored; repeated edges count
     once; no edges give no rows. Each round takes a partially aggregated
-    minimum for each node and joins it back, so that a node with very many
-    neighbours is neither gathered in one task nor collected.
+    minimum for each node, writes it and joins it back: as the minima are a table
+    of their own, a node with very many neighbours can be split between tasks.
     """
     current = written(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct(), "edges"
     )
     seen = _fingerprint(current)
-    while True:
+    while seen[0]:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             current.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo"))).distinct()
-        )
-        current = written(small, "edges")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        down = written(large.groupBy("hi").agg(F.min("lo").alias("lo")), "down")
+        lower = down.withColumnRenamed("lo", "m")
+        small = large.join(lower, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down).distinct()
+        before, current = current, written(small, "edges")
         now = _fingerprint(current)
+        discard(before, least, large, down)
         if now == seen:
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            break
         seen = now
+    return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -74,7 +75,8 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Ca
     so the components are those of the complete graph of links.
     """
     members = members.where("bucket is not null and id is not null")
-    centres = members.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c <> d").select("bucket", "c")
+    # tables of their own, so that a bucket or class with very many members can be split between tasks
+    centres = written(members.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c <> d").select("bucket", "c"), "centres")
     multi = written(members.join(centres, "bucket").select("bucket", "c", "id").distinct(), "buckets")
     payload = written(fetch(multi.select("id").distinct()), "payload")
 
@@ -95,11 +97,12 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Ca
     for turn in range(ROUNDS + 1):
         labelled = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("one"))
-        mixed = (
+        mixed = written(
             sizes.groupBy("bucket")
             .agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "root", "one")).alias("most"))
             .where("k > 1")
-            .select("bucket", "all", F.col("most.root").alias("major"), F.col("most.one.id").alias("c"))
+            .select("bucket", "all", F.col("most.root").alias("major"), F.col("most.one.id").alias("c")),
+            "major",
         )
         # a bucket within one component is settled for good
         still = written(labelled.join(mixed, "bucket"), "mixed")
@@ -108,7 +111,7 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Ca
             return roots
         if not worth or cost["pairs"] <= PER_MEMBER * cost["members"]:
             break
-        pairs = still.where("root <> major").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct()
+        pairs = written(still.where("root <> major").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "pairs")
         more = verified(pairs)
         found = more.count()
         worth = found > WORTH * pairs.count()
@@ -120,17 +123,18 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Ca
                 still = still.drop("root").join(now, "id", "left").withColumn("root", F.coalesce("fresh", "id")).drop("fresh")
         if not worth:
             break
-    more = written(_across(still.select("major", "id", "root").distinct(), payload, linked), "links")
+    left = written(still.select("major", "id", "root").distinct(), "left")
+    more = written(_across(left, payload, linked), "links")
     return roots if more.isEmpty() else merged(roots, more)
 
 
 def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame:
     """Links ``(a, b)`` between the roots of ``members(major, id, root)`` of a major."""
-    rows = members.withColumn("outside", F.col("root") != F.col("major")).join(payload, "id")
+    rows = written(members.withColumn("outside", F.col("root") != F.col("major")).join(payload, "id"), "across")
     parts = rows.groupBy("major").agg(
         *[F.ceil(F.sum(F.when(F.col("outside") == x, F.length("payload")).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))]
     )
-    rows = rows.join(parts.where("outer > 0"), "major").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
+    rows = rows.join(written(parts.where("outer > 0"), "parts"), "major").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     part = F.col("part")
     to = F.when(

@@ -176,8 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = written(
         arrow_map(source, _describe(size, bands, rows), "id long, n long, hi long, lo long, keys array<long>"), "signatures"
     )
-    classes = info.where("hi is not null and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"))
-    rows_ = info.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
+    classes = written(info.where("hi is not null and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
     owners = classes.select(F.col("rep").alias("id"), "hi", "lo")
     members = info.join(owners, ["id", "hi", "lo"], "left_semi").select(F.explode("keys").alias("bucket"), "id")
 
@@ -185,9 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return arrow_map(source.join(ids, "id", "left_semi"), _sets(size, bands, rows), "id long, payload binary")
 
     roots = link(members, fetch, _linked(percent, bands * rows))
+    # classes meet their components first; then each document joins a table of its own, so that a class of very many copies can be split between tasks
+    named = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component")), "components")
     return (
-        rows_.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+        info.select("id", "n", "hi", "lo")
+        .join(named, ["hi", "lo"], "left")
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
