@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,12 +13,23 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 from .graph import link
 
-#: Edits between two lines that count as the same line.
-MAX_EDITS = 1
-#: Lines shorter than this (code points, without outer white space) are left alone.
-MIN_CHARS = 20
+#: Lines of fewer code points (without outer white space) repeat only if they are equal.
+NEAR_CHARS = 20
+#: Lines of so many words are compared by words, shorter ones by characters.
+NEAR_WORDS = 20
+#: Characters that may differ between two shorter lines.
+CHAR_EDITS = 1
+#: Word edits between longer lines: one for each so many words of the shorter line, up to a limit.
+WORDS_PER_EDIT, MOST_WORD_EDITS = 20, 3
 #: Lines whose keys a task remembers, so that a frequent line sends them once.
 REMEMBER = 200_000
+#: Words whose hashes a worker keeps.
+CACHE = 400_000
+
+
+def word_edits(words: int) -> int:
+    """Word edits that a line of so many words allows."""
+    return min(MOST_WORD_EDITS, words // WORDS_PER_EDIT) if words >= NEAR_WORDS else 0
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -31,25 +44,72 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, edits: int) -> set[int]:
-    """Hashes of the segments of ``line`` and of the substrings to probe.
+def probes(size: int, edits) -> list[tuple[int, int, int, int]]:
+    """(indexed length, segment, start, length) of what a line of ``size`` symbols sends.
 
-    Two lines within ``edits`` edits share a key: the shorter one is indexed by
-    its segments, and the longer one probes, for each length it may meet, the
-    substrings whose shift leaves enough edits on either side.
+    ``edits(length)`` is the budget of an indexed line of that length, which is
+    split into one more segment than that. Two lines within the shorter one's
+    budget share a key: the shorter one is indexed by its segments, and the
+    longer one probes, for each length it may meet, the substrings whose shift
+    leaves enough edits on either side.
     """
-    size, out = len(line), set()
-    for length in range(max(edits + 1, size - edits), size + 1):
-        delta = size - length
-        for i, (p, n) in enumerate(segments(length, edits)):
-            left, right = i, edits - i
-            for at in range(max(0, p - left, p + delta - right), min(size - n, p + left, p + delta + right) + 1):
-                out.add(xxhash.xxh3_64_intdigest(line[at : at + n].encode("utf-8", "replace"), (length * (edits + 1) + i) & 0xFFFFFFFF) - 2**63)
+    out, length = [], size
+    while length > 0 and size - length <= MOST_WORD_EDITS:
+        most, delta = edits(length), size - length
+        if delta <= most and length > most:
+            for i, (p, n) in enumerate(segments(length, most)):
+                left, right = i, most - i
+                for at in range(max(0, p - left, p + delta - right), min(size - n, p + left, p + delta + right) + 1):
+                    out.append((length, i, at, n))
+        length -= 1
     return out
 
 
-def within(s: str, t: str, most: int) -> bool:
-    """Whether the edit distance of two strings is at most ``most``.
+@functools.lru_cache(maxsize=4096)
+def _char_probes(size: int) -> list:
+    return probes(size, lambda n: CHAR_EDITS if n >= NEAR_CHARS else -1)
+
+
+@functools.lru_cache(maxsize=4096)
+def _word_probes(size: int) -> list:
+    return probes(size, lambda n: word_edits(n) or -1)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
+        return value
+
+
+_hashes = _Hashes()
+
+
+def keys(line: str) -> set[int]:
+    """Hashes of the segments of ``line`` and of the substrings to probe, by characters and by words."""
+    words = line.split()
+    out = set()
+    if len(line) >= NEAR_CHARS and len(words) <= NEAR_WORDS:  # one blank more may make one word more
+        for length, i, at, n in _char_probes(len(line)):
+            out.add(xxhash.xxh3_64_intdigest(line[at : at + n].encode("utf-8", "replace"), length * 8 + i & 0xFFFFFFFF) - 2**63)
+    if len(words) >= NEAR_WORDS:
+        joined = b"".join(map(_hashes.__getitem__, words))
+        for length, i, at, n in _word_probes(len(words)):
+            out.add(xxhash.xxh3_64_intdigest(joined[8 * at : 8 * (at + n)], 2**40 + length * 8 + i) - 2**63)
+    return out
+
+
+def alike(s: str, t: str, u: list[str], v: list[str]) -> bool:
+    """Whether two lines, with their words, count as the same."""
+    few = min(len(u), len(v))
+    if few >= NEAR_WORDS:
+        return within(u, v, word_edits(few))
+    return min(len(s), len(t)) >= NEAR_CHARS and within(s, t, CHAR_EDITS)
+
+
+def within(s, t, most: int) -> bool:
+    """Whether the edit distance of two strings, or lists of words, is at most ``most``.
 
     Common ends are cut off; the rest goes through a bit-parallel band of
     ``2 * most + 1`` diagonals: bit d of row k tells whether k edits reach
@@ -73,7 +133,7 @@ def within(s: str, t: str, most: int) -> bool:
         return True
     # bit d stands for the diagonal j - i = d - most
     width = (1 << (2 * most + 1)) - 1
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, c in enumerate(t):
         where[c] = where.get(c, 0) | 1 << (j + most)
     rows = [0] * (most + 1)
@@ -98,11 +158,11 @@ def within(s: str, t: str, most: int) -> bool:
     return any(r >> end & 1 for r in rows)
 
 
-def _lines(edits: int, least: int):
+def _lines(least: int):
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch):
-        ids, numbers, hashes, probes = [], [], [], []
+        ids, numbers, hashes, sent = [], [], [], []
         for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for number, line in enumerate(text.split("\n") if text else ()):
                 line = line.strip()
@@ -111,13 +171,13 @@ def _lines(edits: int, least: int):
                 h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - 2**63
                 ids.append(doc), numbers.append(number), hashes.append(h)
                 if h in seen:
-                    probes.append(None)
+                    sent.append(None)
                     continue
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(h)
-                probes.append(list(keys(line, edits)))
-        yield ids, numbers, hashes, probes
+                sent.append(list(keys(line)) or None)
+        yield ids, numbers, hashes, sent
 
     return run
 
@@ -134,19 +194,21 @@ def _texts(batch: pa.RecordBatch):
     yield ids, texts
 
 
-def _linked(edits: int):
-    def run(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
-        if ask is None:
-            return np.array([within(s, t, edits) for s, t in zip(left, right, strict=True)], bool)
-        out = np.zeros(ask.shape, bool)
-        if out.size:
-            sizes = np.array([len(t) for t in right])
-            for i, s in enumerate(left):
-                for j in np.flatnonzero(ask[i] & (abs(sizes - len(s)) <= edits)):
-                    out[i, j] = within(s, right[j], edits)
-        return out
-
-    return run
+def _linked(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
+    us, vs = [s.split() for s in left], [t.split() for t in right]
+    if ask is None:
+        return np.array([alike(*x) for x in zip(left, right, us, vs, strict=True)], bool)
+    out = np.zeros(ask.shape, bool)
+    if out.size:
+        chars, words = np.array([len(t) for t in right]), np.array([len(v) for v in vs])
+        for i, (s, u) in enumerate(zip(left, us, strict=True)):
+            if len(u) >= NEAR_WORDS:
+                near = (abs(words - len(u)) <= MOST_WORD_EDITS) | (abs(chars - len(s)) <= CHAR_EDITS)
+            else:
+                near = abs(chars - len(s)) <= CHAR_EDITS
+            for j in np.flatnonzero(ask[i] & near):
+                out[i, j] = alike(s, right[j], u, vs[j])
+    return out
 
 
 def _rebuild(batch: pa.RecordBatch):
@@ -165,21 +227,24 @@ def _rebuild(batch: pa.RecordBatch):
     yield batch.column("row"), texts, totals, dropped
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """The lines to remove: ``id`` and ``gone``, an array of line numbers from 0.
 
-    Lines are split at line feeds and compared without outer white space. Lines
-    of ``least`` code points or more that are joined by chains of at most
-    ``edits`` edits form a class; the class's first line, by document id and
-    line number, stays and every other one goes.
+    Lines are split at line feeds and compared without outer white space; blank
+    lines stay. Equal lines of ``least`` code points or more repeat each other at
+    any length. Lines of at least ``NEAR_WORDS`` words do so, too, within one word
+    edit for each ``WORDS_PER_EDIT`` words of the shorter one, three at most;
+    shorter lines of at least ``NEAR_CHARS`` code points within ``CHAR_EDITS``
+    characters. Lines joined by chains of such pairs form a class; its first
+    line, by document id and line number, stays and every other one goes.
 
     A line is known by a 64-bit hash; equal lines therefore meet before any
     comparison, and only one of them is compared.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(arrow_map(source, _lines(edits, least), "id long, number long, h long, probes array<long>"), "lines")
-    members = lines.where("probes is not null").select(F.explode("probes").alias("bucket"), F.col("h").alias("id"))
-    places = lines.groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"))
+    lines = written(arrow_map(source, _lines(least), "id long, number long, h long, sent array<long>"), "lines")
+    members = lines.where("sent is not null").select(F.explode("sent").alias("bucket"), F.col("h").alias("id"))
+    places = written(lines.groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"), F.count("*").alias("k")), "places")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = (
@@ -190,19 +255,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = arrow_map(source.join(wanted, "id").select("text", "wanted"), _texts, "id long, payload string")
         return found.dropDuplicates(["id"])
 
-    roots = link(members, fetch, _linked(edits))
-    labelled = lines.select("id", "number", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("id", "number", F.coalesce("root", "h").alias("root"))
-    first = labelled.groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct("id", "number")).alias("at")).where("k > 1").select("root", "at")
-    return (
-        labelled.join(first, "root")
-        .where("id <> at.id or number <> at.number")
-        .groupBy("id")
-        .agg(F.collect_set("number").alias("gone"))
-    )
+    roots = link(members, fetch, _linked).withColumnRenamed("node", "h")
+    known = places.join(roots, "h", "left").select("h", "at", "k", F.coalesce("root", "h").alias("root"))
+    first = known.groupBy("root").agg(F.sum("k").alias("all"), F.min("at").alias("first")).where("all > 1").select("root", "first")
+    # one row for each repeated line, in a table of its own, so that a line that stands everywhere can be split between tasks
+    stays = written(known.join(first, "root").select("h", "first"), "repeated")
+    gone = lines.select("id", "number", "h").join(stays, "h").where("id <> first.id or number <> first.number")
+    return gone.groupBy("id").agg(F.collect_set("number").alias("gone"))
 
 
-def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines removed from the text.
+def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """``docs`` with repeated lines removed from the text (see :func:`repeated_lines`).
 
     All columns stay, ``text_col`` is rewritten, and ``n_lines`` and
     ``n_removed`` are added (replacing columns of these names).
@@ -213,7 +276,7 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lose the same numbers. Very long lines are compared whole. An empty table
     gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, edits, least).select(F.col("id").alias("__gone_id"), "gone")
+    gone = repeated_lines(docs, id_col, text_col, least).select(F.col("id").alias("__gone_id"), "gone")
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     row = F.struct(*[docs[c] for c in kept]).alias("row")
     slim = docs.select(row, docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"))

@@ -83,30 +83,55 @@ nodes as (select distinct a as id from both_ways),
 select d.doc_id, coalesce(sized.n, 0) as n_shingles, coalesce(c.component, d.doc_id) as component_id, coalesce(c.component, d.doc_id) = d.doc_id as kept
 from documents d left join sized on sized.doc_id = d.doc_id left join component c on c.id = d.doc_id"""
 
+# white space of the lines' ends and between words, as Unicode has it (fixed value)
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 _OP2 = rf"""
 with recursive split as (
   select doc_id, text, string_split(text, chr(10)) as ls from documents),
 line as (
-  select doc_id, i - 1 as number, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)) as s
+  select doc_id, i - 1 as number, regexp_replace(regexp_replace(ls[i], '^{_BLANKS}', ''), '{_BLANKS}$', '') as s
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from split)),
-long_line as (select * from line where length(s) >= {linededup.MIN_CHARS}),
-kind as (select s, min(doc_id * 1000000 + number) as spot, length(s) as n from long_line group by s),
+some_line as (select * from line where s <> ''),
+kind as (
+  select s, min(doc_id * 1000000 + number) as spot, length(s) as n, regexp_split_to_array(s, '{_BLANKS}') as w from some_line group by s),
+small as (select * from kind where n >= {linededup.NEAR_CHARS} and len(w) <= {linededup.NEAR_WORDS}),
 half as (
-  select spot, s, n, substr(s, 1, cast(floor(n / 2) as bigint)) as front, substr(s, cast(floor(n / 2) as bigint) + 1) as back from kind),
-probe as (
-  select spot, s, n as m, front, back from half
+  select spot, s, n, w, substr(s, 1, cast(floor(n / 2) as bigint)) as front, substr(s, cast(floor(n / 2) as bigint) + 1) as back from small),
+shorter as (
+  select spot, s, w, n as m, front, back from half
   union all
-  select spot, s, n - 1, substr(s, 1, cast(floor((n - 1) / 2) as bigint)), substr(s, cast(floor((n - 1) / 2) as bigint) + 2) from kind),
+  select spot, s, w, n - 1, substr(s, 1, cast(floor((n - 1) / 2) as bigint)), substr(s, cast(floor((n - 1) / 2) as bigint) + 2) from small),
 candidate as (
-  select x.spot as a, y.spot as b, x.s as s, y.s as t from half x join probe y on x.n = y.m and x.front = y.front and x.spot <> y.spot
+  select x.spot as a, y.spot as b, x.s as s, y.s as t from half x join shorter y on x.n = y.m and x.front = y.front and x.spot <> y.spot where least(len(x.w), len(y.w)) < {linededup.NEAR_WORDS}
+  union
+  select x.spot, y.spot, x.s, y.s from half x join shorter y on x.n = y.m and x.back = y.back and x.spot <> y.spot where least(len(x.w), len(y.w)) < {linededup.NEAR_WORDS}),
+big as (
+  select spot, w, len(w) as n from kind where len(w) >= {linededup.NEAR_WORDS}),
+budget as (
+  select spot, w, n, m, least({linededup.MOST_WORD_EDITS}, m // {linededup.WORDS_PER_EDIT}) as k from (select spot, w, n, unnest(range(greatest({linededup.NEAR_WORDS}, n - {linededup.MOST_WORD_EDITS}), n + 1)) as m from big)),
+part as (
+  select spot, w, n, m, k, i, i * (m // (k + 1)) + greatest(0, i - (k + 1 - m % (k + 1))) as p, m // (k + 1) + case when i >= k + 1 - m % (k + 1) then 1 else 0 end as c
+  from (select *, unnest(range(0, k + 1)) as i from budget where n - m <= k)),
+segment as (select spot, n, k, i, array_to_string(w[p + 1:p + c], ' ') as word_run from part where n = m),
+probe as (
+  select spot, m, i, array_to_string(w[q + 1:q + c], ' ') as word_run from (select *, unnest(range(greatest(0, p - k), least(n - c, p + k) + 1)) as q from part)),
+near(a, b, s, t, k) as (
+  select distinct x.spot, y.spot, x.w, y.w, z.k from segment z join probe y0 on z.n = y0.m and z.i = y0.i and z.word_run = y0.word_run and z.spot <> y0.spot
+    join big x on x.spot = z.spot join big y on y.spot = y0.spot
+  union
+  select a, b, case when g in (0, 2) then s[c + 2:] else s[c + 1:] end, case when g in (1, 2) then t[c + 2:] else t[c + 1:] end, k - 1
+  from (select *, coalesce(list_position(list_transform(range(1, least(len(s), len(t)) + 1), lambda i: s[i] <> t[i]), true) - 1, least(len(s), len(t))) as c from near) q, (values (0), (1), (2)) v(g)
+  where k > 0 and c < least(len(s), len(t))),
+links as (
+  select a, b from candidate where levenshtein(s, t) <= {linededup.CHAR_EDITS}
   union
-  select x.spot, y.spot, x.s, y.s from half x join probe y on x.n = y.m and x.back = y.back and x.spot <> y.spot),
-links as (select a, b from candidate where levenshtein(s, t) <= {linededup.MAX_EDITS}),
+  select a, b from near where abs(len(s) - len(t)) <= k and coalesce(list_position(list_transform(range(1, least(len(s), len(t)) + 1), lambda i: s[i] <> t[i]), true) - 1, least(len(s), len(t))) = least(len(s), len(t))),
 both_ways as (select a, b from links union select b, a from links),
 nodes as (select distinct a as id from both_ways),
 {_COMPONENTS},
 gone as (
-  select l.doc_id, list(l.number) as numbers from long_line l join kind k on k.s = l.s left join component c on c.id = k.spot
+  select l.doc_id, list(l.number) as numbers from some_line l join kind k on k.s = l.s left join component c on c.id = k.spot
   where coalesce(c.component, k.spot) <> l.doc_id * 1000000 + l.number group by l.doc_id)
 select d.doc_id, coalesce(len(d.ls), 0) as n_lines, coalesce(len(g.numbers), 0) as n_removed,
   length(r.t) as n_chars_kept, md5(r.t) as text_md5

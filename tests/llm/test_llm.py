@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF, same
 from quillon.llm import decontaminate, embedding, html, langid, license, linededup, minhash, packing, ppm, queries, toxicity
@@ -44,16 +45,28 @@ def test_within_is_the_edit_distance():
 
 def test_close_lines_share_a_key():
     rng = random.Random(4)
-    for _ in range(1500):
-        s = "".join(rng.choice("abc") for _ in range(rng.randint(6, 14)))
-        t = list(s)
-        for _ in range(rng.randint(0, 2)):
+
+    def changed(xs, alphabet, times):
+        t = list(xs)
+        for _ in range(times):
             i, what = rng.randrange(len(t)), rng.choice("ids")
-            t[i : i + (what != "i")] = [] if what == "d" else [rng.choice("abc")]
-        t = "".join(t)
-        for k in (1, 2):
-            if edit(s, t) <= k and min(len(s), len(t)) > k:
-                assert linededup.keys(s, k) & linededup.keys(t, k)
+            t[i : i + (what != "i")] = [] if what == "d" else [rng.choice(alphabet)]
+        return t
+
+    linked = 0
+    for _ in range(1500):
+        s = "".join(rng.choice("abc ") for _ in range(rng.randint(18, 30))).strip()
+        t = "".join(changed(s, "abc ", rng.randint(0, 2))).strip()
+        u = [rng.choice("abcd") for _ in range(rng.randint(18, 90))]
+        v = changed(u, "abcd", rng.randint(0, 4))
+        for x, y in ((s, t), (" ".join(u), " ".join(v))):
+            few = min(len(x.split()), len(y.split()))
+            near = edit(x.split(), y.split()) <= linededup.word_edits(few) if few >= 20 else min(len(x), len(y)) >= 20 and edit(x, y) <= 1
+            assert linededup.alike(x, y, x.split(), y.split()) == near
+            if near:
+                assert linededup.keys(x) & linededup.keys(y)
+                linked += x != y
+    assert linked > 500
 
 
 def test_minhash_edges(spark):
@@ -85,12 +98,25 @@ def test_minhash_chain_needs_the_last_step(spark):
 
 def test_line_dedup_edges(spark):
     line = "this is a line that is long enough"
-    texts = [f"{line}\nshort\nunique line number one here", f"short\n{line}x\nother words fill this line up", None, "", line]
+    long = " ".join(f"word{i}" for i in range(45))
+    texts = [f"{line}\nshort\nunique line number one here", f"short\n{line}x\n\nother words fill this line up", None, "", line, long, long.replace("word7 ", "").replace("word30", "w"), long.replace("word9 ", "x y z ")]
     out = {r["doc_id"]: r for r in linededup.dedupe_lines(docs(spark, texts)).collect()}
     assert out[0]["text"] == texts[0] and out[0]["n_removed"] == 0
-    assert out[1]["text"] == "short\nother words fill this line up" and out[1]["n_lines"] == 3
+    assert out[1]["text"] == "\nother words fill this line up" and out[1]["n_lines"] == 4 and out[1]["n_removed"] == 2
     assert out[2]["text"] is None and out[3]["text"] == "" and out[4]["text"] == "" and out[4]["keys"] == "x"
+    assert out[5]["text"] == long and out[6]["text"] == "" and out[7]["text"] == texts[7]
     assert linededup.dedupe_lines(docs(spark, texts).limit(0)).count() == 0
+    again = linededup.dedupe_lines(docs(spark, [line, None]).unionByName(docs(spark, [line])).withColumn("n_lines", F.lit("clash"))).collect()
+    assert sorted((str(r["text"]), r["n_removed"]) for r in again) == [("None", 0), (line, 0), (line, 0)]
+    nulls = docs(spark, [line, line]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r["text"] for r in linededup.dedupe_lines(nulls).collect()] == [line, line]
+
+
+def test_line_dedup_splits_nothing_by_hash_order(spark):
+    # one line in very many documents, and a very long one
+    texts = ["common line of every text\nown %d" % i for i in range(300)] + ["y" * 200_000, "y" * 200_000 + "z"]
+    out = linededup.dedupe_lines(docs(spark, texts)).collect()
+    assert sum("common" in r["text"] for r in out) == 1 and sum(len(r["text"]) > 1000 for r in out) == 1
 
 
 def test_html_layout():
