@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, written
+from .common import arrow_map, discard, release, to_arrow, written
 
 #: Linear rounds at most before all pairs across components are checked, the
 #: number of such pairs for each member up to which they are checked at once, and
 #: the share of a round's checks that must succeed for another one.
 ROUNDS, PER_MEMBER, WORTH = 8, 4, 0.05
-#: Bytes of payload in one tile of the last step.
-TILE_BYTES = 4_000_000
+#: Bytes of payload in one tile of the last step, and what each member counts besides.
+TILE_BYTES, TILE_MEMBER = 4_000_000, 4_000
+#: Keys that a task groups before it sends them, and keys of one slice of their range.
+TASK_KEYS, SLICE_KEYS = 1 << 21, 1 << 18
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -55,18 +57,94 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first())
 
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Callable) -> DataFrame:
-    """Components of the verified links among all pairs that share a bucket.
+def _groups(key: np.ndarray, id_: np.ndarray) -> tuple:
+    """Sorted keys with their ids, the first place of each key, and its least and greatest id."""
+    order = np.argsort(key)
+    key, id_ = key[order], id_[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    if not len(first):
+        return key, id_, first, id_, id_
+    return key, id_, first, np.minimum.reduceat(id_, first), np.maximum.reduceat(id_, first)
 
-    ``members(bucket, id)`` may repeat rows. ``fetch(ids)`` gives
+
+def _shared(key, id_, first, least, most) -> tuple:
+    """(key, least id, id) of the keys that two ids or more have, each id once."""
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    several = np.repeat(least != most, size)
+    key, centre, id_ = key[several], np.repeat(least, size)[several], id_[several]
+    order = np.lexsort((id_, key))
+    key, centre, id_ = key[order], centre[order], id_[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])]) if len(key) else np.empty(0, bool)
+    return key[new].view(np.int64), centre[new], id_[new]
+
+
+def stars(keyed: DataFrame) -> DataFrame:
+    """``(bucket, c, id)``: each id with a smaller one, or itself, as centre, for each key that ids share.
+
+    ``keyed(id, keys)`` has a list of 64-bit keys for each id and may repeat rows.
+    A task groups its keys before it sends them, so that a key leaves it once,
+    with its least id; keys travel as packed slices of their range, whose number
+    grows with the input. The ids of a key are thus joined over two levels of
+    centres, and no key is gathered with all its ids in one task.
+    """
+    total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = max(6, min(20, int(total // SLICE_KEYS).bit_length() + 1))
+    shift = np.uint64(64 - bits)
+    schema = "part int, keys binary, ids binary, bucket binary, c binary, id binary"
+    arrow, out = to_arrow(keyed.sparkSession, schema), "bucket long, c long, id long"
+
+    def packed(held: list) -> pa.RecordBatch:
+        g = _groups(*map(np.concatenate, zip(*held, strict=True)))
+        key, least = g[0][g[2]], g[3]
+        edges = np.searchsorted(key >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(edges))
+        rows = [(int(p), key[edges[p] : edges[p + 1]].tobytes(), least[edges[p] : edges[p + 1]].tobytes(), None, None, None) for p in some]
+        rows.append((None, None, None, *(x.tobytes() for x in _shared(*g))))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in batches:
+            lists = batch.column("keys")
+            flat = np.asarray(lists.flatten(), np.int64).view(np.uint64)
+            held.append((flat, np.repeat(np.asarray(batch.column("id")), np.diff(np.asarray(lists.offsets)))))
+            n += len(flat)
+            if n >= TASK_KEYS:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+        release()
+
+    sent = written(keyed.where("id is not null and keys is not null").select("id", "keys").mapInArrow(pack, schema), "keys")
+
+    def unpack(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            yield [np.frombuffer(row[x], np.int64) for x in ("bucket", "c", "id")]
+
+    names = to_arrow(keyed.sparkSession, out)
+
+    def gather(t: pa.Table) -> pa.Table:
+        key, id_ = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind) for x, kind in (("keys", np.uint64), ("ids", np.int64)))
+        return pa.table(list(_shared(*_groups(key, id_))), schema=names)
+
+    within = arrow_map(sent.where("part is null").select("bucket", "c", "id"), unpack, out)
+    between = sent.where("part is not null").select("part", "keys", "ids").groupBy("part").applyInArrow(gather, out)
+    return written(within.unionByName(between).distinct(), "buckets")
+
+
+def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Callable) -> DataFrame:
+    """Components of the verified links among all pairs that share a key.
+
+    ``keyed(id, keys)`` is as for :func:`stars`. ``fetch(ids)`` gives
     ``(id, payload)`` for a frame of ids. ``linked(left, right, ask)`` tells
     which pairs of two lists of payloads are linked: ``ask`` is a Boolean matrix
     of the pairs in question, or None for the pairs (0, 0), (1, 1) and so on; the
     answer has its shape (or is a vector). The result is ``(node, root)`` as from
     :func:`connected_components`.
 
-    No bucket is expanded into all its pairs. First each member meets the
-    smallest one of its bucket. While the members of buckets then still lie in
+    No bucket is expanded into all its pairs. First each member meets a centre
+    of its bucket. While the members of buckets then still lie in
     more than one component, and linear rounds help, each member outside its
     bucket's largest component meets one more member of that, chosen by a hash.
     At last, for each largest component, the members outside it in its buckets
@@ -74,10 +152,7 @@ def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Ca
     return links between components only. Pairs inside a component need no check,
     so the components are those of the complete graph of links.
     """
-    members = members.where("bucket is not null and id is not null")
-    # tables of their own, so that a bucket or class with very many members can be split between tasks
-    centres = written(members.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c <> d").select("bucket", "c"), "centres")
-    multi = written(members.join(centres, "bucket").select("bucket", "c", "id").distinct(), "buckets")
+    multi = stars(keyed)
     payload = written(fetch(multi.select("id").distinct()), "payload")
 
     def check(batch: pa.RecordBatch):
@@ -132,7 +207,7 @@ def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFra
     """Links ``(a, b)`` between the roots of ``members(major, id, root)`` of a major."""
     rows = written(members.withColumn("outside", F.col("root") != F.col("major")).join(payload, "id"), "across")
     parts = rows.groupBy("major").agg(
-        *[F.ceil(F.sum(F.when(F.col("outside") == x, F.length("payload")).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))]
+        *[F.ceil(F.sum(F.when(F.col("outside") == x, F.length("payload") + TILE_MEMBER).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))]
     )
     rows = rows.join(written(parts.where("outer > 0"), "parts"), "major").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -66,38 +67,84 @@ def probes(size: int, edits) -> list[tuple[int, int, int, int]]:
 
 
 @functools.lru_cache(maxsize=4096)
-def _char_probes(size: int) -> list:
-    return probes(size, lambda n: CHAR_EDITS if n >= NEAR_CHARS else -1)
+def _char_probes(size: int) -> np.ndarray:
+    return np.array(probes(size, lambda n: CHAR_EDITS if n >= NEAR_CHARS else -1), np.int64).reshape(-1, 4)
 
 
 @functools.lru_cache(maxsize=4096)
-def _word_probes(size: int) -> list:
-    return probes(size, lambda n: word_edits(n) or -1)
+def _word_probes(size: int) -> np.ndarray:
+    return np.array(probes(size, lambda n: word_edits(n) or -1), np.int64).reshape(-1, 4)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
+        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return value
 
 
 _hashes = _Hashes()
-
-
-def keys(line: str) -> set[int]:
-    """Hashes of the segments of ``line`` and of the substrings to probe, by characters and by words."""
-    words = line.split()
-    out = set()
-    if len(line) >= NEAR_CHARS and len(words) <= NEAR_WORDS:  # one blank more may make one word more
-        for length, i, at, n in _char_probes(len(line)):
-            out.add(xxhash.xxh3_64_intdigest(line[at : at + n].encode("utf-8", "replace"), length * 8 + i & 0xFFFFFFFF) - 2**63)
-    if len(words) >= NEAR_WORDS:
-        joined = b"".join(map(_hashes.__getitem__, words))
-        for length, i, at, n in _word_probes(len(words)):
-            out.add(xxhash.xxh3_64_intdigest(joined[8 * at : 8 * (at + n)], 2**40 + length * 8 + i) - 2**63)
-    return out
+#: An odd multiplier, its inverse modulo 2**64, and a mixer.
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+@functools.lru_cache(maxsize=64)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _runs(symbols: np.ndarray, sizes: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sequences of symbols that are joined in one array: (sequence number, key).
+
+    The hash of a run is the difference of two prefix sums of symbols times
+    powers of a base, moved back by the base's inverse."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.empty(0, np.int64)
+    most = 1 << int(max(sizes, default=1)).bit_length()
+    up, down = _powers(_BASE, most), _powers(_INVERSE, most)
+    place = np.arange(len(symbols)) - np.repeat(starts, sizes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * up[place], dtype=np.uint64)])
+    which, out = [], []
+    for size in np.unique(sizes):
+        probe = table(int(size))
+        if not len(probe):
+            continue
+        rows = np.flatnonzero(sizes == size)
+        length, i, at, n = probe.T
+        s = starts[rows][:, None]
+        h = (total[s + (at + n)] - total[s + at]) * down[at] + ((length * 8 + i).astype(np.uint64) * _MIX)
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        out.append((h ^ (h >> np.uint64(29))).ravel())
+        which.append(np.repeat(rows, len(probe)))
+    return (np.concatenate(which), np.concatenate(out)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def keys_of(lines: list[str]) -> list:
+    """For each line the hashes of its segments and of the substrings to probe, by characters and by words."""
+    words = [line.split() for line in lines]
+    count = np.array([len(w) for w in words], np.int64)
+    size = np.array([len(x) for x in lines], np.int64)
+    short = np.flatnonzero((size >= NEAR_CHARS) & (count <= NEAR_WORDS))  # one blank more may make one word more
+    long = np.flatnonzero(count >= NEAR_WORDS)
+    letters = np.frombuffer("".join([lines[i] for i in short]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    letters = (letters + np.uint64(1)) * np.uint64(_BASE)
+    a, x = _runs((letters ^ (letters >> np.uint64(27))) * _MIX, size[short], _char_probes)
+    flat = itertools.chain.from_iterable(words[i] for i in long)
+    b, y = _runs(np.fromiter(map(_hashes.__getitem__, flat), np.uint64, int(count[long].sum())), count[long], _word_probes)
+    which, key = np.concatenate([short[a], long[b]]), np.concatenate([x, y ^ np.uint64(1)])
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(len(lines) + 1))
+    key = key[order].view(np.int64)
+    return [key[i:j] if j > i else None for i, j in itertools.pairwise(cuts)]
+
+
+def sketch(words: list[str]) -> np.ndarray:
+    """256 parities of the words' counts: each word edit changes two of them at most."""
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) & np.uint64(255)
+    return np.packbits(np.bincount(h.astype(np.int64), minlength=256) & 1).view(np.uint64)
 
 
 def alike(s: str, t: str, u: list[str], v: list[str]) -> bool:
@@ -162,21 +209,22 @@ def _lines(least: int):
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch):
-        ids, numbers, hashes, sent = [], [], [], []
+        ids, numbers, hashes, fresh, new = [], [], [], [], []
         for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for number, line in enumerate(text.split("\n") if text else ()):
                 line = line.strip()
                 if len(line) < least:
                     continue
                 h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - 2**63
+                if h not in seen:
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
+                    seen.add(h)
+                    fresh.append(len(ids)), new.append(line)
                 ids.append(doc), numbers.append(number), hashes.append(h)
-                if h in seen:
-                    sent.append(None)
-                    continue
-                if len(seen) >= REMEMBER:
-                    seen.clear()
-                seen.add(h)
-                sent.append(list(keys(line)) or None)
+        sent = [None] * len(ids)
+        for i, k in zip(fresh, keys_of(new), strict=True):
+            sent[i] = k
         yield ids, numbers, hashes, sent
 
     return run
@@ -201,12 +249,15 @@ def _linked(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
     out = np.zeros(ask.shape, bool)
     if out.size:
         chars, words = np.array([len(t) for t in right]), np.array([len(v) for v in vs])
+        prints = np.stack([sketch(v) for v in vs])
         for i, (s, u) in enumerate(zip(left, us, strict=True)):
+            near = abs(chars - len(s)) <= CHAR_EDITS
             if len(u) >= NEAR_WORDS:
-                near = (abs(words - len(u)) <= MOST_WORD_EDITS) | (abs(chars - len(s)) <= CHAR_EDITS)
-            else:
-                near = abs(chars - len(s)) <= CHAR_EDITS
-            for j in np.flatnonzero(ask[i] & near):
+                near |= abs(words - len(u)) <= MOST_WORD_EDITS
+            at = np.flatnonzero(ask[i] & near)
+            # an edit of a character that is a blank takes one word and gives two, or the other way round
+            at = at[np.bitwise_count(prints[at] ^ sketch(u)).sum(axis=1) <= np.maximum(2 * MOST_WORD_EDITS, 3)] if len(at) else at
+            for j in at:
                 out[i, j] = alike(s, right[j], u, vs[j])
     return out
 
@@ -243,7 +294,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = written(arrow_map(source, _lines(least), "id long, number long, h long, sent array<long>"), "lines")
-    members = lines.where("sent is not null").select(F.explode("sent").alias("bucket"), F.col("h").alias("id"))
+    keyed = lines.where("sent is not null").select(F.col("h").alias("id"), F.col("sent").alias("keys"))
     places = written(lines.groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"), F.count("*").alias("k")), "places")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -255,7 +306,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = arrow_map(source.join(wanted, "id").select("text", "wanted"), _texts, "id long, payload string")
         return found.dropDuplicates(["id"])
 
-    roots = link(members, fetch, _linked).withColumnRenamed("node", "h")
+    roots = link(keyed, fetch, _linked).withColumnRenamed("node", "h")
     known = places.join(roots, "h", "left").select("h", "at", "k", F.coalesce("root", "h").alias("root"))
     first = known.groupBy("root").agg(F.sum("k").alias("all"), F.min("at").alias("first")).where("all > 1").select("root", "first")
     # one row for each repeated line, in a table of its own, so that a line that stands everywhere can be split between tasks

@@ -178,12 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = written(info.where("hi is not null and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep")), "classes")
     owners = classes.select(F.col("rep").alias("id"), "hi", "lo")
-    members = info.join(owners, ["id", "hi", "lo"], "left_semi").select(F.explode("keys").alias("bucket"), "id")
+    keyed = info.join(owners, ["id", "hi", "lo"], "left_semi").select("id", "keys")
 
     def fetch(ids: DataFrame) -> DataFrame:
         return arrow_map(source.join(ids, "id", "left_semi"), _sets(size, bands, rows), "id long, payload binary")
 
-    roots = link(members, fetch, _linked(percent, bands * rows))
+    roots = link(keyed, fetch, _linked(percent, bands * rows))
     # classes meet their components first; then each document joins a table of its own, so that a class of very many copies can be split between tasks
     named = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component")), "components")
     return (
