@@ -130,13 +130,15 @@ def stars(keyed: DataFrame) -> DataFrame:
 
     within = arrow_map(sent.where("part is null").select("bucket", "c", "id"), unpack, out)
     between = sent.where("part is not null").select("part", "keys", "ids").groupBy("part").applyInArrow(gather, out)
-    return written(within.unionByName(between).distinct(), "buckets")
+    multi = written(within.unionByName(between).distinct(), "buckets")
+    discard(sent)
+    return multi
 
 
-def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Callable) -> DataFrame:
+def link(multi: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Callable) -> DataFrame:
     """Components of the verified links among all pairs that share a key.
 
-    ``keyed(id, keys)`` is as for :func:`stars`. ``fetch(ids)`` gives
+    ``multi(bucket, c, id)`` is what :func:`stars` gives. ``fetch(ids)`` gives
     ``(id, payload)`` for a frame of ids. ``linked(left, right, ask)`` tells
     which pairs of two lists of payloads are linked: ``ask`` is a Boolean matrix
     of the pairs in question, or None for the pairs (0, 0), (1, 1) and so on; the
@@ -152,7 +154,6 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Call
     return links between components only. Pairs inside a component need no check,
     so the components are those of the complete graph of links.
     """
-    multi = stars(keyed)
     payload = written(fetch(multi.select("id").distinct()), "payload")
 
     def check(batch: pa.RecordBatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
-from .graph import link
+from .common import arrow_map, discard, written
+from .graph import link, stars
 
 #: Lines of fewer code points (without outer white space) repeat only if they are equal.
 NEAR_CHARS = 20
@@ -24,8 +25,6 @@ CHAR_EDITS = 1
 WORDS_PER_EDIT, MOST_WORD_EDITS = 20, 3
 #: Lines whose keys a task remembers, so that a frequent line sends them once.
 REMEMBER = 200_000
-#: Words whose hashes a worker keeps.
-CACHE = 400_000
 
 
 def word_edits(words: int) -> int:
@@ -76,15 +75,32 @@ def _word_probes(size: int) -> np.ndarray:
     return np.array(probes(size, lambda n: word_edits(n) or -1), np.int64).reshape(-1, 4)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return value
+#: Bytes between words, and the other white space of Unicode.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A random value of each byte.
+_VALUES = np.random.RandomState(11).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines, joined, and how many words each line has."""
+    joined = "\n".join(lines) + "\n"
+    if _ODD.search(joined):
+        joined = _ODD.sub(" ", joined)
+    b = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+    blank = _BLANK[b]
+    start = np.flatnonzero(np.concatenate([[True], blank[:-1]]) & ~blank)
+    end = np.flatnonzero(blank & ~np.concatenate([[True], blank[:-1]]))
+    inside = np.flatnonzero(~blank)
+    size = end - start
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    power = _powers(_BASE, 1 << int(max(size.max(initial=1), 1)).bit_length())
+    h = np.add.reduceat(_VALUES[b[inside]] * power[place], np.cumsum(size) - size) if len(size) else np.empty(0, np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    count = np.diff(np.searchsorted(start, np.concatenate([[0], np.flatnonzero(b == 10) + 1])))
+    return h ^ (h >> np.uint64(29)), count
 
 
-_hashes = _Hashes()
 #: An odd multiplier, its inverse modulo 2**64, and a mixer.
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -124,16 +140,14 @@ def _runs(symbols: np.ndarray, sizes: np.ndarray, table) -> tuple[np.ndarray, np
 
 def keys_of(lines: list[str]) -> list:
     """For each line the hashes of its segments and of the substrings to probe, by characters and by words."""
-    words = [line.split() for line in lines]
-    count = np.array([len(w) for w in words], np.int64)
+    hashes, count = words_of(lines)
     size = np.array([len(x) for x in lines], np.int64)
     short = np.flatnonzero((size >= NEAR_CHARS) & (count <= NEAR_WORDS))  # one blank more may make one word more
     long = np.flatnonzero(count >= NEAR_WORDS)
     letters = np.frombuffer("".join([lines[i] for i in short]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     letters = (letters + np.uint64(1)) * np.uint64(_BASE)
     a, x = _runs((letters ^ (letters >> np.uint64(27))) * _MIX, size[short], _char_probes)
-    flat = itertools.chain.from_iterable(words[i] for i in long)
-    b, y = _runs(np.fromiter(map(_hashes.__getitem__, flat), np.uint64, int(count[long].sum())), count[long], _word_probes)
+    b, y = _runs(hashes[np.repeat(count >= NEAR_WORDS, count)], count[long], _word_probes)
     which, key = np.concatenate([short[a], long[b]]), np.concatenate([x, y ^ np.uint64(1)])
     order = np.argsort(which, kind="stable")
     cuts = np.searchsorted(which[order], np.arange(len(lines) + 1))
@@ -141,10 +155,12 @@ def keys_of(lines: list[str]) -> list:
     return [key[i:j] if j > i else None for i, j in itertools.pairwise(cuts)]
 
 
-def sketch(words: list[str]) -> np.ndarray:
-    """256 parities of the words' counts: each word edit changes two of them at most."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) & np.uint64(255)
-    return np.packbits(np.bincount(h.astype(np.int64), minlength=256) & 1).view(np.uint64)
+def sketches(lines: list[str]) -> np.ndarray:
+    """256 parities of each line's words' counts: a word edit changes two of them at most."""
+    hashes, count = words_of(lines)
+    cell = np.repeat(np.arange(len(lines)), count) * 256 + (hashes >> np.uint64(56)).astype(np.int64)
+    odd = np.bincount(cell, minlength=256 * len(lines)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64).reshape(len(lines), 4)
 
 
 def alike(s: str, t: str, u: list[str], v: list[str]) -> bool:
@@ -249,14 +265,16 @@ def _linked(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
     out = np.zeros(ask.shape, bool)
     if out.size:
         chars, words = np.array([len(t) for t in right]), np.array([len(v) for v in vs])
-        prints = np.stack([sketch(v) for v in vs])
+        mine, prints = sketches(left), sketches(right)
         for i, (s, u) in enumerate(zip(left, us, strict=True)):
             near = abs(chars - len(s)) <= CHAR_EDITS
             if len(u) >= NEAR_WORDS:
                 near |= abs(words - len(u)) <= MOST_WORD_EDITS
             at = np.flatnonzero(ask[i] & near)
-            # an edit of a character that is a blank takes one word and gives two, or the other way round
-            at = at[np.bitwise_count(prints[at] ^ sketch(u)).sum(axis=1) <= np.maximum(2 * MOST_WORD_EDITS, 3)] if len(at) else at
+            # a character that is a blank, edited, takes one word and gives two, or the other way round
+            few = np.minimum(words[at], len(u))
+            most = np.where(few >= NEAR_WORDS, 2 * np.minimum(MOST_WORD_EDITS, few // WORDS_PER_EDIT), 3)
+            at = at[np.bitwise_count(prints[at] ^ mine[i]).sum(axis=1) <= most]
             for j in at:
                 out[i, j] = alike(s, right[j], u, vs[j])
     return out
@@ -293,8 +311,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comparison, and only one of them is compared.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(arrow_map(source, _lines(least), "id long, number long, h long, sent array<long>"), "lines")
-    keyed = lines.where("sent is not null").select(F.col("h").alias("id"), F.col("sent").alias("keys"))
+    found = written(arrow_map(source, _lines(least), "id long, number long, h long, sent array<long>"), "lines")
+    multi = stars(found.where("sent is not null").select(F.col("h").alias("id"), F.col("sent").alias("keys")))
+    lines = written(found.select("id", "number", "h"), "lines")
+    discard(found)
     places = written(lines.groupBy("h").agg(F.min(F.struct("id", "number")).alias("at"), F.count("*").alias("k")), "places")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -306,7 +326,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = arrow_map(source.join(wanted, "id").select("text", "wanted"), _texts, "id long, payload string")
         return found.dropDuplicates(["id"])
 
-    roots = link(keyed, fetch, _linked).withColumnRenamed("node", "h")
+    roots = link(multi, fetch, _linked).withColumnRenamed("node", "h")
     known = places.join(roots, "h", "left").select("h", "at", "k", F.coalesce("root", "h").alias("root"))
     first = known.groupBy("root").agg(F.sum("k").alias("all"), F.min("at").alias("first")).where("all > 1").select("root", "first")
     # one row for each repeated line, in a table of its own, so that a line that stands everywhere can be split between tasks

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, written
-from .graph import link
+from .graph import link, stars
 
 #: 240 minima in 40 bands of 6: a pair at similarity 0.8 shares no band with
 #: probability (1 - 0.8**6)**40 = 5e-6.
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def fetch(ids: DataFrame) -> DataFrame:
         return arrow_map(source.join(ids, "id", "left_semi"), _sets(size, bands, rows), "id long, payload binary")
 
-    roots = link(keyed, fetch, _linked(percent, bands * rows))
+    roots = link(stars(keyed), fetch, _linked(percent, bands * rows))
     # classes meet their components first; then each document joins a table of its own, so that a class of very many copies can be split between tasks
     named = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component")), "components")
     return (
