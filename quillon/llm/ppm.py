@@ -8,15 +8,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, written
+from .common import arrow_map, chunks, discard, written
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Edges (context, symbol) of one order that the trie holds: the most frequent
-#: ones, by a count threshold that all rows determine. Bounds what is broadcast.
-MAX_EDGES = 1 << 20
-#: Words whose counts every task gets; counts of all others are joined.
-HEAD_WORDS = 1 << 17
+#: Byte sequences and words whose values every task gets, the most frequent ones;
+#: the values of all others are joined.
+HEAD_CODES, HEAD_WORDS = 1 << 20, 1 << 17
 #: Byte that ends a text and stands before its start.
 END = 0
 
@@ -51,36 +49,92 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _grams(batch: pa.RecordBatch):
-    """Counts of the longest contexts with their next symbol, of training texts."""
-    texts = [t for t, h in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True) if not h]
-    parts = []
-    for begin, end in chunks(texts, 2_000_000):
-        joined, at, _ = _bytes_of(texts[begin:end])
-        parts.append(np.unique(_codes(joined, at), return_counts=True))
-        if len(parts) >= 8:
-            parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
-    if parts:
-        code, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-        yield code.astype(np.int64), n
-
-
-def edges_of(grams: DataFrame, order: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The trie's edges of one order: codes (context, symbol) and counts.
-
-    Counts below ``2**least``, the cut of the next shorter order, are left out,
-    and the cut rises until at most ``most`` edges are left. It is taken from
-    the counts of counts, so all rows determine it.
+    """Longest contexts with their next symbol: how often in training texts (n) and in all (m)."""
+    texts, held = batch.column("text").to_pylist(), batch.column("held").to_pylist()
+    for kind in (False, True):
+        own, parts = [t for t, h in zip(texts, held, strict=True) if h == kind], []
+        for begin, end in chunks(own, 2_000_000):
+            joined, at, _ = _bytes_of(own[begin:end])
+            parts.append(np.unique(_codes(joined, at), return_counts=True))
+            if len(parts) >= 8:
+                parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+        if parts:
+            code, m = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+            yield code.astype(np.int64), np.zeros_like(m) if kind else m, m
+
+
+def _order(code: Column, k: int) -> Column:
+    """The last ``k`` bytes of the context and the symbol."""
+    return F.pmod(code, F.lit(256 ** (k + 1))) if k < ORDER else code
+
+
+def code_values(grams: DataFrame) -> DataFrame:
+    """``(code, m, value)``: log10 probability of the symbol of each code after its context.
+
+    ``grams(code, n, m)`` are the distinct codes of all texts. The trie is a
+    table of edges (context, symbol) with counts for each order, and one of
+    nodes; no edge is left out. Escapes are estimated by method C: in a context
+    seen T times with D distinct symbols a symbol seen c times has c / (T + D)
+    and an escape D / (T + D). After an escape the symbols of the context left
+    are excluded. As the symbols of a context are among those of its suffix, what
+    is excluded at one level depends only on the context just left: its D, and
+    the sum S of the counts that its symbols have in the suffix. A node therefore
+    holds T, D and S. Below the empty context the symbols never seen are alike.
+
+    A code seen in training has its value at the longest context. The others go
+    down the orders, each by a join with that order's nodes and edges; the two
+    shortest orders have at most 256 and 65,536 edges and are broadcast.
     """
-    e = grams if order == ORDER else written(grams.groupBy((F.col("code") % F.lit(256 ** (order + 1))).alias("code")).agg(F.sum("n").alias("n")), "edges")
-    sizes = {int(r[0]): r[1] for r in e.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
-    total = sum(v for k, v in sizes.items() if k >= least)
-    while total > most:
-        total -= sizes.get(least, 0)
-        least += 1
-    got = e.where(F.col("n") >= 2**least).select("code", "n").toArrow().combine_chunks()
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    by = np.argsort(code)
-    return code[by].astype(np.uint64), n[by].astype(np.float64), least
+    edges = {ORDER: grams.where("n > 0").select("code", "n")}
+    for k in range(ORDER - 1, -1, -1):
+        edges[k] = written(edges[k + 1].groupBy(_order(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n")), "edges")
+    nodes = {}
+    for k in range(ORDER + 1):
+        e = edges[k].withColumn("ctx", F.expr("code div 256"))
+        if k:
+            below = edges[k - 1].select(F.col("code").alias("suffix"), F.col("n").alias("s"))
+            e = e.withColumn("suffix", _order(F.col("code"), k - 1)).join(F.broadcast(below) if k < 3 else below, "suffix")
+        else:
+            e = e.withColumn("s", F.lit(0).cast("long"))
+        nodes[k] = written(e.groupBy("ctx").agg(F.sum("n").cast("double").alias("T"), F.count("*").cast("double").alias("D"), F.sum("s").cast("double").alias("S")), "nodes")
+    seen = grams.where("n > 0").withColumn("ctx", F.expr("code div 256")).join(nodes[ORDER], "ctx").select("code", "m", F.log10(F.col("n") / (F.col("T") + F.col("D"))).alias("value"))
+    zero = F.lit(0.0)
+    todo = grams.where("n = 0").select("code", "m", F.lit(None).cast("double").alias("value"), zero.alias("escaped"), zero.alias("gone_s"), zero.alias("gone_d"))
+    for k in range(ORDER, -1, -1):
+        node, edge = nodes[k], edges[k].select(F.col("code").alias("edge"), F.col("n").alias("c"))
+        if k < 2:
+            node, edge = F.broadcast(node), F.broadcast(edge)
+        todo = todo.withColumn("ctx", F.expr(f"(code div 256) % {256**k}L")).join(node, "ctx", "left")
+        if k < ORDER:
+            todo = todo.withColumn("edge", _order(F.col("code"), k)).join(edge, "edge", "left")
+        else:
+            todo = todo.withColumn("c", F.lit(None).cast("long"))
+        T, D = F.col("T") - F.col("gone_s"), F.col("D") - F.col("gone_d")
+        open_ = F.col("value").isNull()
+        todo = todo.select(
+            "code",
+            "m",
+            F.when(open_ & F.col("c").isNotNull(), F.col("escaped") + F.log10(F.col("c") / (T + D))).otherwise(F.col("value")).alias("value"),
+            F.when(D > 0, F.col("escaped") + F.log10(D / (T + D))).otherwise(F.col("escaped")).alias("escaped"),
+            F.coalesce("S", zero).alias("gone_s"),
+            F.coalesce("D", zero).alias("gone_d"),
+        )
+    unseen = todo.select("code", "m", F.coalesce("value", F.col("escaped") - F.log10(F.lit(256.0) - F.col("gone_d"))).alias("value"))
+    values = written(seen.unionByName(unseen), "values")
+    discard(*edges.values(), *nodes.values())
+    return values
+
+
+def head_of(table: DataFrame, count: str, most: int) -> tuple[int, DataFrame, DataFrame]:
+    """The most frequent rows, at most ``most``, by a threshold that all rows determine, and the rest."""
+    level = F.floor(F.log2(count) * 4)
+    sizes = {int(r[0]): r[1] for r in table.groupBy(level.alias("k")).count().collect()}
+    least, size = 10**6, 0
+    for k in sorted(sizes, reverse=True):
+        if size + sizes[k] > most:
+            break
+        least, size = k, size + sizes[k]
+    return size, table.where(level >= least), table.where(level < least)
 
 
 class Lookup:
@@ -136,93 +190,6 @@ class Lookup:
         return out
 
 
-class Ppm:
-    """Code lengths under a byte-context trie with fixed counts.
-
-    Escapes are estimated by method C: in a context seen T times with D distinct
-    symbols a symbol seen c times has c / (T + D) and an escape D / (T + D).
-    After an escape the symbols of the context left are excluded. The symbols of
-    a context are among those of its suffix, so what is excluded at one level
-    depends only on the context just left: its D, and the sum S of the counts
-    that its symbols have in the suffix. A trie node therefore holds T, D and S,
-    and whole arrays of positions are coded a level at a time. Below the empty
-    context the symbols never seen are alike.
-    """
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        for k, (code, n) in enumerate(orders):
-            context, first = np.unique(code >> np.uint64(8), return_index=True)
-            row = np.repeat(np.arange(len(context)), np.diff(np.concatenate([first, [len(code)]]))) if len(code) else np.empty(0, np.int64)
-            T, D = np.bincount(row, n, len(context)), np.bincount(row, minlength=len(context)).astype(float)
-            S = np.zeros(len(context))
-            if k and len(code):
-                below, counts = orders[k - 1]
-                S = np.bincount(row, counts[np.searchsorted(below, code & np.uint64(256**k - 1))], len(context))
-            self.levels.append({"code": code, "n": n, "direct": np.log10(n / (T + D)[row]).astype(np.float32), "context": context, "T": T, "D": D, "S": S})
-        self.ready = False
-
-    def _code(self, full: np.ndarray) -> np.ndarray:
-        if not self.ready:
-            for x in self.levels:
-                x["edge"], x["node"] = Lookup(x["code"]), Lookup(x["context"])
-            self.ready = True
-        value = np.zeros(len(full))
-        todo = np.arange(len(full))
-        gone_s = gone_d = escaped = None
-        for k in range(len(self.levels) - 1, -1, -1):
-            x = self.levels[k]
-            code = full[todo] & np.uint64(256 ** (k + 1) - 1) if k < 7 else full[todo]
-            edge = x["edge"].find(code)
-            hit = edge >= 0
-            if gone_s is None:
-                value[todo[hit]] = x["direct"][edge[hit]]
-                todo, code = todo[~hit], code[~hit]
-                node = x["node"].find(code >> np.uint64(8))
-                there = node >= 0
-                T, D = np.where(there, x["T"][node], 0.0) if len(x["T"]) else np.zeros(len(node)), np.where(there, x["D"][node], 0.0) if len(x["D"]) else np.zeros(len(node))
-                escaped = np.where(there, np.log10(np.maximum(D, 1) / np.maximum(T + D, 1)), 0.0)
-                gone_s, gone_d = np.where(there, x["S"][node], 0.0) if len(x["S"]) else np.zeros(len(node)), D
-                continue
-            if not len(todo):
-                break
-            node = x["node"].find(code >> np.uint64(8))
-            there = node >= 0
-            if len(x["T"]):
-                T, D = np.where(there, x["T"][node] - gone_s, 0.0), np.where(there, x["D"][node] - gone_d, 0.0)
-                seen, S = np.where(there, x["D"][node], 0.0), np.where(there, x["S"][node], 0.0)
-                value[todo[hit]] = escaped[hit] + np.log10(x["n"][edge[hit]] / (T + D)[hit])
-            else:
-                T = D = seen = S = np.zeros(len(todo))
-            miss = ~hit
-            live = (D > 0)[miss]
-            step = np.log10(np.maximum(D, 1)[miss] / np.maximum(T + D, 1)[miss])
-            escaped = escaped[miss] + np.where(live, step, 0.0)
-            todo, gone_s, gone_d = todo[miss], S[miss], seen[miss]
-        if len(todo):
-            value[todo] = (escaped if escaped is not None else 0.0) - np.log10(256.0 - (gone_d if gone_d is not None else 0.0))
-        return value
-
-    def log10(self, texts: list) -> np.ndarray:
-        """Log10 probability of each whole text with its end."""
-        out = np.zeros(len(texts))
-        for begin, end in chunks(texts):
-            joined, at, lengths = _bytes_of(texts[begin:end])
-            total = np.concatenate([[0.0], np.cumsum(self._code(_codes(joined, at)))])
-            out[begin:end] = np.diff(total[np.concatenate([[0], np.cumsum(lengths)])])
-        return out
-
-
-def train(rows: DataFrame, most: int = MAX_EDGES) -> Ppm:
-    """A model of ``rows(text, held)`` that are not held out, counted by grouped aggregation."""
-    grams = written(arrow_map(rows.select("text", "held"), _grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    orders, least = [], 0
-    for k in range(ORDER + 1):
-        code, n, least = edges_of(grams, k, most, least)
-        orders.append((code, n))
-    return Ppm(orders)
-
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
@@ -241,29 +208,35 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def _word_counts(batch: pa.RecordBatch):
-    parts = [tokens(t) for t, h in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True) if not h]
-    words, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
-    yield words, n
+    """Words: how often in training texts (c) and in all (m)."""
+    texts, held = batch.column("text").to_pylist(), batch.column("held").to_pylist()
+    for kind in (False, True):
+        parts = [tokens(t) for t, h in zip(texts, held, strict=True) if h == kind]
+        words, m = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
+        yield words, np.zeros_like(m) if kind else m, m
 
 
 def held_out_of(doc_id: Column, modulus: int = 5, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_WORDS, most_edges: int = MAX_EDGES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_WORDS, head_codes: int = HEAD_CODES) -> DataFrame:
     """Model and unigram scores of every document.
 
     Learned from the rows with ``crc32(doc_id) % 5 != 1``. Returns ``doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``base_score`` sums ``log10((c + 0.5) / (N + 0.5 (V + 1)))`` over the words
-    and one end mark. Counts of all words are a grouped aggregate; the ``head``
-    most frequent ones (by a threshold found from the counts of counts) are
-    looked up in each task, and each occurrence of any other word is joined with
-    its count. Words are known by 64-bit hashes.
+    and one end mark. ``score`` is the log10 probability of the lower-cased bytes
+    and an end under the partial-matching model (:func:`code_values`), which
+    depends on nothing but the last bytes and the symbol; so each distinct
+    sequence of ``ORDER + 1`` bytes is valued once.
 
-    ``score`` is the log10 probability of the lower-cased bytes and an end under
-    the partial-matching model (:class:`Ppm`).
+    Counts of words and byte sequences are grouped aggregates over all rows. The
+    ``head`` and ``head_codes`` most frequent ones, wherever they occur, are
+    looked up in each task; all others are joined, those of a document once each.
+    The heads bound what is broadcast and change no score. Words are known by
+    64-bit hashes.
 
     Edge cases: null and empty texts are the end alone. A null id is not held
     out. Rows that share an id are scored each on their own. Very long texts are
@@ -272,29 +245,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out_of(F.col(id_col)).alias("held"))
-    model = spark.sparkContext.broadcast(train(rows, most_edges))
-    words = written(arrow_map(rows.select("text", "held"), _word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "words")
-    facts = words.agg(F.sum("c"), F.count("*")).first()
+    grams = written(arrow_map(rows.select("text", "held"), _grams, "code long, n long, m long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
+    values = code_values(grams)
+    discard(grams)
+    words = written(arrow_map(rows.select("text", "held"), _word_counts, "w long, c long, m long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "words")
+    facts = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     ends = rows.where(~F.col("held")).count()
     N, V = int(facts[0] or 0) + ends, int(facts[1]) + (1 if ends else 0)
-    sizes = {int(r[0]): r[1] for r in words.groupBy(F.floor(F.log2("c") * 4).alias("k")).count().collect()}
-    least, size = None, 0
-    for k in sorted(sizes, reverse=True):
-        if size + sizes[k] > head:
-            break
-        least, size = k, size + sizes[k]
-    at_least = F.floor(F.log2("c") * 4) >= (least if least is not None else 10**6)
-    top = words.where(at_least).select("w", "c").toArrow().combine_chunks()
-    by = np.argsort(top.column("w").to_numpy())
-    heads = spark.sparkContext.broadcast((top.column("w").to_numpy()[by], top.column("c").to_numpy()[by]))
     scale = float(np.log10(N + 0.5 * (V + 1)))
     end_log = float(np.log10(ends + 0.5)) - scale
 
+    def heads(table: DataFrame, key: str, value: str, most: int):
+        _, top, rest = head_of(table, "m", most)
+        got = top.select(key, value).toArrow().combine_chunks()
+        by = np.argsort(got.column(key).to_numpy())
+        return spark.sparkContext.broadcast((got.column(key).to_numpy()[by], got.column(value).to_numpy()[by])), rest
+
+    word_head, word_rest = heads(words, "w", "c", head)
+    code_head, code_rest = heads(values, "code", "value", head_codes)
+
     def run(batch: pa.RecordBatch):
-        keys, counts = heads.value
+        keys, counts = word_head.value
+        codes, value = code_head.value
+        look = _lookup(codes)
         texts = batch.column("text").to_pylist()
-        lm = model.value.log10(texts)
-        n, known, base, rare, times = [], [], [], [], []
+        n, known, base, lm, rare, times, odd, often = [], [], [], [], [], [], [], []
+        for begin, end in chunks(texts):
+            joined, at, lengths = _bytes_of(texts[begin:end])
+            full = _codes(joined, at)
+            spot = look.find(full)
+            hit = spot >= 0
+            total = np.concatenate([[0.0], np.cumsum(np.where(hit, value[spot] if len(value) else 0.0, 0.0))])
+            edges = np.concatenate([[0], np.cumsum(lengths)])
+            lm.extend(np.diff(total[edges]))
+            missed = np.flatnonzero(~hit)
+            cuts = np.searchsorted(missed, edges)
+            for i in range(end - begin):
+                u, k = np.unique(full[missed[cuts[i] : cuts[i + 1]]], return_counts=True)
+                odd.append(u.astype(np.int64)), often.append(k)
         for text in texts:
             w = tokens(text)
             n.append(len(w) + 1)
@@ -303,25 +291,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 hit = keys[at] == w
             else:
                 at, hit = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-            known.append(int(hit.sum()) + (1 if ends else 0))
-            base.append(float(np.sum(np.log10(counts[at[hit]] + 0.5) - scale)) + end_log)
+            c = counts[at[hit]]
+            known.append(int((c > 0).sum()) + (1 if ends else 0))
+            base.append(float(np.sum(np.log10(c + 0.5) - scale)) + end_log)
             r, k = np.unique(w[~hit], return_counts=True)
             rare.append(r), times.append(k)
-        yield batch.column("id"), batch.column("held"), n, known, base, lm, pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))
+        longs = pa.list_(pa.int64())
+        yield batch.column("id"), batch.column("held"), n, known, base, lm, *(pa.array(x, longs) for x in (rare, times, odd, often))
 
-    scored = arrow_map(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>")
+    scored = arrow_map(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<long>, times array<long>, odd array<long>, often array<long>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.times").alias("k"))
-    counted = tail.join(words.where(~at_least), "w", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(scale))).alias("tail_score"),
-    )
-    return scored.join(counted, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(N).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
+    zipped = lambda key, count: scored.where(F.size(key) > 0).select("row", F.explode(F.arrays_zip(key, count)).alias("x")).select("row", F.col(f"x.{key}").alias("key"), F.col(f"x.{count}").alias("k"))
+    tail = zipped("rare", "times").join(word_rest.select(F.col("w").alias("key"), "c"), "key")
+    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - F.lit(scale))).alias("tail_base"))
+    more = zipped("odd", "often").join(code_rest.select(F.col("code").alias("key"), "value"), "key")
+    more = more.groupBy("row").agg(F.sum(F.col("k") * F.col("value")).alias("tail_lm"))
+    slim = scored.select("doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "row")
+    return (
+        slim.join(tail, "row", "left")
+        .join(more, "row", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
+            F.lit(N).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
+            (F.col("lm") + F.coalesce("tail_lm", F.lit(0.0))).alias("score"),
+        )
     )
+
+
+_found: list = []
+
+
+def _lookup(codes: np.ndarray) -> Lookup:
+    """The worker's lookup of the head, built once for each broadcast."""
+    if not _found or _found[0] is not codes:
+        _found[:] = [codes, Lookup(codes.astype(np.uint64))]
+    return _found[1]

@@ -197,19 +197,58 @@ def test_toxicity_held_out(spark):
     assert len(nothing) == 2
 
 
-def test_ppm_is_a_distribution():
-    texts = ["abracadabra", "abba", ""]
-    joined, at, _ = ppm._bytes_of(texts)
-    full = ppm._codes(joined, at)
-    orders = []
-    for k in range(ppm.ORDER + 1):
-        code, n = np.unique(full & np.uint64(256 ** (k + 1) - 1), return_counts=True)
-        orders.append((code, n.astype(float)))
-    model = ppm.Ppm(orders)
-    for context in (b"\0\0\0\0\0", b"abrac", b"zzzab", b"zzzzz"):
-        prefix = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
-        codes = prefix | np.arange(256, dtype=np.uint64)
-        assert abs((10.0 ** model._code(codes)).sum() - 1) < 1e-6
+def brute_ppm(train, text, order=5):
+    """Log10 probability by a plain trie of dictionaries: escape method C, full exclusion."""
+    import math
+    from collections import Counter, defaultdict
+
+    trie = defaultdict(Counter)
+    pad = lambda t: b"\0" * order + (t or "").encode().lower() + b"\0"
+    for t in train:
+        b = pad(t)
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                trie[b[i - k : i]][b[i]] += 1
+    total, b = 0.0, pad(text)
+    for i in range(order, len(b)):
+        excluded = set()
+        for k in range(order, -1, -1):
+            seen = {s: c for s, c in trie.get(b[i - k : i], {}).items() if s not in excluded}
+            if not seen:
+                continue
+            T, D = sum(seen.values()), len(seen)
+            if b[i] in seen:
+                total += math.log10(seen[b[i]] / (T + D))
+                break
+            total += math.log10(D / (T + D))
+            excluded |= set(seen)
+        else:
+            total -= math.log10(256 - len(excluded))
+    return total
+
+
+def test_lm_score_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "", "ABBA abba", "zzz zz~"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [t for i, t in enumerate(texts) if not held(i)]
+    for head in (1 << 20, 40, 0):
+        got = {r["doc_id"]: r["score"] for r in ppm.score(docs(spark, texts), head=head, head_codes=head).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            assert abs(got[i] - brute_ppm(train, t)) < 1e-6, (i, head)
+
+
+def test_lm_edges(spark):
+    assert ppm.score(docs(spark, ["a"]).limit(0)).count() == 0
+    twice = docs(spark, ["a b", "a b"]).withColumn("doc_id", F.lit(7).cast("long")).withColumn("score", F.lit("clash"))
+    assert len({tuple(r) for r in ppm.score(twice).collect()}) == 1 and ppm.score(twice).count() == 2
+    nothing = ppm.score(docs(spark, ["a b", None]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert [r["held_out"] for r in nothing] == [False, False]
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][0]
+    lone = ppm.score(docs(spark, ["ab"]).withColumn("doc_id", F.lit(held).cast("long"))).first()
+    assert lone["train_tokens"] == 0 and abs(lone["score"] + 3 * np.log10(256)) < 1e-9
 
 
 def test_lm_base_score(spark):
