@@ -159,11 +159,114 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, texts).limit(0), path).count() == 0
 
 
-def test_license_rules(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this. The above copyright notice and this permission notice shall be included in all copies. The software is provided \"as is\", without warranty of any kind."
-    texts = ["Released under the MIT License.", mit, "x\nLicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", "no such thing", None, ""]
-    got = {r["doc_id"]: r["licenses"] for r in license.scan(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(6)] == ["MIT", "MIT", "GPL-3.0-only,CC-BY-NC", None, None, None]
+# standard notices as their licences give them, in their usual wrapping
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 3 of the License, or
+# (at your option) any later version.
+#
+# You should have received a copy of the manual.""",
+    "GPL-2.0-only": """/*
+ * This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+ * General Public License, version 2, as published by the Free Software Foundation.
+ */""",
+    "LGPL-3.0-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 3 of the License, or (at your option) any later version.""",
+    "LGPL-2.1-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+    "AGPL-3.0-or-later": "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms are permitted.
+
+* Redistributions of source code must retain the above copyright notice.
+
+* Redistributions in binary form must reproduce the above copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE HOLDERS "AS IS".""",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC": "x\nLicensed under CC BY-NC 4.0.\ny",
+    "CC0-1.0": "Released under CC0 1.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_license_notices(spark):
+    import duckdb
+
+    cases = list(NOTICES.items()) + [
+        ("MIT", "// SPDX-License-Identifier: MIT\nint main;"),
+        ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+        ("Apache-2.0,MIT", "x\n# SPDX-License-Identifier: (Apache-2.0 OR MIT)\ny"),
+        ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"),
+        ("MIT,GPL-2.0-only", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0-only"),
+        ("somebody-1.0", "SPDX-License-Identifier: Somebody-1.0"),
+        (None, "It is not licensed under the CC scheme by anyone."),
+        (None, "He is not licensed under the MIT License."),
+        (None, "Nobody here has a driving licence."),
+        ("Unknown", "Licensed under terms that nobody wrote down."),
+        ("Proprietary", "Copyright 2020 Somebody. All rights reserved."),
+        ("MIT", "Released under the MIT License\nCopyright 2020 Somebody. All rights reserved."),
+        ("GPL-3.0-only,CC-BY-NC", "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."),
+        (None, "no such thing"),
+        (None, None),
+        (None, ""),
+        ("MIT", "word. " * 50_000 + "Licensed under the MIT License."),
+    ]
+    frame = docs(spark, [t for _, t in cases])
+    got = {r["doc_id"]: r for r in license.scan(frame).collect()}
+    for i, (want, text) in enumerate(cases):
+        assert got[i]["licenses"] == want, (text, got[i])
+    assert got[len(NOTICES) + 8]["n_unmatched"] == 1 and got[len(cases) - 2]["n_sentences"] == 0
+    con = duckdb.connect()
+    documents = frame.select("doc_id", "text").toPandas()  # noqa: F841
+    sql = {r[0]: r[1:] for r in con.sql(license.scan_sql()).fetchall()}
+    assert {i: (r["sentence_ids"], r["licenses"], r["n_sentences"], r["n_unmatched"]) for i, r in got.items()} == sql
+    assert license.scan(frame.limit(0)).count() == 0
+    twice = docs(spark, ["MIT License", "MIT License"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("licenses", F.lit("clash"))
+    assert [(r["doc_id"], r["licenses"]) for r in license.scan(twice).collect()] == [(None, "MIT")] * 2
 
 
 def test_language(spark):
