@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -14,7 +16,9 @@ from .common import arrow_map
 # Fixed values of the HTML standard: element categories and implied end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp template".split())
-HIDDEN = frozenset("head script style template noscript iframe noframes object embed applet audio video canvas svg math datalist title meta link base param source track area map select option optgroup dialog".split())
+HIDDEN = frozenset("head script style template noscript iframe noframes object embed applet audio video canvas datalist title meta link base param source track area meter progress rp".split())
+#: Of a drawing only these show text; of a formula all but these do.
+DRAWN, UNDRAWN = frozenset("text foreignobject".split()), frozenset("annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody thead tfoot tr td th caption ul".split()
 )
@@ -42,7 +46,10 @@ TABLE_PARTS = frozenset("td th tr thead tbody tfoot caption".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
+_ABSENT = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!important\s*)?(?:;|$)", re.I)
+#: Lists, quotes and tables in each other of which each is set apart; deeper ones are printed flat.
+NESTED = 24
 #: White space that collapses; no-break spaces stay.
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -58,16 +65,24 @@ def parse(source: str) -> Node:
     """A tree of nodes and strings, with implied end tags; never fails."""
     root = Node("#root", {})
     stack = [root]
+    open_: Counter = Counter()
     at = 0
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(s)
 
+    def leave(k: int) -> None:
+        for n in stack[k:]:
+            open_[n.tag] -= 1
+        del stack[k:]
+
     def close(names, stop=()) -> None:
+        if not any(open_[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
-                del stack[k:]
+                leave(k)
                 return
             if stack[k].tag in stop:
                 return
@@ -82,7 +97,7 @@ def parse(source: str) -> Node:
         at = found.end()
         if found[1]:
             tag = found[1].lower()
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not open_["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -100,7 +115,7 @@ def parse(source: str) -> Node:
         if rest.strip(" /\n\t\r\f"):
             for m in _ATTRIBUTE.finditer(rest):
                 attributes.setdefault(m[1].lower(), unescape(next((x for x in m.groups()[1:] if x is not None), "")))
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
         if tag == "body":
             close({"head"})
@@ -114,7 +129,7 @@ def parse(source: str) -> Node:
                 if len(stack) == before:
                     break
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            leave(len(stack) - 1)
         if tag == "a":
             close({"a"}, BLOCK)
         node = Node(tag, attributes)
@@ -130,16 +145,38 @@ def parse(source: str) -> Node:
         if tag == "plaintext":
             node.children.append(source[at:])
             break
-        if len(stack) < 400:
-            stack.append(node)
+        if found[0].endswith("/>") and (open_["svg"] or open_["math"]):
+            continue
+        stack.append(node)
+        open_[tag] += 1
     return root
 
 
 def visible(node: Node) -> bool:
+    """Whether an element is laid out at all."""
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _INVISIBLE.search(a["style"]))
+    return not ("style" in a and _ABSENT.search(a["style"]))
+
+
+def shows(node: Node, shown: bool) -> bool:
+    """Whether the text of an element is painted: what it says itself, else as its parent."""
+    found = _VISIBILITY.search(node.attributes["style"]) if "style" in node.attributes else None
+    return found[1].lower() == "visible" if found else shown
+
+
+def drawn(node: Node):
+    """The parts of a drawing that hold text."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str) or not visible(n):
+            continue
+        if n.tag in DRAWN:
+            yield n
+        else:
+            todo.extend(reversed(n.children))
 
 
 class _Out:
@@ -193,9 +230,11 @@ class _Out:
         return "\n".join(self.lines)
 
 
-def _walk(node: Node, out: _Out, depth: int, pre: bool) -> None:
+def _walk(node: Node, out: _Out, depth: int, pre: bool, shown: bool = True, nest: int = 0) -> None:
     for child in node.children:
         if isinstance(child, str):
+            if not shown:
+                continue
             if pre:
                 out.verbatim(child)
             else:
@@ -204,50 +243,74 @@ def _walk(node: Node, out: _Out, depth: int, pre: bool) -> None:
         tag = child.tag
         if not visible(child):
             continue
+        seen = shows(child, shown)
         if tag == "br":
             if out.line:
                 out.end()
             elif out.lines:
                 out.gap = min(out.gap + 1, 1)
-            continue
-        if tag == "hr":
+        elif tag == "hr":
             out.end(1)
-            continue
-        if tag == "img":
-            if child.attributes.get("alt", "").strip():
+        elif tag == "img":
+            if seen and child.attributes.get("alt", "").strip():
                 out.text(child.attributes["alt"])
+        elif tag == "input":
+            kind, value = child.attributes.get("type", "text").lower(), child.attributes.get("value", "")
+            if seen and value.strip() and kind not in ("hidden", "password", "checkbox", "radio", "file", "image", "color", "range"):
+                out.text(f" {value} ")
+        elif tag == "svg":
+            for part in drawn(child):
+                out.text(" ")
+                _walk(part, out, depth, False, shows(part, seen), nest)
+                out.text(" ")
+        elif tag in UNDRAWN:
             continue
-        if tag == "table":
+        elif tag in ("select", "option", "optgroup"):
+            out.end()
+            if seen and tag == "optgroup" and child.attributes.get("label", "").strip():
+                out.text(child.attributes["label"])
+                out.end()
+            if seen and tag == "option" and not any(isinstance(c, str) and c.strip() for c in child.children) and child.attributes.get("label", "").strip():
+                out.text(child.attributes["label"])
+            _walk(child, out, depth, False, seen, nest)
+            out.end()
+        elif tag == "table" and nest < NESTED:
             out.end(1)
-            for line in _table(child):
+            for line in _table(child, seen, nest + 1):
                 out.put(line)
                 out.end()
             out.end(1)
-            continue
-        if tag in ("ul", "ol", "menu", "dir"):
+        elif tag in ("ul", "ol", "menu", "dir"):
             gap = 0 if depth else 1
             out.end(gap)
-            _items(child, out, depth, pre)
+            _items(child, out, depth, pre, seen, nest)
             out.end(gap)
-            continue
-        if tag in BLOCK:
+        elif tag in BLOCK:
             gap = 1 if tag in SPACED else 0
             out.end(gap)
             if tag == "blockquote":
-                _indented(child, out, depth, pre, "> ")
+                _indented(child, out, depth, pre, "> ", None, seen, nest)
             elif tag == "dd":
-                _indented(child, out, depth, pre, "    ")
+                _indented(child, out, depth, pre, "    ", None, seen, nest)
             else:
-                _walk(child, out, depth, pre or tag == "pre")
+                _walk(child, out, depth, pre or tag == "pre", seen, nest)
             out.end(gap)
         else:
-            _walk(child, out, depth, pre or tag in ("textarea",))
+            _walk(child, out, depth, pre or tag == "textarea", seen, nest)
 
 
-def _indented(node: Node, out: _Out, depth: int, pre: bool, prefix: str, first: str | None = None) -> None:
+def _indented(node: Node, out: _Out, depth: int, pre: bool, prefix: str, first: str | None, shown: bool, nest: int) -> None:
+    if nest >= NESTED:
+        if first is not None and shown:
+            out.put(first)
+        _walk(node, out, depth, pre, shown, nest)
+        out.end()
+        return
     inner = _Out()
-    _walk(node, inner, depth, pre)
+    _walk(node, inner, depth, pre, shown, nest + 1)
     body = inner.done()
+    if first is not None and not shown:  # an unseen item has no mark, what is seen in it stays
+        first = prefix if body else None
     for i, line in enumerate(body.split("\n") if body else [""] if first else []):
         lead = first if first is not None and i == 0 else prefix if line or prefix.strip() else ""
         if not line and not lead.strip():
@@ -257,14 +320,14 @@ def _indented(node: Node, out: _Out, depth: int, pre: bool, prefix: str, first:
         out.end()
 
 
-def _items(node: Node, out: _Out, depth: int, pre: bool) -> None:
+def _items(node: Node, out: _Out, depth: int, pre: bool, shown: bool, nest: int) -> None:
     try:
         number = int(node.attributes.get("start", "1"))
     except ValueError:
         number = 1
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
+            if shown and child.strip():
                 out.text(child)
             continue
         if not visible(child):
@@ -277,11 +340,12 @@ def _items(node: Node, out: _Out, depth: int, pre: bool) -> None:
                 pass
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            _indented(child, out, depth + 1, pre, " " * len(mark), mark)
+            _indented(child, out, depth + 1, pre, " " * len(mark), mark, shows(child, shown), nest)
+            out.end()
         else:
             holder = Node("#part", {})
             holder.children.append(child)
-            _walk(holder, out, depth + (child.tag in ("ul", "ol", "menu", "dir")), pre)
+            _walk(holder, out, depth + (child.tag in ("ul", "ol", "menu", "dir")), pre, shown, nest)
 
 
 def _span(node: Node, name: str) -> int:
@@ -291,49 +355,53 @@ def _span(node: Node, name: str) -> int:
         return 1
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node, shown: bool, nest: int) -> list[str]:
     """Rows of aligned cells joined by ' | '; captions come first."""
     captions, rows, loose = [], [], []
 
-    def visit(node: Node) -> None:
+    def text(s: str, seen: bool) -> None:
+        if seen and s.strip():
+            loose.append(_WHITE.sub(" ", s).strip())
+
+    def apart(child: Node, seen: bool) -> None:
+        holder = Node("#part", {})
+        holder.children.append(child)
+        loose.append(render(holder, seen, nest))
+
+    def visit(node: Node, seen: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
-                if child.strip():
-                    loose.append(_WHITE.sub(" ", child).strip())
+                text(child, seen)
                 continue
             if not visible(child):
                 continue
+            own = shows(child, seen)
             if child.tag == "caption":
-                captions.append(render(child))
+                captions.append(render(child, own, nest))
             elif child.tag == "tr":
-                rows.append([c for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and visible(c)])
+                rows.append([(c, shows(c, own)) for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and visible(c)])
                 for c in child.children:
                     if isinstance(c, str):
-                        if c.strip():
-                            loose.append(_WHITE.sub(" ", c).strip())
+                        text(c, own)
                     elif c.tag not in ("td", "th") and visible(c):
-                        holder = Node("#part", {})
-                        holder.children.append(c)
-                        loose.append(render(holder))
+                        apart(c, own)
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                visit(child)
+                visit(child, own)
             elif child.tag in ("td", "th"):
-                rows.append([child])
+                rows.append([(child, own)])
             else:
-                holder = Node("#part", {})
-                holder.children.append(child)
-                loose.append(render(holder))
+                apart(child, seen)
 
-    visit(table)
+    visit(table, shown)
     grid: list[dict[int, list[str]]] = []
     taken: dict[tuple[int, int], bool] = {}
     for r, cells in enumerate(rows):
         line: dict[int, list[str]] = {}
         c = 0
-        for cell in cells:
+        for cell, own in cells:
             while (r, c) in taken:
                 c += 1
-            line[c] = render(cell).split("\n")
+            line[c] = render(cell, own, nest).split("\n")
             for i in range(_span(cell, "rowspan")):
                 for j in range(_span(cell, "colspan")):
                     taken[r + i, c + j] = True
@@ -351,15 +419,37 @@ def _table(table: Node) -> list[str]:
     return out
 
 
-def render(node: Node) -> str:
+def render(node: Node, shown: bool = True, nest: int = 0) -> str:
     out = _Out()
-    _walk(node, out, 0, False)
+    _walk(node, out, 0, False, shown, nest)
     return out.done()
 
 
+def _depth(root: Node) -> int:
+    most, todo = 0, [(root, 1)]
+    while todo:
+        node, n = todo.pop()
+        most = max(most, n)
+        todo.extend((c, n + 1) for c in node.children if not isinstance(c, str))
+    return most
+
+
+def rendered(root: Node) -> str:
+    """The text of a tree of any depth."""
+    before = sys.getrecursionlimit()
+    need = 4 * _depth(root) + 500
+    if need <= before:
+        return render(root)
+    sys.setrecursionlimit(need)  # calls of Python functions take no native stack
+    try:
+        return render(root)
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def to_text(source: str | None) -> str | None:
     """The visible text of an HTML page; null for null."""
-    return None if source is None else render(parse(source))
+    return None if source is None else rendered(parse(source))
 
 
 def title_of(root: Node) -> str | None:
@@ -377,7 +467,7 @@ def _extract(batch: pa.RecordBatch):
     for source in batch.column("html").to_pylist():
         root = parse(source) if source is not None else None
         titles.append(title_of(root) if root else None)
-        texts.append(render(root) if root else None)
+        texts.append(rendered(root) if root else None)
     yield batch.column("id"), titles, texts
 
 
@@ -385,12 +475,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """``page_id, title, text`` of every page.
 
     The tree builder closes paragraphs, list items, table parts and options as
-    their start tags imply. Elements that browsers do not show (head, scripts,
-    styles, hidden or ``display:none`` ones and so on) give nothing; everything
-    else does, in document order. Paragraph-like blocks are set off by an empty
-    line, other blocks by a line break; list items carry a dash or their number
-    and nest by indentation; cells of a table row are padded to their column's
-    width and joined by `` | ``; ``pre`` keeps its white space.
+    their start tags imply. What browsers with scripts on do not lay out gives
+    nothing: the head, scripts, styles, ``hidden`` and ``display:none`` elements,
+    closed dialogs, what stands in for media. Text of ``visibility:hidden``
+    elements gives nothing either, unless an element inside is visible again. All
+    else does, in document order: formulas, text in drawings, all options of a
+    choice, values of buttons and fields, alternative texts of images; details
+    count as opened. Style sheets are not read. Paragraph-like blocks are set off
+    by an empty line, other blocks by a line break; list items carry a dash or
+    their number and nest by indentation; cells of a table row are padded to
+    their column's width and joined by `` | ``; ``pre`` keeps its white space.
+    Elements may nest to any depth; beyond ``NESTED`` lists, quotes and tables in
+    each other the text goes on without further indentation.
 
     Edge cases: null gives null text and title; an empty page gives an empty
     text; broken markup never fails, and an open comment hides the rest. Ids may

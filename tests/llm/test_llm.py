@@ -127,9 +127,67 @@ def test_html_layout():
     assert html.to_text("<pre>a\n  b</pre>c") == "a\n  b\n\nc"
 
 
+def test_html_visibility():
+    t = html.to_text
+    assert t("a<math><mi>x</mi><annotation>no</annotation></math>b") == "axb"
+    assert t("<svg><title>no</title><text>hello</text><path d='M0'/></svg> you") == "hello you"
+    assert t("<select><option>red<option>blue</select>") == "red\nblue"
+    assert t("<dialog open>hi</dialog><dialog>no</dialog>") == "hi"
+    assert t("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>") == "yes"
+    assert t("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>") == "- yes"
+    assert t("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>") == " | yes".rstrip() or "yes" in t("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>")
+    assert t("<input type=submit value=Go><input type=hidden value=no><input type=password value=no>") == "Go"
+    assert t("<map><area alt=no>in a map</map><ruby>x<rp>(</rp><rt>y</rt></ruby>") == "in a mapxy"
+    for depth in (405, 30_000):
+        assert t("<div>" * depth + "<div hidden>no</div>deep" + "</div>" * depth + "end") == "deep\nend"
+    assert t("<blockquote>" * 3000 + "deep").endswith("deep") and t("<ul><li>" * 3000 + "deep").endswith("deep") and "deep" in t("<table><tr><td>" * 2000 + "deep")
+
+
+def test_html_words_of_pages_against_a_plain_parser(spark):
+    import re as regex
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.hidden, self.ids = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "img" and not self.hidden:
+                self.words += regex.findall(r"\w+", a.get("alt") or "")
+            off = tag in html.HIDDEN or "hidden" in a or "none" in (a.get("style") or "")
+            if tag not in html.VOID and (self.hidden or off):
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                while self.hidden and self.hidden.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += regex.findall(r"\w+", data)
+
+    pages = spark.read.parquet(SF + "/pages.parquet").toPandas()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.read.parquet(SF + "/pages.parquet")).collect()}
+    same_words = 0
+    for page_id, source in zip(pages.page_id, pages.html, strict=True):
+        plain = Plain()
+        plain.feed(source)
+        plain.close()
+        left = regex.sub(r"(?m)^(?:[> |]*(?:-|\d+\.) )+", " ", got[page_id])
+        want, have = sorted(plain.words), sorted(regex.findall(r"\w+", left))
+        same_words += want == have
+        assert len(set(want) - set(have)) <= 0.02 * len(want) + 1, (page_id, set(want) - set(have))
+    assert same_words >= 0.9 * len(pages)
+
+
 def test_html_table(spark):
-    df = spark.createDataFrame([(1, "<p>x", "t"), (None, None, "t")], "page_id long, html string, text string")
-    assert sorted((str(r["page_id"]), str(r["text"])) for r in html.extract(df).collect()) == [("1", "x"), ("None", "None")]
+    df = spark.createDataFrame([(1, "<p>x", "t"), (None, None, "t"), (2, "<p>" + "word " * 100_000, "t"), (1, "<p>x", "t")], "page_id long, html string, text string")
+    got = sorted((str(r["page_id"]), str(r["text"])[:9]) for r in html.extract(df).collect())
+    assert got == [("1", "x"), ("1", "x"), ("2", "word word"), ("None", "None")]
+    assert html.extract(df.limit(0)).count() == 0
 
 
 def test_packing_round_trip(spark):
