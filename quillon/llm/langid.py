@@ -16,8 +16,10 @@ LANGUAGES = ("en", "fr", "de", "es")
 FIT_ROWS = 4000
 #: Hashed byte trigrams.
 BUCKETS = 1 << 16
-#: Log-likelihoods count as if a text had at most so many independent trigrams.
-EVIDENCE = 300.0
+#: What no model of a language explains better than chance: other languages, other scripts, noise.
+OTHER = "other"
+#: Weight of a trigram's log-likelihood: each byte stands in three trigrams.
+EVIDENCE = 1 / 3
 #: How often a declared language and an address suffix tell the true one.
 DECLARED, ADDRESS = 0.9, 0.7
 #: Pseudo-counts with which a host leans on its domain, that on its suffix, that on all rows.
@@ -72,7 +74,11 @@ def fit(rows: DataFrame, languages: tuple = LANGUAGES, fit_rows: int = FIT_ROWS)
 
     Fitted on at most ``fit_rows`` rows with one of the languages declared, the
     ones with the smallest hashes of their ids; their whole texts are counted on
-    the executors, so that at most one table of counts reaches the driver.
+    the executors, so that at most one table of counts reaches the driver. The
+    last row is the background of :data:`OTHER`: half the mean of the languages,
+    half all buckets alike. Text of a language beats it by far, as its own model
+    expects its trigrams more often than the mean does; text whose trigrams no
+    model expects loses against it.
     """
     chosen = rows.where(F.col("declared").isin(*languages) & F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(fit_rows).select("id")
     sample = rows.join(F.broadcast(chosen), "id", "left_semi").select("text", "declared")
@@ -80,7 +86,8 @@ def fit(rows: DataFrame, languages: tuple = LANGUAGES, fit_rows: int = FIT_ROWS)
     counts = np.zeros((len(languages), BUCKETS))
     counts[counted["l"].to_numpy(int), counted["k"].to_numpy(int)] = counted["n"].to_numpy(float)
     counts += 0.5
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    shares = counts / counts.sum(axis=1, keepdims=True)
+    return np.log(np.vstack([shares, shares.mean(axis=0) / 2 + 0.5 / BUCKETS])).astype(np.float32)
 
 
 def _score(shared, markup: bool):
@@ -118,54 +125,67 @@ def fuse(rows: DataFrame, model: np.ndarray, languages: tuple = LANGUAGES, marku
     """Posterior language of ``rows(id, text, declared, host, address)``.
 
     ``markup`` tells that texts are HTML. Returns ``id, lang, posterior,
-    text_lang, n_trigrams, accepted``. The prior of a row's host is the share of
-    each language among the *other* rows of the host, judged by text alone,
-    smoothed by the domain's, that by the suffix's and that by all rows'; the
-    counts are grouped aggregates over all rows.
+    text_lang, n_trigrams, accepted``; a language is one of ``languages`` or
+    :data:`OTHER`, which is never accepted. The evidence is multiplied: the
+    text's trigrams, each with the weight :data:`EVIDENCE`; the declared language
+    and the address, each right with a fixed probability (a declared language
+    that has no model speaks for ``OTHER``); and the prior of the row's host, the
+    share of each language among the *other* rows of the host, judged by text
+    alone, smoothed by the domain's, that by the suffix's and that by all rows'.
+
+    Rows are counted by host, hosts by domain and by suffix; the counts of a host
+    with those above it form one table, which is joined once. Rows without a host
+    take no part in that join.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    L = len(languages)
+    classes = (*languages, OTHER)
+    L = len(classes)
     keep = rows.select(F.struct("id", "declared", "host", "address").alias("id"), "text")
     kind = keep.schema["id"].dataType.simpleString()
     e = arrow_map(keep, _score(shared, markup), f"id {kind}, n long, ll array<double>").select("id.*", "n", "ll")
     e = written(
-        e.withColumn("ll", F.transform("ll", lambda x: x * F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n"), F.lit(1)))))
-        .withColumn("best", F.when(F.col("n") > 0, F.array_position("ll", F.array_max("ll"))).otherwise(F.lit(0)).cast("int"))
-        .withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1)),
+        e.withColumn("ll", F.transform("ll", lambda x: x * F.lit(EVIDENCE))).withColumn("best", F.when(F.col("n") > 0, F.array_position("ll", F.array_max("ll"))).otherwise(F.lit(0)).cast("int")),
         "evidence",
     )
-    count = [F.sum((F.col("best") == i + 1).cast("long")).alias(f"c{i}") for i in range(L)]
+    names = [f"c{i}" for i in range(L)]
+    count = [F.sum((F.col("best") == i + 1).cast("long")).alias(c) for i, c in enumerate(names)]
+    total_of = [F.sum(c).alias(c) for c in names]
+    as_array = lambda name: F.array(*names).alias(name)
     everything = e.agg(*count).first()
     grand = [float(everything[i] or 0) for i in range(L)]
-    out = e
-    for name, key in (("s", "suffix"), ("d", "domain"), ("h", "host")):
-        table = e.where(F.col(key).isNotNull() & (F.col("best") > 0)).groupBy(key).agg(*count).select(F.col(key), F.array(*[F.col(f"c{i}") for i in range(L)]).alias(name))
-        out = out.join(table, key, "left")
+    hosts = written(e.where("host is not null").groupBy("host").agg(*count).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1)), "hosts")
+    table = hosts.select("host", "domain", "suffix", as_array("h"))
+    for key, name in (("domain", "d"), ("suffix", "s")):
+        table = table.join(written(hosts.groupBy(key).agg(*total_of).select(key, as_array(name)), key), key)
+    table = written(table.select("host", "h", "d", "s"), "priors")
+    none = F.lit(None).cast("array<long>")
+    out = e.where("host is not null").join(table, "host").unionByName(e.where("host is null").withColumns({"h": none, "d": none, "s": none}))
     own = [(F.col("best") == i + 1).cast("double") for i in range(L)]
     any_own = (F.col("best") > 0).cast("double")
     prior = [(F.lit(grand[i]) - own[i] + 1.0) / (F.lit(sum(grand)) - any_own + float(L)) for i in range(L)]
     for name in ("s", "d", "h"):
-        counts = [F.greatest(F.coalesce(F.col(name)[i].cast("double"), F.lit(0.0)) - F.when(F.col(name).isNotNull(), own[i]).otherwise(0.0), F.lit(0.0)) for i in range(L)]
+        counts = [F.when(F.col(name).isNotNull(), F.col(name)[i].cast("double") - own[i]).otherwise(0.0) for i in range(L)]
         total = sum(counts[1:], counts[0])
         prior = [(counts[i] + SMOOTH * prior[i]) / (total + SMOOTH) for i in range(L)]
         out = out.withColumn("prior", F.array(*prior))
         prior = [F.col("prior")[i] for i in range(L)]
 
     def said(column: str, trust: float) -> list[Column]:
-        known = F.col(column).isin(*languages)
-        return [F.when(known, F.when(F.col(column) == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log((1 - trust) / max(1, L - 1)))))).otherwise(0.0) for x in languages]
+        told = F.when(F.col(column).isin(*languages), F.col(column)).when(F.coalesce(F.col(column), F.lit("")) != "", OTHER)
+        wrong = float(np.log((1 - trust) / (L - 1)))
+        return [F.when(told == x, float(np.log(trust))).when(told.isNotNull(), wrong).otherwise(0.0) for x in classes]
 
     declared, address = said("declared", DECLARED), said("address", ADDRESS)
     logs = F.array(*[F.col("ll")[i] + F.log(prior[i]) + declared[i] + address[i] for i in range(L)])
     wanted = accept or languages
+    label = F.array(*map(F.lit, classes))
     return (
         out.withColumn("logs", logs)
         .withColumn("top", F.array_max("logs"))
         .withColumn("posterior", 1.0 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
-        .withColumn("lang", F.array(*map(F.lit, languages))[(F.array_position("logs", F.col("top")) - 1).cast("int")])
-        .withColumn("text_lang", F.when(F.col("best") > 0, F.array(*map(F.lit, languages))[F.col("best") - 1]))
+        .withColumn("lang", label[(F.array_position("logs", F.col("top")) - 1).cast("int")])
+        .withColumn("text_lang", F.when(F.col("best") > 0, label[F.col("best") - 1]))
         .withColumn("accepted", (F.col("n") > 0) & (F.col("posterior") >= min_posterior) & F.col("lang").isin(*wanted))
         .select("id", "lang", F.round("posterior", 6).alias("posterior"), "text_lang", F.col("n").alias("n_trigrams"), "accepted")
     )
@@ -201,6 +221,7 @@ def identify_documents(docs: DataFrame, languages: tuple = LANGUAGES, model: np.
     not accepted. Null language, source or id are allowed; a null id cannot be
     drawn for fitting. Repeated rows come back as often as they came in. An
     empty table gives no rows; without labelled rows all languages are alike.
+    Very long texts are weighed whole. Other columns are ignored.
     """
     rows = document_rows(docs)
     return fuse(rows, fit(rows, languages) if model is None else model, languages, **options)

@@ -335,10 +335,66 @@ def test_language(spark):
     assert [got[i]["lang"] for i in range(6)] == ["en"] * 3 + ["de"] * 3
     assert [got[i]["accepted"] for i in range(9)] == [True] * 6 + [False] * 3
     assert langid.keep_identified(d).count() == 6 and langid.keep_identified(d.limit(0)).count() == 0
-    model = np.full((4, langid.BUCKETS), -1.0, np.float32)
+    model = np.full((5, langid.BUCKETS), -1.0, np.float32)
     assert {r["id"]: r["lang"] for r in langid.identify_pages(pages, model).collect()}[1] == "fr"
 
 
+def test_language_brute_force(spark):
+    import math
+
+    rng = random.Random(6)
+    bag = {"en": "the and of to with this that", "de": "der die das und nicht ein", "fr": "le la les des une est", "es": "el los las una que por"}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(bag))
+        text = " ".join(rng.choice(bag[lang].split()) for _ in range(rng.randint(0, 12)))
+        rows.append((i, text, rng.choice([lang, lang, None, "it"]), rng.choice(["a.example.com", "b.example.com", "c.org", None]), rng.choice([None, "de"])))
+    rows += [(60, "ксе это другой язык", None, "c.org", None), (61, None, "en", "c.org", None), (7, "again", "en", None, None)]
+    frame = spark.createDataFrame(rows, "id long, text string, declared string, host string, address string")
+    model = langid.fit(frame)
+    classes = (*langid.LANGUAGES, langid.OTHER)
+    ll = []
+    for r in rows:
+        padded = f"  {(r[1] or '').lower()}  ".encode()
+        codes = langid.trigrams(f"  {(r[1] or '').lower()}  ")[0]
+        assert len(codes) == sum(any(x >= 128 or 97 <= x <= 122 for x in padded[j : j + 3]) for j in range(len(padded) - 2))
+        ll.append([sum(float(model[l][c]) for c in codes) / 3 for l in range(5)] if len(codes) else [0.0] * 5)
+    best = [max(range(5), key=lambda l, x=x: (x[l], -l)) if any(x) else None for x in ll]
+    got = sorted(langid.fuse(frame, model).collect(), key=lambda r: (r["id"], r["n_trigrams"]))
+    assert len(got) == len(rows)
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else None
+    suffix = lambda h: h.split(".")[-1] if h else None
+    expected = []
+    for i, r in enumerate(rows):
+        others = [(rows[j][3], best[j]) for j in range(len(rows)) if j != i and best[j] is not None]
+        prior = [(sum(b == l for _, b in others) + 1) / (len(others) + 5) for l in range(5)]
+        for up in (suffix, domain, lambda h: h):
+            same_ = [b for h, b in others if r[3] and up(h) == up(r[3])]
+            prior = [(sum(b == l for b in same_) + 5 * prior[l]) / (len(same_) + 5) for l in range(5)]
+        logs = [ll[i][l] + math.log(prior[l]) for l in range(5)]
+        for told, trust in ((r[2], 0.9), (r[4], 0.7)):
+            if told:
+                told = told if told in classes else "other"
+                logs = [x + math.log(trust if classes[l] == told else (1 - trust) / 4) for l, x in enumerate(logs)]
+        top = max(logs)
+        expected.append((r[0], 1 / sum(math.exp(x - top) for x in logs), classes[logs.index(top)]))
+    for want, have in zip(sorted(expected, key=lambda x: x[:2]), sorted(got, key=lambda r: (r["id"], r["posterior"])), strict=True):
+        assert want[0] == have["id"] and abs(want[1] - have["posterior"]) < 1e-4 and want[2] == have["lang"]
+    assert not [r for r in got if r["id"] in (60, 61) and r["accepted"]]
+
+
+def test_language_held_out_accuracy(spark):
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    held = F.xxhash64("doc_id") % 2 == 0
+    blind = d.withColumn("true", F.col("lang")).withColumn("lang", F.when(~held, F.col("lang")))
+    got = langid.identify_documents(blind).join(blind.where(held).select(F.col("doc_id").alias("id"), "true"), "id").where("n_trigrams >= 20").toPandas()
+    assert len(got) > 300 and (got.text_lang == got.true).mean() >= 0.98 and (got.lang == got.true).mean() >= 0.98 and got.accepted.mean() >= 0.98
+    odd = docs(spark, ["это совсем другой язык и другое письмо", "ここには日本語の文章があります", "qzx jkq wvx qqq zzk xjq"]).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.identify_documents(odd.select("doc_id", "text", "lang", "source"), model=langid.fit(langid.document_rows(d)))
+    assert [r["accepted"] for r in kept.collect()] == [False] * 3
+    assert langid.identify_documents(d.limit(0)).count() == 0
+
+
 def test_language_rejects_single_rows(spark):
     good = "the and of to with this that"
     rows = [(None, good), (None, "123"), (None, None), (None, good), (7, good), (7, "456"), (8, good)]
