@@ -490,8 +490,33 @@ def test_lm_base_score(spark):
 def test_embedding_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(0, v, 1), (1, [2.0, 4.0, 6.0], 1), (2, v, 1), (3, v, 2), (4, None, 1), (5, [0.0] * 3, 1), (6, [1.0, None, 1.0], 1), (7, [float("nan")] * 3, 1), (8, v, None), (9, [1.0, 2.0], 1), (10, [3.0, -2.0, 1.0], 1)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=2).collect()}
-    assert [got[i] for i in range(11)] == [(2, 0), (2, 0), (2, 0), *((0, i) for i in range(3, 11))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash"))
+    for size in (12, 1000):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(frame, tile_bytes=size).collect()}
+        assert [got[i] for i in range(11)] == [(2, 0), (2, 0), (2, 0), *((0, i) for i in range(3, 11))]
+    assert embedding.near_duplicates(frame.limit(0)).count() == 0
+    again = spark.createDataFrame([(5, v, 1), (5, v, 1), (3, [9.0, 0.0, 0.0], 1), (None, v, 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(str, ((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(again).collect()))) == ["(3, 0, 3, True)", "(5, 1, 5, True)", "(5, 1, 5, True)", "(None, 0, None, True)"]
+
+
+def test_embedding_tiles_lose_no_link(spark):
+    rng = np.random.RandomState(9)
+    base = rng.randn(60, 12)
+    v = np.concatenate([b + 0.12 * rng.randn(12, 12) for b in base]).astype(np.float32).astype(np.float64)
+    label = np.arange(len(v)) // 12 % 2
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = ((unit @ unit.T) >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(v), dtype=bool)
+    root = np.arange(len(v))
+    for _ in range(len(v)):
+        new = np.minimum(root, np.where(links, root[None, :], len(v)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    frame = spark.createDataFrame([(i, [float(y) for y in x], int(k)) for i, (x, k) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    for size in (2000, 400_000):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(frame, tile_bytes=size).collect()}
+        assert [got[i] for i in range(len(v))] == list(zip(links.sum(axis=1).tolist(), root.tolist(), strict=True))
+    assert links.sum() > 500
 
 
 def test_decontamination_brute_force(spark):
