@@ -519,40 +519,94 @@ def test_embedding_tiles_lose_no_link(spark):
     assert links.sum() > 500
 
 
+def holds(item, text):
+    """Whether a text holds a passage of an item, by the full edit-distance table."""
+    low = decontaminate.normalised(item)
+    if not low:
+        return False
+    if len(low) < decontaminate.LEAST:
+        return low in [decontaminate.normalised(x) for x in (text or "").split("\n")]
+    text = decontaminate.normalised(text)
+    w, e, _, _ = decontaminate.plan(len(low))
+    for a in range(len(low) - w + 1):
+        row = np.zeros(len(text) + 1, int)
+        codes = np.array([ord(c) for c in text], int)
+        for i, ch in enumerate(low[a : a + w], 1):
+            new = np.empty_like(row)
+            new[0] = i
+            new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(ch)))
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        if row.min() <= e:
+            return True
+    return False
+
+
 def test_decontamination_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(12)] + ["tiny"]
-    texts = [None, ""]
+    items = [" ".join(word() for _ in range(rng.randint(8, 30) if i % 4 else 5)) for i in range(16)] + ["tiny", "two words", "", None]
+    texts = [None, "", "Tiny", "a tiny line\n  two   WORDS \nend", "ab " * 40_000]
     for _ in range(40):
         t = [word() for _ in range(60)]
-        s = list(rng.choice(items[:12]))
+        s = list(rng.choice(items[:16]))
         for _ in range(rng.randint(0, 6)):
             s[rng.randrange(len(s))] = rng.choice("xyz")
         texts.append(" ".join(t[:30]) + " " + "".join(s).upper() + "\n" + " ".join(t[30:]))
-
-    def hit(item, text):
-        item, text = decontaminate.normalised(item), decontaminate.normalised(text)
-        if len(item) < decontaminate.LEAST:
-            return False
-        w, e, _ = decontaminate.plan(len(item))
-        for a in range(len(item) - w + 1):
-            p = item[a : a + w]
-            row = [0] * (len(text) + 1)
-            for i, ch in enumerate(p, 1):
-                new = [i]
-                for j, b in enumerate(text, 1):
-                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (ch != b)))
-                row = new
-            if min(row) <= e:
-                return True
-        return False
-
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, texts), bench).collect()}
-    pairs = rng.sample([(i, j) for i in range(len(texts)) for j in range(len(items))], 60) + list(got)[:20]
+    assert any(decontaminate.LEAST <= len(t) < 36 for t in items if t)
+    bench = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
+    found = decontaminate.find(docs(spark, texts), bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert len(found) == len(got)
+    pairs = rng.sample([(i, j) for i in range(len(texts)) if i != 4 for j in range(len(items))], 250) + list(got)[:20] + [(2, 16), (3, 16), (3, 17)]
     for i, j in pairs:
-        assert ((i, j) in got) == hit(items[j], texts[i]), (i, j)
+        assert ((i, j) in got) == holds(items[j], texts[i]), (i, j)
+    small = decontaminate.find(docs(spark, texts), bench, block_chars=600).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, found))
+    assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0 and decontaminate.find(docs(spark, texts), bench.limit(0)).count() == 0
+    twice = docs(spark, [texts[-1]] * 2).withColumn("doc_id", F.lit(None).cast("long")).withColumn("edits", F.lit("clash"))
+    assert decontaminate.find(twice, bench).count() in (0, 2) and decontaminate.remove(twice, bench).count() == 2
+
+
+def test_decontamination_slices_lose_nothing():
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 5)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(40)]
+    texts = []
+    for _ in range(12):
+        parts = [" ".join(word() for _ in range(40)) for _ in range(6)]
+        for i in rng.sample(range(40), 4):
+            a = rng.randrange(0, 40)
+            parts.insert(rng.randrange(len(parts)), items[i][1][a : a + 70])
+        texts.append(" ".join(parts))
+    want = sorted((x[0], x[1]) for x in decontaminate.Block(items).search(texts))
+    before = decontaminate.HITS
+    try:
+        decontaminate.HITS = 50
+        assert sorted((x[0], x[1]) for x in decontaminate.Block(items).search(texts)) == want and len(want) >= 40
+    finally:
+        decontaminate.HITS = before
+
+
+def test_decontamination_finds_every_edited_passage_of_the_tables(spark):
+    rng = random.Random(25)
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text").toPandas()
+    bench = spark.read.parquet(SF.replace("0.001", "0.01") + "/benchmark.parquet")
+    items = bench.toPandas()
+    clean = {r["doc_id"] for r in decontaminate.find(spark.createDataFrame(d), bench).select("doc_id").collect()}
+    planted = []
+    for i in d.doc_id:
+        if i in clean or i % 3:
+            continue
+        text, item = d.text[i] or "", decontaminate.normalised(items.text[rng.randrange(len(items))])
+        a = rng.randrange(len(item) - 63)
+        passage = list(item[a : a + 64])
+        for k in rng.sample(range(2, 62), rng.randint(0, 3)):
+            passage[k] = rng.choice("qxz")
+        at = rng.randrange(len(text) + 1)
+        d.loc[d.doc_id == i, "text"] = text[:at] + " " + "".join(passage) + " " + text[at:]
+        planted.append(i)
+    found = {r["doc_id"] for r in decontaminate.find(spark.createDataFrame(d), bench).select("doc_id").collect()}
+    assert len(planted) > 200 and set(planted) <= found and found <= clean | set(planted)
 
 
 def test_pipeline_small(spark):
