@@ -17,6 +17,11 @@ from .common import arrow_map
 FIT_ROWS = 8000
 #: Stems and words that are mined from them, each a voter.
 MINED = 400
+#: Least strength (nats of the likelihood ratio) of a mined term: many candidates reach less by chance.
+LEAST_STRENGTH = 12.0
+#: Lexicons that they are dealt to, by falling strength, words from which silence means clean, least
+#: mutual information (nats) of two voters that depend on each other.
+MINED_VOTERS, ENOUGH, LEAST_INFORMATION = 80, 30, 1e-4
 #: A posterior of this or more is predicted toxic.
 THRESHOLD = 0.3
 
@@ -115,9 +120,9 @@ class Scorer:
                     out[base + j] = n
         return out, len(tokens)
 
-    def vector(self, text: str | None) -> tuple[list[int], list[float]]:
-        """Sparse features: presence, twice, four times, and density of each voter, then totals."""
-        counts, n = self.counts(text)
+    def vector(self, counted: tuple[dict[int, int], int]) -> tuple[list[int], list[float]]:
+        """Sparse features: presence, twice, four times, and density of each term, then totals."""
+        counts, n = counted
         at, value = [], []
         for i, c in counts.items():
             at.append(4 * i), value.append(1.0)
@@ -133,50 +138,105 @@ class Scorer:
         return at, value
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden class, voter rates and voter weights.
-
-    ``votes`` (documents, voters) holds 1 (toxic), 0 (clean) and -1 (abstains).
-    A voter's rate of each vote given each class is estimated by expectation
-    and maximisation, started from the first voter. Voters that
-    agree beyond what the class explains are correlated: a voter's evidence is
-    divided by one plus the sum of its positive conditional correlations.
-    """
-    n, m = votes.shape
-    q = np.where(votes[:, 0] == 1, 0.9, np.where(votes[:, 0] == 0, prior * 0.5, prior)).astype(float)
-    one, zero = (votes == 1).astype(np.float32), (votes == 0).astype(np.float32)
-    weights = np.ones(m)
-    rates = np.zeros((m, 2, 2))
-    for step in range(rounds):
-        for y, w in ((1, q), (0, 1 - q)):
-            said = (one + zero).T @ w + 2.0
-            rates[:, y, 1] = (one.T @ w + (1.0 if y else 0.2)) / said
-            rates[:, y, 0] = 1 - rates[:, y, 1]
-        rates = np.clip(rates, 1e-4, 1 - 1e-4)
-        if step in (5, 15):
-            weights = 1.0 / (1.0 + _correlation(one, zero, q, rates))
-            weights[0] = 1.0
-        prior = float(np.clip(q.mean(), 0.005, 0.6))
-        score = np.log(prior / (1 - prior)) + one @ (weights * np.log(rates[:, 1, 1] / rates[:, 0, 1])) + zero @ (weights * np.log(rates[:, 1, 0] / rates[:, 0, 0]))
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - q).max() < 1e-4 and step > 16:
+def voters_of(counts: dict[int, int], tokens: int, mined: int, given: int) -> np.ndarray:
+    """The votes of all voters on a text: 1 toxic, 0 clean, -1 abstains.
+
+    Voters are the given lexicons and patterns, the mined terms dealt to
+    :data:`MINED_VOTERS` lexicons, and three that weigh all hits. A lexicon votes
+    toxic where one of its terms occurs and clean where a text of
+    :data:`ENOUGH` words or more has none; on a shorter text without hits it
+    abstains, as silence says little there."""
+    out = np.full(MINED_VOTERS + given + 3, 0 if tokens >= ENOUGH else -1, np.int8)
+    strong = weak = 0
+    for i, c in counts.items():
+        out[i * MINED_VOTERS // mined if i < mined else MINED_VOTERS + i - mined] = 1
+        strong, weak = strong + c * (i < mined), weak + c
+    distinct = len(counts)
+    out[-3] = 1 if distinct >= 2 else 0 if distinct == 0 else -1
+    out[-2] = 1 if strong >= 3 else 0 if strong == 0 else -1
+    out[-1] = 1 if 50 * weak >= tokens and weak else 0 if weak == 0 else -1
+    return out
+
+
+class LabelModel:
+    """A hidden class, voters that may abstain, and a forest of dependences between them.
+
+    P(votes | class) is a product over voters of P(vote | class, vote of the
+    parent); which voters speak does not depend on the class, so an abstention is
+    no evidence. Each voter has one parent at most: the forest is the maximum
+    spanning one over the mutual information of two voters' votes given the class.
+    Parameters and forest are estimated by expectation and maximisation. The
+    expectation may use a noisy label of each text as a further voter; posteriors
+    for training never do."""
+
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 30):
+        n, m = votes.shape
+        said = [(votes == x).astype(np.float64) for x in (-1, 0, 1)]
+        lean = (said[2].sum(axis=1) - 0.5 * said[1].sum(axis=1) > 0).astype(float)
+        q = 0.5 * lean + 0.5 * np.where(labels >= 0, labels, lean)
+        self.parent = np.full(m, -1)
+        for step in range(rounds):
+            q = np.clip(q, 1e-4, 1 - 1e-4)
+            self.prior = float(np.clip(q.mean(), 0.005, 0.6))
+            w = (1 - q, q)
+            # joint[y][a, b][i, j]: weight of texts on which i says a and j says b
+            if step in (0, 5, 10):
+                self.parent = self._forest(said, w)
+            self.rate = np.zeros((m, 2, 3))  # P(toxic | spoke, class, what the parent says: abstains, clean, toxic)
+            for j in range(m):
+                for y in (0, 1):
+                    base = (said[2][:, j] @ w[y] + (0.6 if y else 0.1)) / ((said[1][:, j] + said[2][:, j]) @ w[y] + 1.0)
+                    for a in range(3):
+                        given = said[a][:, self.parent[j]] * w[y] if self.parent[j] >= 0 else w[y]
+                        self.rate[j, y, a] = (said[2][:, j] @ given + 5 * base) / ((said[1][:, j] + said[2][:, j]) @ given + 5)
+            self.rate = np.clip(self.rate, 1e-3, 1 - 1e-3)
+            self.label = [np.clip(((labels == 1) @ w[y] + 1.0) / ((labels >= 0) @ w[y] + 2.0), 0.02, 0.98) for y in (0, 1)]
+            odds = self.odds(votes)
+            odds += np.where(labels == 1, np.log(self.label[1] / self.label[0]), np.where(labels == 0, np.log((1 - self.label[1]) / (1 - self.label[0])), 0.0))
+            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            moved = np.abs(new - q).max()
             q = new
-            break
-        q = new
-    return q, rates, weights
-
+            if moved < 1e-3 and step > 10:
+                break
+
+    @staticmethod
+    def _forest(said: list, w: tuple) -> np.ndarray:
+        m = said[0].shape[1]
+        info = np.zeros((m, m))
+        total = sum(x.sum() for x in w)
+        for y in (0, 1):
+            both = np.zeros((2, 2, m, m))
+            for a in (0, 1):
+                for b in (0, 1):
+                    both[a, b] = (said[a + 1] * w[y][:, None]).T @ said[b + 1] + 0.05
+            all_ = both.sum(axis=(0, 1))
+            left, right = both.sum(axis=1), both.sum(axis=0)
+            for a in (0, 1):
+                for b in (0, 1):
+                    info += both[a, b] / total * np.log(both[a, b] * all_ / (left[a] * right[b]))
+        np.fill_diagonal(info, 0.0)
+        parent = np.full(m, -1)
+        inside, near, by = np.zeros(m, bool), np.full(m, -1.0), np.full(m, -1)
+        for _ in range(m):
+            j = int(np.argmax(np.where(inside, -np.inf, near)))
+            inside[j] = True
+            if near[j] > LEAST_INFORMATION:
+                parent[j] = by[j]
+            closer = ~inside & (info[j] > near)
+            near[closer], by[closer] = info[j][closer], j
+        return parent
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds of toxic given the votes alone."""
+        out = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j in range(votes.shape[1]):
+            a = votes[:, self.parent[j]] + 1 if self.parent[j] >= 0 else np.zeros(len(votes), int)
+            p, q = self.rate[j, 1][a], self.rate[j, 0][a]
+            out += np.where(votes[:, j] == 1, np.log(p / q), np.where(votes[:, j] == 0, np.log((1 - p) / (1 - q)), 0.0))
+        return out
 
-def _correlation(one, zero, q, rates) -> np.ndarray:
-    """Sum of each voter's positive correlations given the class."""
-    total = np.zeros(one.shape[1])
-    for y, w in ((1, q), (0, 1 - q)):
-        residual = (one - rates[:, y, 1] * (one + zero)) * np.sqrt(w)[:, None]
-        cov = residual.T @ residual
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = cov / sd[:, None] / sd[None, :]
-        np.fill_diagonal(rho, 0.0)
-        total += np.where(rho > 0.15, rho, 0.0).sum(axis=1) * (0.7 if y else 0.3)
-    return total
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.odds(votes), -30, 30)))
 
 
 def logistic(at: list, value: list, target: np.ndarray, size: int, l2: float = 2e-3, rounds: int = 300) -> np.ndarray:
@@ -202,12 +262,15 @@ def held_out_of(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: int = MINED) -> tuple[Scorer, np.ndarray]:
     """Scorer and classifier weights from ``docs(id, text)`` and ``labels(id, label)``.
 
-    At most ``fit_rows`` labelled rows are used. Candidate stems and words are
-    counted on the executors by grouped aggregation; the ``mined`` ones with the
-    strongest association are kept.
+    At most ``fit_rows`` labelled rows are used, equal texts once, toxic if any
+    of them is marked so. Candidate stems and words are counted on the executors
+    by grouped aggregation; at most ``mined`` of them, with the strongest
+    association with the label, become terms. The classifier learns from the
+    posteriors of :class:`LabelModel`, in which the labels only help to estimate
+    how far each voter can be trusted.
     """
     chosen = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    sample = docs.join(F.broadcast(chosen), "id").select("text", "label").where("text is not null").dropDuplicates(["text"])
+    sample = docs.join(F.broadcast(chosen), "id").select("text", "label").where("text is not null").groupBy("text").agg(F.max("label").alias("label"))
     sizes = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     terms: list[str] = []
@@ -216,8 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: i
             F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q")
         )
         rate_p, rate_q = (F.col("p") + 0.5) / (pos + 1.0), (F.col("q") + 0.5) / (neg + 1.0)
-        strength = F.col("p") * F.log(rate_p / rate_q)
-        best = counted.where((F.col("p") >= max(3, round(0.004 * pos))) & (rate_p > 5 * rate_q)).withColumn("g", strength).orderBy(F.desc("g"), "f").limit(mined)
+        n, share = F.col("p") + F.col("q"), pos / (pos + neg)
+        part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * s))).otherwise(0.0)
+        best = counted.where(rate_p > 5 * rate_q).withColumn("g", part("p", share) + part("q", 1 - share)).where(F.col("g") >= LEAST_STRENGTH).orderBy(F.desc("g"), "f").limit(mined)
         seen = {}
         for r in best.collect():
             seen.setdefault(r["f"].rpartition("#")[0], None)
@@ -225,30 +289,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: i
     scorer = Scorer(terms)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
+    given = len(scorer.groups) + len(PATTERNS)
+
     def vectors(batch: pa.RecordBatch):
-        s = shared.value
-        both = [s.vector(t) for t in batch.column("text").to_pylist()]
-        yield [b[0] for b in both], [b[1] for b in both], batch.column("label").cast(pa.int32())
-
-    got = arrow_map(sample, vectors, "at array<int>, value array<double>, label int").toPandas()
-    at, value = [list(a) for a in got["at"]], [list(v) for v in got["value"]]
-    label = got["label"].to_numpy(float)
-    if not len(label):
+        s, out, votes = shared.value, [], []
+        for t in batch.column("text").to_pylist():
+            counts = s.counts(t)
+            out.append(s.vector(counts)), votes.append(voters_of(*counts, len(s.mined), given).astype(np.int32))
+        yield [b[0] for b in out], [b[1] for b in out], votes, batch.column("label").cast(pa.int32())
+
+    got = arrow_map(sample, vectors, "at array<int>, value array<double>, votes array<int>, label int").toPandas()
+    if not len(got):
         return scorer, logistic([], [], np.empty(0), 4 * scorer.size + 3)
-    # voters: the label itself, which is noisy; each term at one, and at two occurrences; no term at all
-    votes = np.full((len(at), 2 + 2 * scorer.size), -1, np.int8)
-    votes[:, 0] = label
-    votes[:, 1] = [0 if not any(i < 4 * scorer.size for i in a) else -1 for a in at]
-    for k, a in enumerate(at):
-        for i in a:
-            if i < 4 * scorer.size and i % 4 < 2:
-                votes[k, 2 + 2 * (i // 4) + i % 4] = 1
-    # a term that is absent is weak evidence of its own; it abstains, so that rates compare documents where it spoke
-    for j in range(2, votes.shape[1]):
-        votes[:, j] = np.where(votes[:, j] == 1, 1, 0)
-    use = [0, 1, *(j for j in range(2, votes.shape[1]) if (votes[:, j] == 1).sum() >= 3)]
-    q, _, _ = label_model(votes[:, use], float(np.clip(label.mean(), 0.01, 0.5)))
-    return scorer, logistic(at, value, q, 4 * scorer.size + 3)
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (len(got["at"][i]), list(got["at"][i]), list(got["value"][i])))]  # the same sums in every run
+    votes = np.stack(got["votes"].to_list())
+    posterior = LabelModel(votes, got["label"].to_numpy()).posterior(votes)
+    return scorer, logistic([list(a) for a in got["at"]], [list(v) for v in got["value"]], posterior, 4 * scorer.size + 3)
 
 
 def score(docs: DataFrame, scorer: Scorer, weights: np.ndarray) -> DataFrame:
@@ -259,7 +315,7 @@ def score(docs: DataFrame, scorer: Scorer, weights: np.ndarray) -> DataFrame:
         s, w = shared.value
         out = []
         for text in batch.column("text").to_pylist():
-            at, value = s.vector(text)
+            at, value = s.vector(s.counts(text))
             z = sum(w[i] * v for i, v in zip(at, value, strict=True)) + w[-1]
             out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         yield batch.column("id"), out
@@ -271,12 +327,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``doc_id, held_out, score, predicted`` for every document.
 
     Labels of rows with ``crc32(doc_id) % 4 == 2`` are never read for learning,
-    and no other column than the text enters a score.
+    and no other column than the text enters a score. What is learned comes from
+    at most ``fit_rows`` labelled rows (:data:`FIT_ROWS`), the ones with the
+    smallest hashes of their ids, and from at most ``mined`` terms
+    (:data:`MINED`); both bound the classifier, not what is scored.
 
     Edge cases: null and empty texts get the score of a text without any hit.
     Null ids are scored, not held out and not learned from. Repeated rows are
-    scored each. Without labels of both classes nothing is mined and all texts
-    score the prior. An empty table gives no rows.
+    scored each; equal texts score alike. Without labels of both classes nothing
+    is mined. Very long texts are scored whole. An empty table gives no rows.
+    Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(~held_out_of(F.col("id")))

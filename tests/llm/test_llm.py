@@ -404,14 +404,49 @@ def test_language_rejects_single_rows(spark):
 
 
 def test_toxicity_held_out(spark):
-    got = queries.op7_toxicity(spark, SF.replace("0.001", "0.01")).toPandas()
-    labels = spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").toPandas()
-    both = got[got.held_out].merge(labels, on="doc_id")
-    assert ((both.predicted == 1) & (both.toxic == 1)).sum() >= 0.6 * both.toxic.sum()
-    assert ((both.predicted == 1) & (both.toxic == 0)).mean() < 0.03
-    assert got.score.between(0, 1).all() and len(got) == 1000
+    sf = SF.replace("0.001", "0.1")
+    rows, labels = spark.read.parquet(sf + "/documents.parquet"), spark.read.parquet(sf + "/labels.parquet")
+    got = toxicity.classify(rows.join(labels.select("doc_id"), "doc_id"), labels).toPandas()
+    both = got[got.held_out].merge(labels.toPandas(), on="doc_id")
+    assert ((both.predicted == 1) & (both.toxic == 1)).sum() >= 0.93 * both.toxic.sum()
+    assert ((both.predicted == 1) & (both.toxic == 0)).mean() < 0.015
+    assert got.score.between(0, 1).all()
+
+
+def test_toxicity_edges(spark):
     nothing = toxicity.classify(docs(spark, [None, ""]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert len(nothing) == 2
+    assert len(nothing) == 2 and len({r["score"] for r in nothing}) == 1
+    texts = ["you are such an idiot and a moron " * 3, "a fine day with nothing to say about it"] * 12 + [None, "", "you idiot"]
+    marks = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(24)] + [(0, 0), (None, 1), (1, None)], "doc_id long, toxic int")
+    frame = docs(spark, texts).unionByName(docs(spark, texts)).withColumn("score", F.lit("clash"))
+    got = toxicity.classify(frame, marks).collect()
+    by_text = {}
+    for r in got:
+        by_text.setdefault(texts[r["doc_id"]], set()).add((r["score"], r["predicted"]))
+    assert len(got) == 54 and all(len(v) == 1 for v in by_text.values())
+    assert max(by_text[texts[0]])[0] > 0.5 > max(by_text[texts[1]])[0]
+    assert toxicity.classify(frame.limit(0), marks).count() == 0
+    assert sorted(toxicity.classify(frame, marks).collect()) == sorted(got)
+
+
+def test_label_model_abstains_and_knows_copies():
+    rng = np.random.RandomState(3)
+    truth = rng.rand(4000) < 0.3
+    rates = [0.9, 0.85, 0.8, 0.75, 0.7]
+    votes = np.stack([np.where(rng.rand(4000) < 0.4, -1, np.where(rng.rand(4000) < r, truth, ~truth).astype(int)) for r in rates] + [np.full(4000, -1)], axis=1)
+    copies = np.repeat(votes[:, 4:5], 6, axis=1)  # six voters that repeat the worst one
+    noisy = np.where(rng.rand(4000) < 0.15, ~truth, truth).astype(int)
+    model = toxicity.LabelModel(np.hstack([votes, copies]), noisy)
+    q = model.posterior(np.hstack([votes, copies]))
+    assert ((q > 0.5) == truth).mean() > 0.85
+    silent = model.posterior(np.full((1, 12), -1))
+    assert abs(silent[0] - model.prior) < 1e-9  # abstentions are no evidence
+    lone = np.full((2, 12), -1)
+    lone[0, 4] = 1
+    lone[1, 4] = lone[1, 6:] = 1
+    one, seven = model.posterior(lone)
+    assert seven < 1 / (1 + (1 - one) / one * 0.5)  # six copies add less than a single voter of 2:1 would
+    assert (model.parent >= 0).sum() >= 6
 
 
 def brute_ppm(train, text, order=5):
