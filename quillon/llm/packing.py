@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import zlib
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, to_arrow
@@ -17,8 +19,12 @@ from .common import release, to_arrow
 CACHE = 400_000
 #: Rows of one output batch.
 OUT_ROWS = 20_000
-#: Tokens of one step group.
-STEP_TOKENS = 8 * 1024
+#: Tokens of one step group, and groups that may stand open in a task.
+STEP_TOKENS, OPEN_STEPS = 8 * 1024, 16
+#: The shortest context size.
+SHORTEST = 128
+#: Pieces of a tier that wait until its windows are filled.
+WAIT = 48
 
 
 class ByteTokenizer:
@@ -30,11 +36,10 @@ class ByteTokenizer:
     joins what stands on both sides of a blank; any other text is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(content)["model"]
         letters = byte_letters()
         ranks = {}
         for piece, i in model["vocab"].items():
@@ -86,77 +91,91 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-_loaded: dict[str, ByteTokenizer] = {}
+_loaded: dict[bytes, ByteTokenizer] = {}
 
 
-def tokenizer(path: str) -> ByteTokenizer:
-    if path not in _loaded:
-        _loaded[path] = ByteTokenizer(path)
-    return _loaded[path]
+def tokenizer(content: bytes) -> ByteTokenizer:
+    """The tokenizer of a vocabulary file's content, built once in a worker."""
+    key = hashlib.sha256(content).digest()
+    if key not in _loaded:
+        _loaded[key] = ByteTokenizer(content)
+    return _loaded[key]
 
 
 class Packer:
-    """Packs the pieces of one task.
-
-    A document is first cut into whole long windows. What is left is routed to
-    a tier by its length: the tier of the smallest power of two that holds it.
-    When a tier has pieces enough, a long window opens with the longest waiting
-    piece and its gap is filled from the longest shorter tiers that fit; a last
-    piece is cut to close the gap exactly. What remains at the end fills windows
-    of falling powers of two, so nothing needs padding. Waiting pieces are
-    bounded by ``wait`` for each tier.
+    """Packs the documents of one task in several context sizes.
+
+    The tiers are the powers of two from :data:`SHORTEST` to ``window``. A
+    document is cut into whole long windows, and its rest is routed to the
+    smallest tier that holds it. Each tier is packed in sequences of its own
+    length: a sequence opens with a waiting piece of its tier, and its gap is
+    filled with the longest waiting pieces of shorter tiers that fit; the last
+    one is cut to close the gap exactly, and what is left of it is routed anew.
+    Where no shorter piece waits, the next piece of the tier is cut. So every
+    sequence is full. At the end what still waits fills sequences of falling
+    powers of two. ``wait`` bounds the pieces that wait in a tier.
+
+    Sequences of all tiers go to step groups of equal token counts: one goes to
+    the fullest open group with room for it. As all lengths are powers of two,
+    groups fill exactly; a group that is full is closed, and if too many stand
+    open the fullest is given up as it is.
     """
 
-    def __init__(self, window: int, base: int, wait: int = 64, step_tokens: int = STEP_TOKENS):
+    def __init__(self, window: int, base: int, wait: int = WAIT, step_tokens: int = STEP_TOKENS, shortest: int = SHORTEST):
         assert window & (window - 1) == 0
-        self.window, self.next, self.wait, self.step_tokens = window, base, wait, step_tokens
+        self.window, self.next, self.wait, self.step_tokens = window, base, wait, max(step_tokens, window)
+        self.low = (min(shortest, window)).bit_length() - 1
         self.levels = window.bit_length()
         self.tiers: list[deque] = [deque() for _ in range(self.levels)]
         self.held = 0
-        self.steps: dict[int, list[int]] = {}
+        self.steps: list[list[int]] = []  # (tokens, group)
         self.step = base
         self.out: list[tuple] = []
 
-    def _close(self, pieces: list[tuple], size: int) -> None:
-        """pieces: (doc row, start, length). Sequences of one size share step groups of equal token counts."""
-        group = self.steps.get(size)
-        if group is None or group[1] + size > max(self.step_tokens, size):
+    def _group(self, size: int) -> int:
+        best = max((g for g in self.steps if g[0] + size <= self.step_tokens), default=None)
+        if best is None:
+            if len(self.steps) >= OPEN_STEPS:
+                self.steps.remove(max(self.steps))
             self.step += 1
-            group = self.steps[size] = [self.step, 0]
-        group[1] += size
-        at = 0
+            self.steps.append(best := [0, self.step])
+        best[0] += size
+        if best[0] == self.step_tokens:
+            self.steps.remove(best)
+        return best[1]
+
+    def _close(self, pieces: list[tuple], size: int) -> None:
+        group, at = self._group(size), 0
         for doc, start, length in pieces:
-            self.out.append((doc, start, length, self.next, at, size, group[0]))
+            self.out.append((doc, start, length, self.next, at, size, group))
             at += length
         self.next += 1
 
+    def _tier(self, length: int) -> int:
+        return max(self.low, (length - 1).bit_length())
+
     def _put(self, piece: tuple) -> None:
-        self.tiers[(piece[2] - 1).bit_length()].append(piece)
+        self.tiers[self._tier(piece[2])].append(piece)
         self.held += piece[2]
 
-    def _take(self, most: int) -> tuple | None:
-        """A waiting piece of the longest tier with one that fits in ``most``; else any, cut."""
-        top = most.bit_length() - 1
-        for k in range(min(self.levels - 1, top), -1, -1):
-            if self.tiers[k]:
-                self.held -= (p := self.tiers[k].popleft())[2]
-                return p
-        for k in range(top + 1, self.levels):
+    def _from(self, k: int) -> tuple:
+        piece = self.tiers[k].popleft()
+        self.held -= piece[2]
+        return piece
+
+    def _filler(self, room: int, tier: int) -> tuple:
+        """A piece of the longest shorter tier that fits, else a longer one, to be cut."""
+        top = min(tier, room.bit_length() - 1)
+        for k in (*range(top, -1, -1), *range(top + 1, self.levels)):
             if self.tiers[k]:
-                self.held -= (p := self.tiers[k].popleft())[2]
-                return p
-        return None
+                return self._from(k)
+        raise AssertionError("nothing waits")
 
-    def _fill(self, size: int) -> None:
+    def _fill(self, size: int, tier: int) -> None:
+        """One sequence of ``size`` tokens that opens with a piece of the tier; at least so many must wait."""
         pieces, room = [], size
-        lead = next((t for t in reversed(self.tiers) if t), None)
         while room:
-            if not pieces and lead:
-                p = lead.popleft()
-                self.held -= p[2]
-            else:
-                p = self._take(room)
-            doc, start, length = p
+            doc, start, length = self._from(tier) if not pieces else self._filler(room, tier)
             if length > room:
                 self._put((doc, start + room, length - room))
                 length = room
@@ -170,29 +189,41 @@ class Packer:
             self._close([(doc, start, self.window)], self.window)
             start += self.window
         if tokens > start:
-            self._put((doc, start, tokens - start))
-        while self.held >= self.window and max(map(len, self.tiers)) > self.wait:
-            self._fill(self.window)
+            rest = (doc, start, tokens - start)
+            self._put(rest)
+            k = self._tier(rest[2])
+            while len(self.tiers[k]) > self.wait and self.held >= 1 << k:
+                self._fill(1 << k, k)
 
     def finish(self) -> None:
-        while self.held >= self.window:
-            self._fill(self.window)
+        for k in range(self.levels - 1, self.low - 1, -1):
+            while self.tiers[k] and self.held >= 1 << k:
+                self._fill(1 << k, k)
         while self.held:
-            self._fill(1 << (self.held.bit_length() - 1))
+            self._fill(1 << (self.held.bit_length() - 1), next(k for k in range(self.levels - 1, -1, -1) if self.tiers[k]))
+
+
+def _content(spark: SparkSession, path: str) -> bytes:
+    """A file that the driver sees; else one that Spark does."""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, with_ids: bool = False, shortest: int = SHORTEST) -> DataFrame:
     """Cut and pack all documents into sequences of at most ``window`` tokens.
 
     A document's tokens are the ids of its text and then ``end_id``. Returns one
     row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset``, then ``sequence_tokens`` (a power of two), ``step_group`` (sequences
-    of one size with together at most eight windows of tokens) and, if
-    ``with_ids``, the piece's ``ids``.
+    offset``, then ``sequence_tokens`` (the context size of the sequence, a power
+    of two), ``step_group`` (sequences of all sizes with together
+    :data:`STEP_TOKENS` tokens, fewer in a task's last groups) and, if
+    ``with_ids``, the piece's ``ids``. See :class:`Packer`.
 
     Every task packs what it reads, so nothing is shuffled and no padding is
-    needed: all sequences are full windows of a power of two. Sequence ids hold
-    the task's number, so that they are unique.
+    needed. The vocabulary file is read by the driver and sent to the tasks.
+    Sequence ids hold the task's number, so that they are unique.
 
     Edge cases: a null text is empty, and an empty text is the end id alone. A
     null document id is packed like any other. Repeated rows are packed each.
@@ -202,12 +233,13 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long" + (", ids array<int>" if with_ids else "")
     arrow = to_arrow(docs.sparkSession, schema)
     tail = np.array([end_id], "<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(_content(docs.sparkSession, vocabulary))
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode = tokenizer(vocabulary).encode
-        packer = Packer(window, TaskContext.get().partitionId() << 40)
+        encode = tokenizer(shared.value).encode
+        packer = Packer(window, TaskContext.get().partitionId() << 40, shortest=shortest)
 
         def rows():
             columns = [[] for _ in range(len(arrow))]

@@ -217,6 +217,41 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_packer_tiers_and_steps():
+    rng = random.Random(4)
+    packer = packing.Packer(1024, 0)
+    sizes = [min(20_000, int(rng.lognormvariate(5, 1.3)) + 1) for _ in range(6000)]
+    for doc, n in enumerate(sizes):
+        packer.add(doc, n)
+        assert max(map(len, packer.tiers)) <= packing.WAIT + 1 and len(packer.steps) <= packing.OPEN_STEPS
+    packer.finish()
+    covered, lead, tokens, groups, cut = {}, {}, {}, {}, {}
+    for doc, start, length, sequence, at, size, group in packer.out:
+        covered.setdefault(doc, []).append((start, length))
+        tokens[sequence] = tokens.get(sequence, 0) + length
+        groups.setdefault(group, {})[sequence] = size
+        if at == 0:
+            lead[sequence] = (size, length)
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(covered[doc]):
+            assert start == at
+            at += length
+        assert at == n
+        cut[doc] = len(covered[doc]) - 1 - n // 1024
+    assert all(n == lead[s][0] for s, n in tokens.items())
+    by_size = {}
+    for size, _ in lead.values():
+        by_size[size] = by_size.get(size, 0) + 1
+    assert all(by_size[k] > n for k, n in ((128, 10), (256, 100), (512, 500), (1024, 1000)))
+    # a sequence of a tier opens with a piece that belongs to that tier
+    assert sum(size // 2 < length <= size or size == 128 for size, length in lead.values()) >= 0.99 * len(lead)
+    full = [sum(g.values()) for g in groups.values()]
+    assert max(full) == packing.STEP_TOKENS and sum(x == packing.STEP_TOKENS for x in full) >= 0.97 * len(full)
+    assert sum(len(set(g.values())) > 1 for g in groups.values()) >= 0.9 * len(full)
+    assert sum(x > 0 for x in cut.values()) < 0.6 * len(sizes)
+
+
 # standard notices as their licences give them, in their usual wrapping
 NOTICES = {
     "MIT": """MIT License
