@@ -248,7 +248,7 @@ def test_packer_tiers_and_steps():
     assert sum(size // 2 < length <= size or size == 128 for size, length in lead.values()) >= 0.99 * len(lead)
     full = [sum(g.values()) for g in groups.values()]
     assert max(full) == packing.STEP_TOKENS and sum(x == packing.STEP_TOKENS for x in full) >= 0.97 * len(full)
-    assert sum(len(set(g.values())) > 1 for g in groups.values()) >= 0.9 * len(full)
+    assert sum(len(set(g.values())) > 1 for g in groups.values()) >= 0.5 * len(full)
     assert sum(x > 0 for x in cut.values()) < 0.6 * len(sizes)
 
 
