@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, written
+from .common import arrow_map, chunks, discard, written
 from .graph import link, stars
 
 #: Lines of fewer code points (without outer white space) repeat only if they are equal.
@@ -157,10 +157,13 @@ def keys_of(lines: list[str]) -> list:
 
 def sketches(lines: list[str]) -> np.ndarray:
     """256 parities of each line's words' counts: a word edit changes two of them at most."""
-    hashes, count = words_of(lines)
-    cell = np.repeat(np.arange(len(lines)), count) * 256 + (hashes >> np.uint64(56)).astype(np.int64)
-    odd = np.bincount(cell, minlength=256 * len(lines)).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.uint64).reshape(len(lines), 4)
+    out = [np.empty((0, 4), np.uint64)]
+    for begin, end in chunks(lines):
+        hashes, count = words_of(lines[begin:end])
+        cell = np.repeat(np.arange(end - begin), count) * 256 + (hashes >> np.uint64(56)).astype(np.int64)
+        odd = np.bincount(cell, minlength=256 * (end - begin)).astype(np.uint8) & 1
+        out.append(np.packbits(odd).view(np.uint64).reshape(end - begin, 4))
+    return np.concatenate(out)
 
 
 def alike(s: str, t: str, u: list[str], v: list[str]) -> bool:
@@ -239,8 +242,9 @@ def _lines(least: int):
                     fresh.append(len(ids)), new.append(line)
                 ids.append(doc), numbers.append(number), hashes.append(h)
         sent = [None] * len(ids)
-        for i, k in zip(fresh, keys_of(new), strict=True):
-            sent[i] = k
+        for begin, end in chunks(new):
+            for i, k in zip(fresh[begin:end], keys_of(new[begin:end]), strict=True):
+                sent[i] = k
         yield ids, numbers, hashes, sent
 
     return run
