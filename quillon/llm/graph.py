@@ -150,8 +150,8 @@ def link(multi: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Call
     more than one component, and linear rounds help, each member outside its
     bucket's largest component meets one more member of that, chosen by a hash.
     At last, for each largest component, the members outside it in its buckets
-    are compared with it and with each other in tiles of bounded size, which
-    return links between components only. Pairs inside a component need no check,
+    are compared with it and with each other in tiles of bounded size, small
+    components together in one, which return links between components only. Pairs inside a component need no check,
     so the components are those of the complete graph of links.
     """
     payload = written(fetch(multi.select("id").distinct()), "payload")
@@ -207,10 +207,36 @@ def link(multi: DataFrame, fetch: Callable[[DataFrame], DataFrame], linked: Call
 def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFrame:
     """Links ``(a, b)`` between the roots of ``members(major, id, root)`` of a major."""
     rows = written(members.withColumn("outside", F.col("root") != F.col("major")).join(payload, "id"), "across")
+    weight = F.length("payload") + TILE_MEMBER
     parts = rows.groupBy("major").agg(
-        *[F.ceil(F.sum(F.when(F.col("outside") == x, F.length("payload") + TILE_MEMBER).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))]
+        *[F.ceil(F.sum(F.when(F.col("outside") == x, weight).otherwise(0)) / F.lit(TILE_BYTES)).cast("int").alias(name) for x, name in ((True, "outer"), (False, "inner"))],
+        F.sum(weight).alias("weight"),
     )
-    rows = rows.join(written(parts.where("outer > 0"), "parts"), "major").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
+    parts = written(parts.where("outer > 0"), "parts")
+    small = F.col("weight") <= TILE_BYTES
+    bins = max(1, -(-int(parts.where(small).agg(F.sum("weight")).first()[0] or 0) // TILE_BYTES))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(root: np.ndarray, x: np.ndarray, y: np.ndarray, data: list) -> np.ndarray:
+        ask = root[x][:, None] != root[y][None, :]
+        i, j = np.nonzero(linked([data[k] for k in x], [data[k] for k in y], ask) & ask)
+        return np.unique(np.stack([root[x][i], root[y][j]], axis=1), axis=0)
+
+    def together(t: pa.Table) -> pa.Table:
+        # many components of few members
+        t = t.sort_by("major")
+        major, root, outside = (t.column(c).to_numpy() for c in ("major", "root", "outside"))
+        data, cuts = t.column("payload").to_pylist(), np.flatnonzero(np.diff(major)) + 1
+        found = [np.empty((0, 2), np.int64)]
+        for begin, end in zip([0, *cuts], [*cuts, len(major)], strict=True):
+            every = np.arange(begin, end)
+            found.append(links(root, every[outside[begin:end]], every, data))
+        edges = np.concatenate(found)
+        return pa.table([edges[:, 0], edges[:, 1]], schema=schema)
+
+    rows = rows.join(parts, "major")
+    few = rows.where(small).withColumn("bin", F.pmod(F.xxhash64("major"), F.lit(bins))).select("bin", "major", "root", "outside", "payload").groupBy("bin").applyInArrow(together, "a long, b long")
+    rows = rows.where(~small).withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.greatest("inner", F.lit(1)))).cast("int"))
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     part = F.col("part")
     to = F.when(
@@ -221,8 +247,6 @@ def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFra
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda i: place("in", i, part, 1)))
     dealt = rows.withColumn("to", F.explode(to)).select("major", F.col("to.kind").alias("kind"), F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "part", "root", "payload")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def compare(t: pa.Table) -> pa.Table:
         root = t.column("root").to_numpy()
         data = t.column("payload").to_pylist()
@@ -236,9 +260,7 @@ def _across(members: DataFrame, payload: DataFrame, linked: Callable) -> DataFra
             x, y = np.flatnonzero(own), np.flatnonzero(~own)
         if not len(x) or not len(y):
             return pa.table([[], []], schema=schema)
-        ask = root[x][:, None] != root[y][None, :]
-        i, j = np.nonzero(linked([data[k] for k in x], [data[k] for k in y], ask) & ask)
-        edges = np.unique(np.stack([root[x][i], root[y][j]], axis=1), axis=0)
+        edges = links(root, x, y, data)
         return pa.table([edges[:, 0], edges[:, 1]], schema=schema)
 
-    return dealt.groupBy("major", "kind", "i", "j").applyInArrow(compare, "a long, b long")
+    return few.unionByName(dealt.groupBy("major", "kind", "i", "j").applyInArrow(compare, "a long, b long"))

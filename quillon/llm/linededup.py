@@ -267,7 +267,10 @@ def _linked(left: list, right: list, ask: np.ndarray | None) -> np.ndarray:
     if ask is None:
         return np.array([alike(*x) for x in zip(left, right, us, vs, strict=True)], bool)
     out = np.zeros(ask.shape, bool)
-    if out.size:
+    if out.size <= 64:
+        for i, j in zip(*np.nonzero(ask), strict=True):
+            out[i, j] = alike(left[i], right[j], us[i], vs[j])
+    else:
         chars, words = np.array([len(t) for t in right]), np.array([len(v) for v in vs])
         mine, prints = sketches(left), sketches(right)
         for i, (s, u) in enumerate(zip(left, us, strict=True)):
