@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocab
+
 
 def canonical_doi(value: Column) -> Column:
     """G1: no resolver, no 'doi:', no outer punctuation, lower case."""
@@ -60,19 +62,152 @@ def link_score(value: Column) -> Column:
     return F.when(low.rlike(r"^https?://"), score.cast("double")).otherwise(0.0)
 
 
-def hrefs(html: Column) -> Column:
-    """Targets of anchors in order, repeats included."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1))
+def hrefs(html: Column, base: Column | None = None, hint: str | None = None) -> Column:
+    """Targets of anchors in order, repeats included, quoted in either way or not at all.
+
+    With ``hint`` only those that match it; with the page's address as ``base``
+    made absolute, each once."""
+    out = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    out = F.transform(out, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+    if hint:
+        out = F.filter(out, lambda x: x.rlike(hint))
+    return out if base is None else F.array_distinct(F.transform(out, lambda x: absolute(x, base)))
+
+
+def absolute(link: Column, base: Column) -> Column:
+    """A link as seen from a page."""
+    scheme, host = F.regexp_extract(base, r"^([a-z]+:)//", 1), F.regexp_extract(base, r"^[a-z]+://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"^[a-z]+://[^?#]*/", 0)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(host, link))
+        .otherwise(F.concat(F.when(F.length(folder) > F.length(host), folder).otherwise(F.concat(host, F.lit("/"))), link))
+    )
+
+
+_DOI_IN = r"(?i)\b10\.\d{4,9}/|doi\.org/"
 
 
-def link_class(url: Column) -> Column:
-    """Ordered classes of a link by its host."""
+def link_class(url: Column, kind: Column | None = None, own_doi: Column | None = None) -> Column:
+    """Ordered classes of a link by its host, the paper's own DOI and the link's type."""
     s = canonical_url(url)
+    raw = F.coalesce(url, F.lit(""))
+    own = F.lit(False) if own_doi is None else (canonical_doi(own_doi) != "") & F.contains(s, canonical_doi(own_doi))
+    supplement = s.rlike(r"supplement|supporting") if kind is None else s.rlike(r"supplement|supporting") | F.coalesce(kind == "supplementary_material", F.lit(False))
     return (
         F.when(s.rlike(r"github\.com|gitlab\.com|zenodo\.org|figshare\.com|osf\.io|huggingface\.co"), "author_deposit")
         .when(s.rlike(r"kaggle\.com|physionet\.org|cancerimagingarchive\.net"), "public_portal")
-        .when(s.rlike(r"doi\.org/10\."), "article_doi")
-        .when(s.rlike(r"supplement|supporting"), "si_reference")
-        .when(F.coalesce(url, F.lit("")).rlike(r"^https?://"), "other_url")
+        .when(own, "article_doi")
+        .when(supplement, "si_reference")
+        .when(raw.rlike(r"(?i)https?://") | raw.rlike(_DOI_IN), "other_url")
         .otherwise("other")
     )
+
+
+def triage(field: Column, value: Column) -> Column:
+    """``(kind, fetch, note)`` of a cell that names code or data; only what authors deposited is fetched."""
+    s = F.coalesce(value, F.lit(""))
+    url, doi = s.rlike(r"(?i)https?://"), s.rlike(_DOI_IN)
+    out = lambda kind, fetch, note="": F.struct(F.lit(kind).alias("kind"), F.lit(fetch).alias("fetch"), F.lit(note).alias("note"))
+    return (
+        F.when(s.rlike(vocab.CODE_HOSTS), out("code_repository", True))
+        .when(s.rlike(vocab.DATA_HOSTS) & doi & ~url, out("data_doi", True))
+        .when(s.rlike(vocab.DATA_HOSTS), out("data_repository", True))
+        .when((field == "code_url") & (url | doi), out("code_repository", True))
+        .when(field == "code_url", out("code_repository", False, "locator_unresolved"))
+        .when(doi & ~url, out("data_doi", True))
+        .when(url, out("external_data_url", False, "review"))
+        .otherwise(out("named_dataset_ref", False, "not_a_target"))
+    )
+
+
+def is_pdf_like(url: Column) -> Column:
+    """G27."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    out = u.endswith(".pdf") | u.contains(".pdf?")
+    for token in vocab.PDF_TOKENS:
+        out = out | u.contains(token)
+    return out
+
+
+def pdf_links(html: Column, base: Column) -> Column:
+    """Absolute targets of a page that look like PDFs."""
+    return F.filter(hrefs(html, base), lambda x: is_pdf_like(x))
+
+
+def pii(url: Column) -> Column:
+    """The publisher's item number in an address."""
+    return F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)/pii/([A-Z0-9]+)", 1), F.lit(""))
+
+
+def found_doi(value: Column) -> Column:
+    """The first DOI anywhere in a text, its case kept, trailing marks cut off; else ''."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(value, F.lit("")), r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), r"[.,;:)]+$", "")
+
+
+def publisher(doi: Column) -> Column:
+    """The publisher of a DOI's prefix, else the prefix; '' if it is no DOI."""
+    prefix = F.when(F.lower(doi).startswith("10."), F.substring_index(F.lower(doi), "/", 1)).otherwise("")
+    table = F.create_map(*[F.lit(x) for kv in vocab.PUBLISHERS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, prefix), prefix)
+
+
+def safe_record_id(value: Column) -> Column:
+    """The last part of an identifier as a file name, a hash behind a long one."""
+    last = F.regexp_replace(F.substring_index(value, "/", -1), r"[^A-Za-z0-9_.-]", "_")
+    tail = F.left(F.sha1(value), F.lit(10))
+    return F.when(F.coalesce(value, F.lit("")) == "", "unknown").when(last == "", tail).when(F.length(last) > 40, F.concat(F.left(last, F.lit(30)), F.lit("_"), tail)).otherwise(last)
+
+
+def prompt_hash(value: Column) -> Column:
+    """G56."""
+    return F.left(F.sha2(value, 256), F.lit(16))
+
+
+def file_kind(name: Column) -> Column:
+    """The kind of a file by its extension."""
+    ext = F.regexp_extract(F.lower(name), r"(\.[^./\\]+)$", 1)
+    table = F.create_map(*[F.lit(x) for kind, exts in vocab.FILE_KINDS.items() for e in exts for x in (e, kind)])
+    return F.coalesce(F.try_element_at(table, ext), F.lit("other"))
+
+
+def file_source(path: Column) -> Column:
+    """Where a file comes from, by its folders."""
+    parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
+    out = F.lit("other")
+    for folder, source in reversed(vocab.FILE_SOURCES.items()):
+        out = F.when(F.array_contains(parts, folder), source).otherwise(out)
+    return out
+
+
+def file_relevance(source: Column, kind: Column) -> Column:
+    """What a file is good for."""
+    return (
+        F.when(source.isin("chrome_si", "si", "deposit") & kind.isin("pdf", "spreadsheet", "document", "data"), "si_enrichment")
+        .when(kind == "code", "code")
+        .when((source == "oa") & (kind == "pdf"), "full_text_redundant")
+        .when((source == "oa") & (kind == "data"), "metadata")
+        .when(kind.isin("image", "archive"), kind)
+        .otherwise("other")
+    )
+
+
+def response_class(head: Column, content_type: Column, status: Column) -> Column:
+    """What a response is, by its first bytes, its declared type and its status."""
+    low, kind = F.lower(F.left(head, F.lit(4000))), F.lower(F.coalesce(content_type, F.lit("")))
+    page = low.contains("<html") | low.contains("<!doctype html") | kind.contains("text/html")
+    blocked = low.rlike(r"cf-chl|just a moment|attention required! \| cloudflare")
+    paywall = low.rlike(r"purchase access|get access|institutional access|buy this article") | status.isin(401, 403)
+    return (
+        F.when(head.startswith("%PDF-"), "pdf")
+        .when(head.startswith("PK\x03\x04"), "zip")
+        .when(page & blocked, "cloudflare_block")
+        .when(page & paywall, "paywall_html")
+        .when(page, "landing_html")
+        .when(kind.contains("json") | low.startswith("{") | low.startswith("["), "json")
+        .when(kind.contains("xml") | low.startswith("<?xml"), "xml")
+        .when(status >= 400, F.concat(F.lit("http_"), status.cast("string")))
+        .when(kind.rlike("csv|excel|spreadsheet"), "data")
+        .otherwise("binary")
+    )

@@ -121,13 +121,100 @@ def half_up(value: Column) -> Column:
 
 
 def header(line: Column) -> Column:
-    """The section that a short heading line names, else null."""
-    t = F.trim(F.regexp_replace(F.lower(line), r"^\s*(?:\d+(?:\.\d+)*\.?|[ivx]+\.)\s+", ""))
-    t = F.regexp_replace(t, r"\s*[:.]\s*$", "")
+    """The section that a short heading line names, else null; lines of prose are no headings."""
+    bare = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+|\s+$", ""))
+    prose = bare.rlike(r"\.\s+[a-z]") | bare.rlike(r":\s+\S{3,}")
+    t = F.regexp_replace(F.lower(bare), r"^(?:\d+(?:\.\d+)*[.)]?|[ivx]+[.)]|[a-z][.)])\s+", "")
+    t = F.trim(F.regexp_replace(F.trim(t), r"[:.;]+$", ""))
     out = F.lit(None).cast("string")
     for name, pattern in reversed(vocab.SECTIONS):
         out = F.when(t.rlike(rf"^(?:{pattern})$"), name).otherwise(out)
-    return F.when(F.length(line) <= 80, out)
+    return F.when((F.length(bare) <= 80) & ~prose, out)
+
+
+def relaxed_unicode(value: Column) -> Column:
+    """G13 without compatibility folding: dashes, quotes, blanks and invisible characters folded, lower case."""
+    t = F.coalesce(value, F.lit(""))
+    for characters, by in ((vocab.DASHES, "-"), (vocab.SINGLE_QUOTES, "'"), (vocab.DOUBLE_QUOTES, '"'), (vocab.BLANKS, " "), (vocab.NOTHING, "")):
+        t = F.regexp_replace(t, f"[{characters}]", by)
+    t = F.replace(t, F.lit("\u2026"), F.lit("..."))
+    return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
+
+
+def garbled(value: Column, least: int = 30) -> Column:
+    """Whether a text looks damaged: replacement marks, wrongly decoded runs, unprintable or too few characters."""
+    t = F.coalesce(value, F.lit(""))
+    n = F.length(t)
+    marks = F.regexp_count(t, F.lit("\ufffd"))
+    runs = F.regexp_count(t, F.lit("Ã|â€™|â€“|â€œ|â€\x9d"))
+    hidden = F.regexp_count(t, F.lit(r"[\p{C}\p{Zl}\p{Zp}]|(?! )\p{Zs}"))
+    return (n == 0) | (marks >= 2) | (runs >= 2) | (hidden > 0.05 * n) | (n < least)
+
+
+def grounded_link(quote: Column, source: Column) -> Column:
+    """Found with white space and case folded, or, from 15 letters and digits on, by these alone."""
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", "")
+    return ((flat(quote) != "") & F.contains(flat(source), flat(quote))) | ((F.length(bare(quote)) >= 15) & F.contains(bare(source), bare(quote)))
+
+
+def longest_fragment(quote: Column, source: Column) -> Column:
+    """The longest run of a quote's words that the source holds, the first of equal ones; both are compared relaxed.
+
+    For each first word the run grows as long as it is found, so a quote of n
+    words takes at most 2n tests: the next start keeps the length reached."""
+
+    def grow(words: Column, s: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("best"))
+
+        def step(state: Column, _: Column) -> Column:
+            # try the run from i with one word more than the best so far
+            fits = F.contains(s, F.array_join(F.slice(words, state["i"] + 1, state["best"] + 1), " ")) & (state["i"] + state["best"] + 1 <= F.size(words))
+            return F.when(
+                fits, F.struct(state["i"].alias("i"), state["n"].alias("n"), state["i"].alias("at"), (state["best"] + 1).alias("best"))
+            ).otherwise(F.struct((state["i"] + 1).alias("i"), state["n"].alias("n"), state["at"].alias("at"), state["best"].alias("best")))
+
+        end = F.aggregate(F.sequence(F.lit(1), 2 * F.size(words) + 1), start, step)
+        return F.array_join(F.slice(words, end["at"] + 1, end["best"]), " ")
+
+    # the outer transforms bind words and source once
+    return F.transform(F.array(F.struct(F.filter(F.split(relaxed(quote), " "), lambda w: w != "").alias("w"), relaxed(source).alias("s"))), lambda x: grow(x["w"], x["s"]))[0]
+
+
+def rescue_quote(value: Column, quote: Column, source: Column) -> Column:
+    """``(quote, kind)`` of a quote that is not found whole: its longest run of at least five words and twenty
+    characters, else the value itself from four characters on, or from twelve without blanks; else null."""
+    run = longest_fragment(quote, source)
+    tokens, bare = relaxed(value), F.replace(relaxed(value), F.lit(" "), F.lit(""))
+    named = ~is_absent(value, "refill")
+    pair = lambda q, kind: F.struct(q.alias("quote"), F.lit(kind).alias("kind"))
+    return (
+        F.when((F.size(F.split(run, " ")) >= 5) & (F.length(run) >= 20), pair(run, "fragment"))
+        .when(named & (F.length(tokens) >= 4) & F.contains(relaxed(source), tokens), pair(value, "value_token"))
+        .when(named & (F.length(bare) >= 12) & F.contains(F.replace(relaxed(source), F.lit(" "), F.lit("")), bare), pair(value, "value_token_nospace"))
+    )
+
+
+def holds_integer(value: Column, number: Column) -> Column:
+    """An integer that is no part of a longer one."""
+    return F.regexp_like(F.coalesce(value, F.lit("")), F.concat(F.lit(r"(?<![\d,])"), number.cast("string"), F.lit(r"(?![\d,])")))
+
+
+def venue_name(value: Column) -> Column:
+    """Lower case, letters and digits, one blank."""
+    return loose(value)
+
+
+def first_authors(authors: Column, n: int = 3) -> Column:
+    """C16: 'Family, G.' of the first authors ``(family, given, literal)``, then et al."""
+    name = lambda a: F.when((F.coalesce(a["family"], F.lit("")) != "") & (F.coalesce(a["given"], F.lit("")) != ""), F.concat(a["family"], F.lit(", "), F.left(a["given"], F.lit(1)), F.lit("."))).otherwise(F.coalesce(F.nullif(a["family"], F.lit("")), a["literal"]))
+    return F.concat(F.array_join(F.array_compact(F.transform(F.slice(authors, 1, n), name)), ", "), F.when(F.size(authors) > n, ", et al.").otherwise(""))
+
+
+def year_of_parts(parts: Column) -> Column:
+    """The year of CSL date parts, if it is one from 1500 to 2100."""
+    year = F.try_element_at(F.try_element_at(parts, F.lit(1)), F.lit(1)).try_cast("int")
+    return F.when(year.between(1500, 2100), year)
 
 
 def unfenced_json(value: Column) -> Column:
