@@ -98,6 +98,8 @@ def contains_blocked(texts: DataFrame, probes: DataFrame, text_id: str, text: st
 
         return F.transform(F.array(F.split(c, " ")), of)[0]
 
-    t = texts.select(text_id, text, F.explode(F.array_distinct(runs(F.col(text)))).alias("__h"))
     p = probes.select(probe_id, probe, F.xxhash64(F.array_join(F.slice(F.split(probe, " "), 1, words), " ")).alias("__h"))
-    return t.join(p, "__h").where(F.contains(F.col(text), F.col(probe))).select(text_id, probe_id).distinct()
+    # only hashes travel; texts are fetched by id for the pairs that are left
+    h = texts.select(text_id, F.explode(F.array_distinct(runs(F.col(text)))).alias("__h"))
+    pairs = h.join(p, "__h").select(text_id, probe_id, probe).distinct()
+    return texts.select(text_id, text).join(pairs, text_id).where(F.contains(F.col(text), F.col(probe))).select(text_id, probe_id).distinct()

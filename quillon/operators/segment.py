@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.text import header
 
 
+def _offsets(parts: Column) -> Column:
+    """Where each part begins if each is followed by one more character; a running sum inside the row."""
+    start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(parts, start, lambda s, p: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + F.length(p) + 1).alias("at")), lambda s: s["out"])
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines with their number and character offset."""
-    out = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    return out.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
+    """Lines with their number, character offset and whether a blank line or nothing comes before; no shuffle."""
+    split = df.select(key, F.split(text, "\n").alias("__l"))
+    before = F.concat(F.array(F.lit("")), F.slice("__l", 1, F.greatest(F.size("__l") - 1, F.lit(0))))
+    zipped = F.arrays_zip(F.col("__l").alias("line"), _offsets(F.col("__l")).alias("start"), before.alias("before"))
+    out = split.where("__l is not null").select(key, F.posexplode(zipped).alias("line_no", "x"))
+    return out.select(key, "line_no", "x.line", "x.start", (F.trim(F.regexp_replace("x.before", r"\s+", " ")) == "").alias("before_blank"))
 
 
 def spans(marks: DataFrame, key: str, start: str, end: Column) -> DataFrame:
@@ -23,21 +31,27 @@ def spans(marks: DataFrame, key: str, start: str, end: Column) -> DataFrame:
 
 
 def sections(df: DataFrame, key: str, text: str, after_blank: bool = True) -> DataFrame:
-    """Sections of a text; a heading follows a blank line unless that rule is off."""
-    at = lines(df, key, text).withColumn("section", header(F.col("line")))
-    before = F.lag("line").over(W.partitionBy(key).orderBy("line_no"))
+    """Sections of a text; a heading follows a blank line unless that rule is off.
+
+    Of several abstracts the last one before the first introduction stays, or the
+    last of all. All of it happens inside a document's row."""
+    at = lines(df, key, text).withColumn("section", header(F.col("line"))).where("section is not null")
     if after_blank:
-        at = at.withColumn("__ok", F.coalesce(F.trim(before) == "", F.lit(True))).where("__ok").drop("__ok")
+        at = at.where("before_blank")
+    w = W.partitionBy(key)
+    intro = F.min(F.when(F.col("section") == "introduction", F.col("line_no"))).over(w)
+    at = at.withColumn("__intro", intro)
+    abstract = F.when(F.col("section") == "abstract", F.col("line_no"))
+    early = F.max(F.when(F.col("__intro").isNull() | (F.col("line_no") < F.col("__intro")), abstract)).over(w)
+    at = at.withColumn("__keep", F.coalesce(early, F.max(abstract).over(w))).where("section <> 'abstract' or line_no = __keep")
     total = df.select(key, F.length(text).alias("__total"))
-    found = at.where("section is not null").join(total, key)
-    return spans(found, key, "start", F.col("__total")).select(key, "section", "start", "stop")
+    return spans(at.join(total, key), key, "start", F.col("__total")).select(key, "section", "start", "stop")
 
 
 def pages(df: DataFrame, key: str, text: str, mark: str = "\f") -> DataFrame:
     """Pages with offsets; the mark belongs to the page before it; a last page of at most one character goes."""
-    parts = df.select(key, F.length(text).alias("total"), F.posexplode(F.split(text, mark)).alias("page", "body"))
-    w = W.partitionBy(key).orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    out = parts.withColumn("char_start", F.coalesce(F.sum(F.length("body") + 1).over(w), F.lit(0)))
+    parts = df.select(key, F.length(text).alias("total"), F.split(text, mark).alias("__p")).where("__p is not null")
+    out = parts.select(key, "total", F.posexplode(F.arrays_zip(F.col("__p").alias("body"), _offsets(F.col("__p")).alias("at"))).alias("page", "x")).select(key, "total", "page", F.col("x.at").alias("char_start"), F.col("x.body").alias("body"))
     out = out.withColumn("char_end", F.least(F.col("char_start") + F.length("body") + 1, F.col("total")))
     return out.where((F.col("char_end") - F.col("char_start") > 1) | (F.col("page") == 0)).select(key, (F.col("page") + 1).alias("page"), "char_start", "char_end")
 

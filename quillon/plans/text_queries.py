@@ -149,7 +149,7 @@ def html_strip(spark, d):
 
 
 _LINKS = r"""
-with raw as (select page_id, regexp_extract_all(html, '<a\b[^>]*?href="([^"]*)"', 1, 'i') as hs from pages),
+with raw as (select page_id, list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')) as hs from pages),
 one as (select page_id, unnest(hs) as href, generate_subscripts(hs, 1) - 1 as pos from raw),
 canon as (select page_id, pos, href, replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(trim(href), '[).,;\]]+$', '')), '^https?://', ''), '^www\.', ''), '/+$', ''), 'dx.doi.org/', 'doi.org/') as loc from one)
 """
@@ -172,14 +172,16 @@ def link_canonical(spark, d):
     return _page_links(spark, d).groupBy("loc").agg(F.count("*").alias("n"))
 
 
-@query(_LINKS + "select page_id, loc, arg_min(href, pos) as href, count(*) as occurrences from canon group by page_id, loc")
+@query(_LINKS + "select loc, arg_min(href, page_id * 100000 + pos) as href, count(*) as occurrences, string_agg(distinct page_id, ',' order by page_id) as sources from canon group by loc")
 def link_dedupe(spark, d):
-    """By canonical locator, the first form stays."""
-    return _page_links(spark, d).groupBy("page_id", "loc").agg(F.min_by("href", "pos").alias("href"), F.count("*").alias("occurrences"))
+    """By canonical locator; the first form stays, the pages that name it are gathered."""
+    links = _page_links(spark, d)
+    pages = F.array_join(F.transform(F.array_sort(F.collect_set("page_id")), lambda x: x.cast("string")), ",")
+    return links.groupBy("loc").agg(F.min_by("href", F.col("page_id") * 100000 + F.col("pos")).alias("href"), F.count("*").alias("occurrences"), pages.alias("sources"))
 
 
 _CLASS = r"""case when regexp_matches(loc, 'github\.com|gitlab\.com|zenodo\.org|figshare\.com|osf\.io|huggingface\.co') then 'author_deposit' when regexp_matches(loc, 'kaggle\.com|physionet\.org|cancerimagingarchive\.net') then 'public_portal'
-  when regexp_matches(loc, 'doi\.org/10\.') then 'article_doi' when regexp_matches(loc, 'supplement|supporting') then 'si_reference' when regexp_matches(href, '^https?://') then 'other_url' else 'other' end"""
+  when regexp_matches(loc, 'supplement|supporting') then 'si_reference' when regexp_matches(href, '(?i)https?://') or regexp_matches(href, '(?i)\b10\.[0-9]{4,9}/|doi\.org/') then 'other_url' else 'other' end"""
 
 
 @query(_LINKS + f"""select tier, count(*) as n from (select page_id, case when bool_or(c = 'author_deposit') then 'T1' when bool_or(c in ('public_portal', 'article_doi')) then 'T2' when bool_or(c in ('si_reference', 'other_url')) then 'T3' else 'T4' end as tier
@@ -203,11 +205,17 @@ def url_score_best(spark, d):
 
 
 @query("""
-select doc_id, len(ls) as n_lines, len(list_distinct(ls)) as n_distinct from (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) as ls from documents)""")
+with r as (select d.doc_id, string_split(d.text, chr(10)) as own, string_split(coalesce(p.text, ''), chr(10)) as ref from documents d left join documents p on p.doc_id = d.doc_id - d.doc_id % 3),
+n as (select doc_id, own, list_transform(ref, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) as ref from r)
+select doc_id, len(own) as n_lines, len(k) as n_kept, md5(array_to_string(k, chr(10))) as digest from (select doc_id, own, list_filter(own, lambda x: not list_contains(ref, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))) as k from n)""")
 def line_dedupe_vs_ref(spark, d):
-    """Lines of a document that differ in letters and digits."""
-    ls = F.transform(F.split("text", "\n"), text.loose)
-    return table(spark, d, "documents").select("doc_id", F.size(ls).cast("long").alias("n_lines"), F.size(F.array_distinct(ls)).cast("long").alias("n_distinct"))
+    """Lines of a text that a reference text, here another document, has not already; letters and digits decide."""
+    docs = table(spark, d, "documents")
+    ref = docs.select(F.col("doc_id").alias("ref_id"), F.transform(F.split("text", "\n"), text.loose).alias("ref"))
+    rows = docs.withColumn("ref_id", F.col("doc_id") - F.col("doc_id") % 3).join(ref, "ref_id", "left")
+    own = F.split("text", "\n")
+    kept = F.filter(own, lambda x: ~F.array_contains(F.coalesce("ref", F.array(F.lit("")).cast("array<string>")), text.loose(x)))
+    return rows.select("doc_id", F.size(own).cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"), F.md5(F.array_join(kept, "\n")).alias("digest"))
 
 
 @query("""
@@ -271,10 +279,10 @@ def jaccard_pairs(spark, d):
 
 
 @query("""
-select doc_id, length(s) as n_chars, md5(s) as digest from (select doc_id, array_to_string(string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ')[1:60], ' ') as s from documents)""")
+select doc_id, length(s) as n_chars, md5(s) as digest from (select doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) as s from documents)""")
 def inverted_index_text(spark, d):
-    """The first sixty words rebuilt from a map of words to positions."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), " "), 1, 60)).alias("p", "w"))
+    """Texts rebuilt from maps of words to positions."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     t = segment.inverted_text(index, "doc_id", "index")
     return t.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
