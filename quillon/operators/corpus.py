@@ -216,7 +216,7 @@ def units(files: DataFrame, key: str, content: str, priority: str, order: str) -
     """P5: files of a paper, each content once, by priority; ``rank`` counts from 1."""
     hashed = files.withColumn("digest", F.sha1(F.col(content)))
     first = hashed.withColumn("__r", F.row_number().over(W.partitionBy(key, "digest").orderBy(priority, order))).where("__r = 1").drop("__r")
-    return first.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(priority, order)))
+    return first.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(priority, order, "digest")))
 
 
 def merge_by_kind(cells: DataFrame, keys: list[str], field: str, chunk: str, value: str, kinds: DataFrame, grades: list[str]) -> DataFrame:

@@ -330,10 +330,10 @@ _KINDS = [("flags", "list"), ("grade", "grade"), ("open", "bool"), ("first", "sc
 @query("""
 with c as (select l_orderkey, l_linenumber, l_returnflag as flags, case l_returnflag when 'N' then 'weak' when 'A' then 'strong' else 'odd' end as grade, case when l_linestatus = 'O' then 'true' else 'false' end as open, case when l_quantity > 10 then l_linestatus || l_returnflag end as first, count(*) over (partition by l_orderkey) as k0 from lineitem),
 n as (select l_orderkey, count(distinct l_linenumber) as k, min(l_linenumber) as lone, (select 1) as z from c group by 1),
-u as (select l_orderkey, string_agg(flags, '; ' order by o) as value from (select l_orderkey, flags, min(l_linenumber) as o from c group by 1, 2) group by 1),
+u as (select l_orderkey, string_agg(flags, '; ' order by o, flags) as value from (select l_orderkey, flags, min(l_linenumber) as o from c group by 1, 2) group by 1),
 g as (select l_orderkey, arg_min(grade, (case grade when 'strong' then -1 when 'weak' then 0 else 1 end) * 1000 + l_linenumber) as value from c group by 1),
 b as (select l_orderkey, case when bool_or(open = 'true') then 'true' else 'false' end as value from c group by 1),
-s as (select l_orderkey, arg_min(first, l_linenumber) as value, min(l_linenumber) as m from c where first is not null group by 1),
+s as (select l_orderkey, arg_min(first, {'l': l_linenumber, 'v': first}) as value, min(l_linenumber) as m from c where first is not null group by 1),
 x as (select l_orderkey, 'flags' as field, value, null as m from u union all select l_orderkey, 'grade', value, null from g union all select l_orderkey, 'open', value, null from b union all select l_orderkey, 'first', value, m from s)
 select x.l_orderkey, field, value, case when k > 1 then 'merged' else cast(coalesce(m, lone) as varchar) end as chunk_id from x join n on n.l_orderkey = x.l_orderkey""")
 def merge_dispatch(spark, d):
@@ -366,7 +366,7 @@ def task_manifest(spark, d):
 
 @query("""
 with f as (select l_orderkey as k, l_linenumber as o, l_returnflag || l_linestatus as c, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as p from lineitem), g as (select *, row_number() over (partition by k, c order by p, o) as r from f)
-select k, sha1(c) as digest, row_number() over (partition by k order by p, o) as rank from g where r = 1""")
+select k, sha1(c) as digest, row_number() over (partition by k order by p, o, sha1(c)) as rank from g where r = 1""")
 def unit_build(spark, d):
     """P5: each content once for a paper, by priority."""
     f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("o"), F.concat("l_returnflag", "l_linestatus").alias("c"), F.expr("case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end").alias("p"))
