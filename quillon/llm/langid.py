@@ -161,25 +161,24 @@ def fuse(rows: DataFrame, model: np.ndarray, languages: tuple = LANGUAGES, marku
     table = written(table.select("host", "h", "d", "s"), "priors")
     none = F.lit(None).cast("array<long>")
     out = e.where("host is not null").join(table, "host").unionByName(e.where("host is null").withColumns({"h": none, "d": none, "s": none}))
-    own = [(F.col("best") == i + 1).cast("double") for i in range(L)]
-    any_own = (F.col("best") > 0).cast("double")
-    prior = [(F.lit(grand[i]) - own[i] + 1.0) / (F.lit(sum(grand)) - any_own + float(L)) for i in range(L)]
+    # arrays over the classes, so that the plan stays small
+    label = F.array(*map(F.lit, classes))
+    own = F.transform(F.sequence(F.lit(1), F.lit(L)), lambda i: (F.col("best") == i).cast("double"))
+    rest = F.lit(sum(grand)) - (F.col("best") > 0).cast("double") + F.lit(float(L))
+    out = out.withColumn("own", own).withColumn("prior", F.zip_with(F.array(*map(F.lit, grand)), "own", lambda g, o: (g - o + 1.0) / rest))
     for name in ("s", "d", "h"):
-        counts = [F.when(F.col(name).isNotNull(), F.col(name)[i].cast("double") - own[i]).otherwise(0.0) for i in range(L)]
-        total = sum(counts[1:], counts[0])
-        prior = [(counts[i] + SMOOTH * prior[i]) / (total + SMOOTH) for i in range(L)]
-        out = out.withColumn("prior", F.array(*prior))
-        prior = [F.col("prior")[i] for i in range(L)]
+        others = F.when(F.col(name).isNotNull(), F.zip_with(name, "own", lambda c, o: c - o)).otherwise(F.array(*[F.lit(0.0)] * L))
+        total = F.aggregate(name, F.lit(0.0), lambda x, y: x + y)
+        out = out.withColumn(name, others).withColumn("prior", _smoothed(name, total))
 
-    def said(column: str, trust: float) -> list[Column]:
+    def said(column: str, trust: float) -> Column:
         told = F.when(F.col(column).isin(*languages), F.col(column)).when(F.coalesce(F.col(column), F.lit("")) != "", OTHER)
         wrong = float(np.log((1 - trust) / (L - 1)))
-        return [F.when(told == x, float(np.log(trust))).when(told.isNotNull(), wrong).otherwise(0.0) for x in classes]
+        return F.transform(label, lambda x: F.when(told == x, float(np.log(trust))).when(told.isNotNull(), wrong).otherwise(0.0))
 
-    declared, address = said("declared", DECLARED), said("address", ADDRESS)
-    logs = F.array(*[F.col("ll")[i] + F.log(prior[i]) + declared[i] + address[i] for i in range(L)])
+    add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    logs = add(add(F.zip_with("ll", "prior", lambda l, p: l + F.log(p)), said("declared", DECLARED)), said("address", ADDRESS))
     wanted = accept or languages
-    label = F.array(*map(F.lit, classes))
     return (
         out.withColumn("logs", logs)
         .withColumn("top", F.array_max("logs"))
@@ -191,6 +190,11 @@ def fuse(rows: DataFrame, model: np.ndarray, languages: tuple = LANGUAGES, marku
     )
 
 
+def _smoothed(name: str, total: Column) -> Column:
+    """Counts of a level, leaning on the prior of the level above."""
+    return F.zip_with(name, "prior", lambda c, p: (c + SMOOTH * p) / (total + SMOOTH))
+
+
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source") -> DataFrame:
     text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), text(text_col).alias("text"), F.lower(text(lang_col)).alias("declared"), F.lower(text(source_col)).alias("host"), F.lit(None).cast("string").alias("address"))
