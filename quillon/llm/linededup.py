@@ -330,7 +330,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .groupBy(F.col("at.id").alias("id"))
             .agg(F.collect_list(F.struct(F.col("at.number").alias("number"), "h")).alias("wanted"))
         )
-        found = arrow_map(source.join(wanted, "id").select("text", "wanted"), _texts, "id long, payload string")
+        # hashed, as one row for each id is small, so that no text is sorted
+        found = arrow_map(source.join(wanted.hint("shuffle_hash"), "id").select("text", "wanted"), _texts, "id long, payload string")
         return found.dropDuplicates(["id"])
 
     roots = link(multi, fetch, _linked).withColumnRenamed("node", "h")
@@ -358,7 +359,8 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     row = F.struct(*[docs[c] for c in kept]).alias("row")
     slim = docs.select(row, docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("text"))
-    joined = slim.join(gone, F.col("__id") == F.col("__gone_id"), "left")
+    # line numbers are few beside the texts: they are hashed, so that no text is sorted
+    joined = slim.join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__gone_id"), "left")
     schema = slim.schema["row"].dataType.simpleString()
     out = arrow_map(joined.select("row", "text", "gone"), _rebuild, f"row {schema}, text string, n_lines long, n_removed long")
     columns = {c: F.col("row")[c] for c in kept} | {text_col: F.col("text")}
