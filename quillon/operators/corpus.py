@@ -37,11 +37,17 @@ def upsert(base: DataFrame, updates: DataFrame, dependents: DataFrame, key: str,
     return fresh, dependents.join(new, key, "left_anti"), dependents.join(new, key, "left_semi")
 
 
-def enriched(base: DataFrame, sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """Columns of several sources by key, and for each whether it knows the key; no row is lost."""
+def enriched(base: DataFrame, sources: list[tuple[str, DataFrame]], key: str, order: str | None = None) -> DataFrame:
+    """Columns of several sources by key, and for each whether it knows the key; no row is lost.
+
+    Of a source's rows with equal keys the first by ``order``, a column of the
+    source that is not kept, counts; without one, or where it ties, the smallest row."""
     out = base
     for name, s in sources:
-        out = out.join(s.dropDuplicates([key]).withColumn(f"has_{name}", F.lit(True)), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+        rest = [c for c in s.columns if c not in (key, order)]
+        first = F.struct(*[F.col(c) for c in ([order] if order else [])], *rest, F.lit(True).alias("__any"))
+        one = s.groupBy(key).agg(F.min(first).alias("__m")).select(key, *[F.col("__m")[c].alias(c) for c in rest])
+        out = out.join(one.withColumn(f"has_{name}", F.lit(True)), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
     return out
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import materialised
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in a total order."""
@@ -37,32 +39,42 @@ def cascade(df: DataFrame, candidates: list[tuple[str, Column]], value: str, sou
     return df.withColumn(value, top["v"]).withColumn(source, F.coalesce(top["s"], F.lit("none")))
 
 
-def remaining(all_rows: DataFrame, done: DataFrame, key: str, order: str, batch: int) -> DataFrame:
+def remaining(all_rows: DataFrame, done: DataFrame, key: str, order: str | list[str], batch: int) -> DataFrame:
     """Rows whose key is not done, numbered in batches of fixed size.
 
     Rows are numbered in range partitions with an offset for each, so that no
     single task sees all of them."""
     left = all_rows.join(done.select(key).distinct(), key, "left_anti").where(F.col(key).isNotNull())
-    return number(left, [order], "__n").withColumn("batch", F.floor((F.col("__n") - 1) / batch).cast("long")).drop("__n")
+    return number(left, [order] if isinstance(order, str) else order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / batch).cast("long")).drop("__n")
 
 
 def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers from 1 in the order of the columns, without one task for all rows."""
-    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__k"))
-    later = sizes.select(F.col("__part").alias("__p"), F.col("__k").alias("__kk"))
-    offsets = sizes.join(later, F.col("__p") < F.col("__part"), "left").groupBy("__part").agg(F.coalesce(F.sum("__kk"), F.lit(0)).alias("__before"))
-    return (
-        placed.join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__before"))
-        .drop("__part", "__before")
-    )
-
-
-def fallback_lookup(rows: DataFrame, table: DataFrame, first: tuple[str, str], second: tuple[str, str], value: str) -> DataFrame:
-    """A value by one key, else by another; ``matched_by`` names the key."""
-    a = table.select(F.col(first[1]).alias("__a"), F.col(value).alias("__va")).where("__a is not null").dropDuplicates(["__a"])
-    b = table.select(F.col(second[1]).alias("__b"), F.col(value).alias("__vb")).where("__b is not null").dropDuplicates(["__b"])
+    """Consecutive numbers from 1 in the order of the columns, without one task for all rows.
+
+    Rows are written once, in sorted range partitions; counts and numbers both
+    come from that table, so that the offsets of the partitions fit. Rows of
+    equal order columns are told apart by where they were read, so that a very
+    frequent value is spread over several partitions; their numbers are
+    consecutive, in no given order. An empty table gives no rows.
+    """
+    placed = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    # partition number and place in it, in the bits of one value
+    kept = materialised(placed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition
+    offsets = sizes.select("__part", before.alias("__before"))
+    return kept.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, (F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).cast("long")).drop("__part", "__before", "__at")
+
+
+def fallback_lookup(rows: DataFrame, table: DataFrame, first: tuple[str, str], second: tuple[str, str], value: str, order: str) -> DataFrame:
+    """A value by one key, else by another; ``matched_by`` names the key.
+
+    Of the table's rows with equal keys the first by ``order`` counts (equal
+    orders: the smallest value)."""
+    pick = lambda key, k, v: table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(k)).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("m")).select(k, F.col("m.v").alias(v))
+    a, b = pick(first[1], "__a", "__va"), pick(second[1], "__b", "__vb")
     out = rows.join(a, rows[first[0]] == a["__a"], "left").join(b, rows[second[0]] == b["__b"], "left")
     by = F.when(F.col("__a").isNotNull(), first[0]).when(F.col("__b").isNotNull(), second[0]).otherwise("none")
     return out.withColumn(value, F.coalesce("__va", "__vb")).withColumn("matched_by", by).drop("__a", "__va", "__b", "__vb")

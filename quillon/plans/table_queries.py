@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import derive, fold, link, stats, validate
+from ..sources.store import fresh_path
 from .catalog import query, table
 
 _RULES = """list_filter([case when json_extract(props, '$') is null then 'props_invalid' end, case when event_type not in ('view', 'click', 'purchase') then 'type_invalid' end, case when value is null then 'value_missing' end, case when value > 100 then 'value_high' end, case when user_id % 7 = 0 then 'user_blocked' end], lambda x: x is not null)"""
@@ -56,8 +54,7 @@ def stream_ingest_events(spark, d):
     """S1 as a stream: the events kept after ingesting the table once."""
     from ..streaming.ingest import ingest
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-")
-    home = os.path.join(base, "ingest-" + os.urandom(8).hex())
+    home = fresh_path(spark, "ingest")
     schema = table(spark, d, "events").schema
     source = f"{d}/events.parquet"
     folder = source.rsplit("/", 1)[0] + "/events.parque[t]"
@@ -109,6 +106,16 @@ def anti_join_resume(spark, d):
     return link.remaining(table(spark, d, "customer").select("c_custkey"), done, "c_custkey", "c_custkey", 25)
 
 
+@query("""
+select l_orderkey, l_linenumber, l_suppkey, cast(floor((row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey) - 1) / 1000) as bigint) as batch
+from lineitem where l_suppkey is not null and l_suppkey not in (select s_suppkey from supplier where s_acctbal > 5000)""")
+def resume_batches(spark, d):
+    """All columns of the lines whose supplier is not done, in batches of a thousand."""
+    done = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey"]
+    return link.remaining(table(spark, d, "lineitem"), done, "l_suppkey", order, 1000).select("l_orderkey", "l_linenumber", "l_suppkey", "batch")
+
+
 @query("select c_mktsegment, count(*) as n from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT') group by 1")
 def semi_join(spark, d):
     """E6."""
@@ -125,7 +132,7 @@ def two_key_fallback(spark, d):
     n = table(spark, d, "nation")
     by_region = n.groupBy("n_regionkey").agg(F.min("n_name").alias("n_name")).select(F.lit(None).cast("int").alias("n_nationkey"), "n_regionkey", "n_name")
     keyed = n.select("n_nationkey", F.lit(None).cast("int").alias("n_regionkey"), "n_name").unionByName(by_region)
-    return link.fallback_lookup(s, keyed, ("k1", "n_nationkey"), ("k2", "n_regionkey"), "n_name").select("s_suppkey", "n_name", "matched_by")
+    return link.fallback_lookup(s, keyed, ("k1", "n_nationkey"), ("k2", "n_regionkey"), "n_name", "n_name").select("s_suppkey", "n_name", "matched_by")
 
 
 @query("select l_orderkey, array_to_string(list_transform(list_sort(list({'l': l, 'v': l_shipmode})), lambda x: x.v), ';') as vals from (select l_orderkey, l_returnflag as l_shipmode, min(l_linenumber) as l from lineitem group by 1, 2) group by 1")
