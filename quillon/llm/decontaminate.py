@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunks, written
+from .common import arrow_map, chunks, release, written
 
 #: Characters of a q-gram; 5 bits of each make a code of at most 60 bits.
 Q, SHORT_Q = 12, 8
@@ -271,15 +271,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     the one with fewest edits, then the first. Very long texts are searched
     whole. Empty tables give no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
-        shared = spark.sparkContext.broadcast(Block([(r["item"], normalised(r["text"])) for r in rows]))
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars))
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(block())
 
         def run(batch: pa.RecordBatch, shared=shared):
             ids = batch.column("id").to_pylist()
@@ -287,18 +283,45 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             yield [ids[f[0]] for f in found], *([f[k] for f in found] for k in range(1, 6))
 
         part = arrow_map(source, run, "doc_id long, item_id long, item_start long, n_chars long, doc_start long, edits long")
-        if blocks > 1:
+        if len(blocks) > 1:
             part = written(part, "passages")
             shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a passage, all columns kept.
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int):
+    """Functions that each bring one block of the benchmark to the driver."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_chars))
+    for b in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).orderBy("item", "text")
+        yield lambda rows=rows: Block([(r["item"], normalised(r["text"])) for r in rows.collect()])
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
+    """``docs`` without the rows that hold a passage, all columns kept.
 
-    Edge cases are those of :func:`find`. Rows that share an id go together, as
-    one document; rows with a null id stay, as nothing tells them apart.
+    Each row is judged by its own text, so ids may be null or repeat; other edge
+    cases are those of :func:`find`. A benchmark of one block needs no join: rows
+    pass through the search with all their columns. For a larger one the rows to
+    remove are gathered block by block, told apart by ``row_col`` (unique, not
+    null, the same at every reading) or else by a number written with them.
     """
-    gone = find(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars))
+    if len(blocks) > 1:
+        source = docs.withColumn("__row", F.col(row_col)) if row_col else written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        gone = find(source, benchmark, "__row", text_col, item_col, item_text_col, block_chars).select(F.col("doc_id").alias("__gone")).distinct()
+        return source.join(gone, source["__row"] == gone["__gone"], "left_anti").drop("__row")
+    shared = docs.sparkSession.sparkContext.broadcast(blocks[0]())
+    n = len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            bad = {f[0] for f in shared.value.search(batch.column(n).to_pylist())}
+            kept = batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:n], schema=pa.schema(list(kept.schema)[:n]))
+        release()
+
+    return docs.select("*", F.col(text_col).cast("string").alias("__search")).mapInArrow(run, docs.schema)

@@ -29,7 +29,44 @@ MIN_POSTERIOR = 0.5
 # Country suffixes by main language.
 SUFFIXES = {"fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 
-_HIDE = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"(?i)<(script|style|noscript|template)\b")
+_CLOSES = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template")}
+
+
+def visible(html: str) -> str:
+    """The text between tags: comments and hidden elements with their contents are one blank each, as are tags.
+
+    Whatever never ends is text, but for its tag; that it has no end is looked
+    up once, so that time grows with the length only.
+    """
+    out, at, endless = [], 0, set()
+
+    def end_of(name: str, begin: int) -> int:
+        if name in endless:
+            return -1
+        if name in _CLOSES:
+            m = _CLOSES[name].search(html, begin)
+            end = m.end() if m else -1
+        else:
+            end = html.find(name, begin)
+            end += len(name) if end >= 0 else 0
+        if end < 0:
+            endless.add(name)
+        return end
+
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = -1
+        if m := _HIDDEN.match(html, i):
+            end = end_of(m[1].lower(), m.end())
+        elif html.startswith("<!--", i):
+            end = end_of("-->", i + 4)
+        if end < 0:
+            end = end_of(">", i + 1)
+        out.append("<" if end < 0 else " ")
+        at = i + 1 if end < 0 else end
+    out.append(html[at:])
+    return "".join(out)
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +134,7 @@ def _score(shared, markup: bool):
         if markup:
             from html import unescape
 
-            texts = [None if t is None else unescape(_HIDE.sub(" ", t)) for t in texts]
+            texts = [None if t is None else unescape(visible(t)) for t in texts]
         out = np.zeros((len(texts), len(model)))
         n = np.zeros(len(texts), np.int64)
         for text, bounds, begin, end in _joined(texts):
@@ -236,14 +273,15 @@ def identify_pages(pages: DataFrame, model: np.ndarray, languages: tuple = LANGU
     return fuse(page_rows(pages).withColumn("host", F.nullif(F.col("host"), F.lit(""))), model, languages, markup=True, **options)
 
 
-def keep_identified(docs: DataFrame, accept: tuple | None = None, languages: tuple = LANGUAGES) -> DataFrame:
+def keep_identified(docs: DataFrame, accept: tuple | None = None, languages: tuple = LANGUAGES, row_col: str | None = None) -> DataFrame:
     """``docs`` without the rows whose language is not accepted, all columns kept.
 
-    Rows are told apart by a number written with them, so ids may be null or
-    repeat: a rejected row takes no other row with it. Texts move by that number
-    only, never by host.
+    Rows are told apart by ``row_col``, a column of ``docs`` that is unique, not
+    null and the same at every reading, or else by a number that is written with
+    them. So ids may be null or repeat: a rejected row takes no other row with
+    it. Texts move by that number only, never by host.
     """
-    source = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    source = docs.withColumn("__row", F.col(row_col)) if row_col else written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     model = fit(document_rows(source), languages)
     gone = fuse(document_rows(source, id_col="__row"), model, languages, accept=accept).where("not accepted").select(F.col("id").alias("__gone"))
     return source.join(gone, source["__row"] == gone["__gone"], "left_anti").drop("__row")

@@ -83,49 +83,50 @@ SENTENCES = {
     "rights": [("AllRights", r"\ball rights reserved"), ("Proprietary", r"\bproprietary (and confidential|licen[sc]e)"), ("Copyright", r"^copyright\b.*[0-9]{4}")],
     "general": [("SeeLicense", r"\bsee the (accompanying )?licen[sc]e"), ("UnknownLicense", r"\blicen[sc]ed under|\breleased under .*licen[sc]e|\bunder the terms of .*licen[sc]e")],
 }
-# Licences as patterns over the sequence of sentence names, each
-# with a blank before and after, in order of precedence.
+# Licences in order of precedence, each with alternatives. An
+# alternative names sentences that stand in this order in a text, with anything
+# between them; after an exclamation mark, one that must not follow the last.
 RULES = [
-    ("AGPL-3.0-or-later", " AgplVersion3OrLater "),
-    ("AGPL-3.0-only", " AgplVersion3 "),
-    ("LGPL-3.0-or-later", " LgplVersion3OrLater "),
-    ("LGPL-3.0-only", " LgplVersion3 "),
-    ("LGPL-2.1-or-later", " LgplVersion21OrLater "),
-    ("LGPL-2.1-only", " LgplVersion21 "),
-    ("LGPL", " LgplAny "),
-    ("GPL-3.0-or-later", " GplVersion3OrLater "),
-    ("GPL-2.0-or-later", " GplVersion2OrLater "),
-    ("GPL-3.0-only", " GplVersion3 "),
-    ("GPL-2.0-only", " GplVersion2 "),
-    ("GPL", " GplAny "),
-    ("GFDL", " GfdlAny "),
-    ("Apache-2.0", " Apache2 | ApacheCompliance .*ApacheAsIs | ApacheUrl .*ApacheAsIs "),
-    ("MIT", " MitGrant .*MitNotice | MitShort "),
-    ("ISC", " IscGrant | IscShort "),
-    ("BSD-3-Clause", " BsdGrant .*BsdSource .*BsdBinary .*BsdEndorse | BsdShort3 "),
-    ("BSD-2-Clause", " BsdGrant .*BsdSource .*BsdBinary ([^B]|B[^s]|Bs[^d]|Bsd[^E])*$| BsdShort2 "),
-    ("BSD", " BsdAny "),
-    ("MPL-2.0", " Mpl2 "),
-    ("MPL", " MplAny "),
-    ("EPL-2.0", " Epl2 "),
-    ("EPL-1.0", " Epl1 "),
-    ("BSL-1.0", " Boost "),
-    ("Zlib", " ZlibGrant | ZlibShort "),
-    ("Artistic-2.0", " Artistic2 "),
-    ("Artistic-1.0", " ArtisticAny "),
-    ("OFL-1.1", " Ofl "),
-    ("EUPL", " Eupl "),
-    ("Unlicense", " UnlicenseText | UnlicenseShort "),
-    ("WTFPL", " Wtfpl "),
-    ("CC0-1.0", " Cc0 "),
-    ("CC-BY-NC-SA", " CcByNcSa "),
-    ("CC-BY-NC-ND", " CcByNcNd "),
-    ("CC-BY-NC", " CcByNc "),
-    ("CC-BY-SA", " CcBySa "),
-    ("CC-BY-ND", " CcByNd "),
-    ("CC-BY", " CcBy "),
-    ("Public-Domain", " PublicDomain "),
-    ("Proprietary", " Proprietary | AllRights "),
+    ("AGPL-3.0-or-later", ["AgplVersion3OrLater"]),
+    ("AGPL-3.0-only", ["AgplVersion3"]),
+    ("LGPL-3.0-or-later", ["LgplVersion3OrLater"]),
+    ("LGPL-3.0-only", ["LgplVersion3"]),
+    ("LGPL-2.1-or-later", ["LgplVersion21OrLater"]),
+    ("LGPL-2.1-only", ["LgplVersion21"]),
+    ("LGPL", ["LgplAny"]),
+    ("GPL-3.0-or-later", ["GplVersion3OrLater"]),
+    ("GPL-2.0-or-later", ["GplVersion2OrLater"]),
+    ("GPL-3.0-only", ["GplVersion3"]),
+    ("GPL-2.0-only", ["GplVersion2"]),
+    ("GPL", ["GplAny"]),
+    ("GFDL", ["GfdlAny"]),
+    ("Apache-2.0", ["Apache2", "ApacheCompliance ApacheAsIs", "ApacheUrl ApacheAsIs"]),
+    ("MIT", ["MitGrant MitNotice", "MitShort"]),
+    ("ISC", ["IscGrant", "IscShort"]),
+    ("BSD-3-Clause", ["BsdGrant BsdSource BsdBinary BsdEndorse", "BsdShort3"]),
+    ("BSD-2-Clause", ["BsdGrant BsdSource BsdBinary !BsdEndorse", "BsdShort2"]),
+    ("BSD", ["BsdAny"]),
+    ("MPL-2.0", ["Mpl2"]),
+    ("MPL", ["MplAny"]),
+    ("EPL-2.0", ["Epl2"]),
+    ("EPL-1.0", ["Epl1"]),
+    ("BSL-1.0", ["Boost"]),
+    ("Zlib", ["ZlibGrant", "ZlibShort"]),
+    ("Artistic-2.0", ["Artistic2"]),
+    ("Artistic-1.0", ["ArtisticAny"]),
+    ("OFL-1.1", ["Ofl"]),
+    ("EUPL", ["Eupl"]),
+    ("Unlicense", ["UnlicenseText", "UnlicenseShort"]),
+    ("WTFPL", ["Wtfpl"]),
+    ("CC0-1.0", ["Cc0"]),
+    ("CC-BY-NC-SA", ["CcByNcSa"]),
+    ("CC-BY-NC-ND", ["CcByNcNd"]),
+    ("CC-BY-NC", ["CcByNc"]),
+    ("CC-BY-SA", ["CcBySa"]),
+    ("CC-BY-ND", ["CcByNd"]),
+    ("CC-BY", ["CcBy"]),
+    ("Public-Domain", ["PublicDomain"]),
+    ("Proprietary", ["Proprietary", "AllRights"]),
 ]
 #: Rules that only count where no other one holds.
 WEAK = ["Proprietary"]
@@ -157,18 +158,58 @@ def _sentences(low: Column) -> Column:
     return F.filter(F.transform(F.split(out, "\x01"), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9+.\-]+", " "))), lambda s: s != "")
 
 
+def _linear(pattern: str) -> str:
+    """The pattern for a backtracking matcher: what stands before ``.*`` is met at its first place and not tried again.
+
+    ``a.*b`` holds if and only if b stands after the first a, so the answer is the same."""
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append(pattern[at:i])
+            at = i + 1
+    parts.append(pattern[at:])
+    return "|".join("^" + "".join(f"(?>.*?{x})" for x in p.split(".*")) if ".*" in p and p[0] != "^" else p for p in parts)
+
+
 def _names(sentence: Column) -> Column:
     """The names of the known text in a sentence, at most one of each family; a refusal has no other."""
     found = []
     for family in SENTENCES.values():
         name = F.lit(None).cast("string")
         for n, pattern in reversed(family):
-            name = F.when(sentence.rlike(pattern), F.lit(n)).otherwise(name)
+            name = F.when(sentence.rlike(_linear(pattern)), F.lit(n)).otherwise(name)
         found.append(name)
     all_names = F.array_compact(F.array(*found))
     return F.when(~_matches(sentence, GATE), F.array().cast("array<string>")).when(found[0].isNotNull(), F.array(found[0])).otherwise(all_names)
 
 
+def _holds(ids: Column, alternatives: list[str]) -> Column:
+    """Whether one of the alternatives of a rule holds for a sequence of names.
+
+    Single names are looked up; longer ones are followed through the sequence by
+    a fold whose state is the number of names met, so that time and depth do not
+    depend on what stands between them."""
+
+    def after(steps: list[str], never: str):
+        def step(at: Column, name: Column) -> Column:
+            out = F.when(name == F.get(F.array(*map(F.lit, steps)), at), at + 1)
+            return (out.when((at == len(steps)) & (name == never), at - 1) if never else out).otherwise(at)
+
+        return step
+
+    singles = [a for a in alternatives if " " not in a]
+    tests = [F.arrays_overlap(ids, F.array(*map(F.lit, singles)))] if singles else []
+    for a in alternatives:
+        if a in singles:
+            continue
+        steps, never = [x for x in a.split() if x[0] != "!"], a.partition("!")[2]
+
+        every = reduce(lambda x, y: x & y, [F.array_contains(ids, x) for x in steps])
+        tests.append(every & (F.aggregate(ids, F.lit(0), after(steps, never)) == len(steps)))
+    return reduce(lambda x, y: x | y, tests)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, sentence_ids, licenses, n_sentences, n_unmatched`` per row.
 
@@ -200,10 +241,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = base.select("doc_id", F.transform("s", lambda s: F.struct(one(s).alias("n"), _matches(s, GATE).alias("gate"))).alias("s"))
     named = named.select("doc_id", F.flatten(F.transform("s", lambda x: x["n"])).alias("ids"), F.size(F.filter("s", lambda x: x["gate"] & (F.size(x["n"]) == 0))).alias("unmatched"))
     sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    strong = F.array_compact(F.array(*[F.when(F.col("sequence").rlike(pattern), F.lit(name)) for name, pattern in RULES if name not in WEAK]))
+    strong = F.array_compact(F.array(*[F.when(_holds(F.col("ids"), held), F.lit(name)) for name, held in RULES if name not in WEAK]))
     tags = F.array_distinct(F.transform(F.filter("ids", lambda x: x.startswith("Spdx:")), lambda x: _canonical(F.substring(x, 6, 200))))
     known = F.array_distinct(F.concat(strong, tags))
-    weak = F.when(F.col("sequence").rlike(dict(RULES)["Proprietary"]), "Proprietary").when(F.col("sequence").rlike(" UnknownLicense | SeeLicense "), "Unknown")
+    weak = F.when(_holds(F.col("ids"), dict(RULES)["Proprietary"]), "Proprietary").when(_holds(F.col("ids"), ["UnknownLicense", "SeeLicense"]), "Unknown")
     return (
         named.withColumn("sequence", F.when(F.size("ids") > 0, sequence))
         .withColumn("licenses", F.when(F.size(known) > 0, F.array_join(known, ",")).otherwise(weak))
@@ -239,7 +280,14 @@ def scan_sql() -> str:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
     family = lambda f: "case " + " ".join(f"when regexp_matches(s, {quote(p)}) then {quote(n)}" for n, p in f) + " end"
     refusal, rest = family(SENTENCES["refusal"]), ", ".join(family(f) for k, f in SENTENCES.items() if k != "refusal")
-    rules = ", ".join(f"case when regexp_matches(sequence, {quote(p)}) then {quote(n)} end" for n, p in RULES if n not in WEAK)
+
+    def holds(alternative: str) -> str:
+        order, _, never = alternative.partition(" !")
+        out = f"regexp_matches(sequence, {quote(' ' + ' .*'.join(order.split()) + ' ')})"
+        return out + (f" and not contains(regexp_extract(sequence, {quote('.* ' + order.split()[-1] + ' (.*)')}, 1), {quote(never)})" if never else "")
+
+    rule = lambda held: " or ".join(f"({holds(a)})" for a in held)
+    rules = ", ".join(f"case when {rule(held)} then {quote(n)} end" for n, held in RULES if n not in WEAK)
     spdx = "map {" + ", ".join(f"{quote(n.lower())}: {quote(n)}" for n in SPDX) + "}"
     return f"""
 with broken as (
@@ -260,6 +308,6 @@ known as (
   select *, list_concat(list_filter([{rules}], lambda x: x is not null), list_transform(list_filter(ids, lambda x: starts_with(x, 'Spdx:')), lambda x: coalesce({spdx}[substr(x, 6)], substr(x, 6)))) as ls from ruled)
 select d.doc_id, trim(sequence) as sentence_ids,
   case when sequence is null then null when len(ls) > 0 then (select string_agg(l, ',' order by first) from (select l, min(p) as first from (select unnest(ls) as l, generate_subscripts(ls, 1) as p) group by l))
-    when regexp_matches(sequence, {quote(dict(RULES)['Proprietary'])}) then 'Proprietary' when regexp_matches(sequence, ' UnknownLicense | SeeLicense ') then 'Unknown' end as licenses,
+    when {rule(dict(RULES)['Proprietary'])} then 'Proprietary' when {rule(['UnknownLicense', 'SeeLicense'])} then 'Unknown' end as licenses,
   cast(coalesce(len(ids), 0) as bigint) as n_sentences, cast(coalesce(unmatched, 0) as bigint) as n_unmatched
 from documents d left join known k on k.doc_id = d.doc_id"""

@@ -194,10 +194,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that are not the first of their class.
-
-    All columns stay. Rows with a null id stay.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, **options) -> DataFrame:
+    """``docs`` without the rows that are not the first of their class, all columns kept.
+
+    Rows are told apart by ``row_col``, a column of ``docs`` that is unique, not
+    null and the same at every reading; without one they are numbered as they
+    are written once. So ids may be null or repeat: each row is judged by its own
+    text. Of a class the row with the smallest id stays (a null id comes last),
+    of equal ids the one with the smallest row number. Rows without words stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    source = docs.withColumn("__row", F.col(row_col)) if row_col else written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = near_duplicates(source, "__row", text_col, **options).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    known = written(named.join(source.select("__row", F.col(id_col).cast("long").alias("id")), "__row"), "named")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"))
+    # a table of its own, one row for each class, so that a class of very many copies can be split between tasks
+    first = written(known.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.row").alias("first")), "first")
+    gone = known.join(first, "component_id").where("__row <> first").select(F.col("__row").alias("__gone"))
+    return source.join(gone, source["__row"] == gone["__gone"], "left_anti").drop("__row")

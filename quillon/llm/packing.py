@@ -31,7 +31,8 @@ class ByteTokenizer:
     """Ids of a byte-level BPE file, as bytes of little-endian uint32.
 
     The vocabulary is read from the ``tokenizers`` JSON file; its merge ranks
-    are its ids. A text of single blanks and line feeds between words is looked
+    are its ids. The file's added tokens are found in texts first, as the
+    tokenizer does. A text of single blanks and line feeds between words is looked
     up word by word, which the pre-tokeniser's pattern allows because it never
     joins what stands on both sides of a blank; any other text is encoded whole.
     """
@@ -39,24 +40,28 @@ class ByteTokenizer:
     def __init__(self, content: bytes):
         import tiktoken
 
-        model = json.loads(content)["model"]
+        file = json.loads(content)
+        model = file["model"]
         letters = byte_letters()
         ranks = {}
         for piece, i in model["vocab"].items():
             if all(c in letters for c in piece):
                 ranks[bytes(letters[c] for c in piece)] = i
+        self.added = {x["content"]: x["id"] for x in file.get("added_tokens", ())}
         # the pattern of the file's ByteLevel pre-tokeniser (fixed value)
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.core = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.core = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
         self.first, self.later = _Cache(self, ""), _Cache(self, " ")
         self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.core.encode_ordinary(text), np.uint32).astype("<u4").tobytes()
+        return np.array(self.core.encode(text, allowed_special="all"), np.uint32).astype("<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self.whole(text)
         plain = text.replace("\n", "")
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or len(plain.split()) != plain.count(" ") + 1:
             return self.whole(text)
