@@ -38,8 +38,8 @@ def safe_file_name(value: Column) -> Column:
 
 
 def citation_key(value: Column) -> Column:
-    """G6."""
-    return F.concat(F.lit("S"), F.regexp_replace(value, r"[^A-Za-z0-9]", ""))
+    """S and the DOI in lower case, an underscore for each character that is no letter or digit."""
+    return F.concat(F.lit("S"), F.regexp_replace(F.lower(F.trim(value)), "[^0-9a-z]", "_"))
 
 
 def doi_prefix(value: Column) -> Column:
@@ -74,18 +74,46 @@ def hrefs(html: Column, base: Column | None = None, hint: str | None = None) ->
     return out if base is None else F.array_distinct(F.transform(out, lambda x: absolute(x, base)))
 
 
+def _parts(address: Column) -> dict[str, Column]:
+    """Scheme with its colon, authority with its slashes, path, query with its mark, fragment with its mark."""
+    part = lambda i: F.regexp_extract(address, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
+    return dict(zip(("scheme", "host", "path", "query", "fragment"), map(part, range(1, 6)), strict=True))
+
+
+def _no_dots(path: Column) -> Column:
+    """A path without '.' and '..', folded over its segments with a stack; it cannot leave the root."""
+    kept = lambda acc: F.greatest(F.size(acc) - 1, F.lit(1))
+    step = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, kept(acc))).otherwise(F.concat(acc, F.array(s)))
+    segments = F.split(path, "/")
+    out = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step)
+    # a path that ends in dots is a folder
+    whole = F.concat(out, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.contains(path, F.lit("/.")), F.when(F.size(whole) == 1, "/").otherwise(F.array_join(whole, "/"))).otherwise(path)
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link as seen from a page."""
-    scheme, host = F.regexp_extract(base, r"^([a-z]+:)//", 1), F.regexp_extract(base, r"^[a-z]+://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^[a-z]+://[^?#]*/", 0)
+    """A link as seen from a page: '..' and '.' are resolved, '?q' and '#f' belong to the page itself, '' is the page.
+
+    An address with a scheme stays as it is."""
+    x, p = _parts(link), _parts(base)
+    folder = F.regexp_extract(p["path"], r"(?s)^(.*/)[^/]*$", 1)
+    joined = F.when(x["path"].startswith("/"), x["path"]).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), x["path"]))
+    path = F.when(x["path"] == "", p["path"]).otherwise(_no_dots(joined))
+    query = F.when((x["path"] == "") & (x["query"] == ""), p["query"]).otherwise(x["query"])
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(host, link))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(host), folder).otherwise(F.concat(host, F.lit("/"))), link))
+        F.when(x["scheme"] != "", link)
+        .when(x["host"] != "", F.concat(p["scheme"], x["host"], _no_dots(x["path"]), x["query"], x["fragment"]))
+        .otherwise(F.concat(p["scheme"], p["host"], path, query, x["fragment"]))
     )
 
 
+def base_of(html: Column, url: Column) -> Column:
+    """What the links of a page are relative to: its first ``<base href>``, as seen from its address, else that."""
+    href = F.regexp_extract(html, r"""(?i)<base\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    href = F.regexp_replace(href, r"""^["']|["']$""", "")
+    return F.when(href != "", absolute(href, url)).otherwise(url)
+
+
 _DOI_IN = r"(?i)\b10\.\d{4,9}/|doi\.org/"
 
 

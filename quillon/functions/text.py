@@ -121,10 +121,12 @@ def half_up(value: Column) -> Column:
 
 
 def header(line: Column) -> Column:
-    """The section that a short heading line names, else null; lines of prose are no headings."""
+    """The section that a short heading line names, else null; lines of prose are no headings.
+
+    A number of one or two levels, a Roman one or a letter up to H goes first; only the letter needs a mark."""
     bare = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+|\s+$", ""))
     prose = bare.rlike(r"\.\s+[a-z]") | bare.rlike(r":\s+\S{3,}")
-    t = F.regexp_replace(F.lower(bare), r"^(?:\d+(?:\.\d+)*[.)]?|[ivx]+[.)]|[a-z][.)])\s+", "")
+    t = F.regexp_replace(F.lower(bare), r"^(?:[0-9]{1,2}(?:\.[0-9]{1,2})?\s*[.)]?|[ivxlc]{1,5}\s*[.)]?|[a-h]\s*[.)])\s+", "")
     t = F.trim(F.regexp_replace(F.trim(t), r"[:.;]+$", ""))
     out = F.lit(None).cast("string")
     for name, pattern in reversed(vocab.SECTIONS):
@@ -230,11 +232,10 @@ def dehyphenate(value: Column) -> Column:
 
 
 def bib_escape(value: Column) -> Column:
-    """G44."""
-    out = F.coalesce(value, F.lit(""))
-    for c in "&%#_$":
-        out = F.replace(out, F.lit(c), F.lit("\\" + c))
-    return out
+    """Tags, braces and backslashes go, signs of TeX are escaped, a tilde and runs of white space are one blank."""
+    out = F.regexp_replace(F.replace(F.coalesce(value, F.lit("")), F.lit("&amp;"), F.lit("&")), r"<[^>]+>|[\\{}]", "")
+    out = F.regexp_replace(out, r"([&%$#_])", r"\\$1")
+    return F.trim(F.regexp_replace(out, r"(?U)[\s~]+", " "))
 
 
 def said_yes(value: Column) -> Column:

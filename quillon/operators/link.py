@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ident import canonical_doi
 from ..sources.store import materialised
 
 
@@ -80,6 +81,27 @@ def fallback_lookup(rows: DataFrame, table: DataFrame, first: tuple[str, str], s
     return out.withColumn(value, F.coalesce("__va", "__vb")).withColumn("matched_by", by).drop("__a", "__va", "__b", "__vb")
 
 
+def normal_title(title: Column) -> Column:
+    """Lower-case letters and digits with one blank between."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def matched_by_doi_or_title(rows: DataFrame, table: DataFrame, doi: str, title: str, value: str, order: str, least: int = 30) -> DataFrame:
+    """``value`` of the table's entry with the same DOI, else with the same normalised title; ``matched_by`` is doi, title or ''.
+
+    Both have columns ``doi`` and ``title``. Titles of fewer than ``least``
+    characters match nothing. Of entries with one DOI or title the first by
+    ``order`` counts, of equal orders the smallest value. DOIs are compared in
+    canonical form; blank ones match nothing."""
+    keyed = table.select(F.nullif(canonical_doi(F.col(doi)), F.lit("")).alias("__doi"), normal_title(F.col(title)).alias("__title"), F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("__e"))
+    first = lambda k: keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("__e").alias(f"{k}_e"))
+    asked = rows.withColumn("__doi", F.nullif(canonical_doi(F.col(doi)), F.lit(""))).withColumn("__title", normal_title(F.col(title)))
+    titles = first("__title").where(F.length("__title") >= least)
+    out = asked.join(first("__doi"), "__doi", "left").join(titles, "__title", "left")
+    by = F.when(F.col("__doi_e").isNotNull(), "doi").when(F.col("__title_e").isNotNull(), "title").otherwise("")
+    return out.withColumn("matched_by", by).withColumn(value, F.coalesce("__doi_e", "__title_e")["v"]).drop("__doi", "__title", "__doi_e", "__title_e")
+
+
 def positional_join(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:
     """Rows joined by position, only for keys with as many rows on both sides."""
     count = lambda d, n: d.groupBy(key).agg(F.count("*").alias(n))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+
 
 def registry(df: DataFrame, metrics: dict[str, Column], populations: dict[str, Column]) -> DataFrame:
     """counts of all metrics in all populations from one pass, one row per metric."""
@@ -16,6 +18,51 @@ def registry(df: DataFrame, metrics: dict[str, Column], populations: dict[str, C
     return row.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
 
 
+#: Kinds of metrics: which values of a field count. Of ``label`` each label of a list counts once for a row.
+METRIC_KINDS = ("rows", "eq", "ne", "in", "not_in", "true", "false", "reported", "absent", "nonempty", "empty", "prefix", "label", "distinct")
+
+
+def metric_table(df: DataFrame, metrics: DataFrame, populations: dict[str, Column], compare: tuple[str, str] | None = None) -> DataFrame:
+    """Metrics that are rows ``(metric, field, kind, argument)`` counted in all populations, one row each.
+
+    Rows of ``df`` become (field, value) cells, which are counted by value in one
+    aggregate; metrics then meet the counts of their field. So neither the plan
+    nor the passes over ``df`` grow with the number of metrics. Values are
+    compared as trimmed text, nulls as ''. The argument of ``in`` and ``not_in``
+    is a list by '|'. ``compare`` adds ``delta``, the second population less the
+    first. A field that ``df`` lacks, or an unknown kind, is an error."""
+    asked = metrics.agg(F.collect_set("field").alias("f"), F.collect_set("kind").alias("k")).first()
+    unknown = set(asked["f"]) - set(df.columns) | set(asked["k"]) - set(METRIC_KINDS)
+    if unknown:
+        raise ValueError(f"no such field or kind: {sorted(unknown)}")
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    cell = lambda c, form, v: F.struct(F.lit(c).alias("field"), F.lit(form).alias("form"), v.alias("value"))
+    as_label = lambda c: lambda x: cell(c, "label", x)
+    fields = sorted(asked["f"])
+    cells = [F.array(*[cell(c, "value", text(c)) for c in fields])] if fields else [F.array().cast("array<struct<field:string,form:string,value:string>>")]
+    listed = sorted(r["field"] for r in metrics.where("kind = 'label'").select("field").distinct().collect())
+    for c in listed:
+        labels = F.array_distinct(F.filter(F.transform(F.split(text(c), ";"), lambda x: F.trim(x)), lambda x: x != ""))
+        cells.append(F.transform(labels, as_label(c)))
+    names = list(populations)
+    marked = df.select(*[F.coalesce(p, F.lit(False)).alias(f"__{i}") for i, p in enumerate(populations.values())], F.explode(F.concat(*cells)).alias("c"))
+    counts = marked.groupBy("c.field", "c.form", "c.value").agg(*[F.count_if(f"__{i}").alias(f"__{i}") for i in range(len(names))])
+    value, low, a = F.col("value"), F.lower("value"), F.coalesce(F.col("argument"), F.lit(""))
+    absent = low.isin(*vocab.ABSENCE["statistics"])
+    tests = {
+        "rows": F.lit(True), "eq": value == a, "ne": value != a, "in": F.array_contains(F.split(a, r"\|"), value), "not_in": ~F.array_contains(F.split(a, r"\|"), value),
+        "true": low == "true", "false": low == "false", "reported": ~absent, "absent": absent, "nonempty": value != "", "empty": value == "", "prefix": value.startswith(a), "label": value == a, "distinct": F.lit(True),
+    }
+    hit = F.lit(False)
+    for kind, test in tests.items():
+        hit = F.when(F.col("kind") == kind, test).otherwise(hit)
+    form = F.when(F.col("kind") == "label", "label").otherwise("value")
+    joined = metrics.withColumn("form", form).join(counts, ["field", "form"], "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
+    total = lambda i: F.when(F.first("kind") == "distinct", F.count_if(F.col("hit") & (F.col(f"__{i}") > 0))).otherwise(F.sum(F.when(F.col("hit"), F.col(f"__{i}")).otherwise(0)))
+    out = joined.groupBy("metric").agg(*[total(i).cast("long").alias(n) for i, n in enumerate(names)])
+    return out.withColumn("delta", F.col(compare[1]) - F.col(compare[0])) if compare else out
+
+
 def crosstab(df: DataFrame, row: str, column: str, rows: list[str], columns: list[str]) -> DataFrame:
     """Counts on fixed axes; totals take in values beyond the axis."""
     some = df.where(F.col(row).isin(*rows))

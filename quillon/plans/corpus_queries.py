@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ident, text, vocab
-from ..operators import corpus, link
+from ..operators import corpus, link, validate
 from .catalog import query, table
 from .rule_queries import _deal
 
@@ -19,13 +19,14 @@ def reuse_split(spark, d):
 
 @query("""
 with f as (select doc_id, case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then 'short' end as t from documents), b as (select doc_id, case when doc_id % 4 = 0 then text when doc_id % 4 = 1 then '' end as t from documents)
-select case when length(b.t) >= 250 then 'original' when length(f.t) >= 250 then 'recovered' else 'none' end as provenance, count(*) as n, cast(coalesce(sum(length(case when length(b.t) >= 250 then b.t when length(f.t) >= 250 then f.t end)), 0) as bigint) as chars from b join f on f.doc_id = b.doc_id group by 1""")
+, v as (select b.t as b, f.t as f, length(trim(b.t, ' ' || chr(10))) >= 250 and len(regexp_split_to_array(trim(b.t, ' ' || chr(10)), '[ \n]+')) >= 30 as bv, length(trim(f.t, ' ' || chr(10))) >= 250 and len(regexp_split_to_array(trim(f.t, ' ' || chr(10)), '[ \n]+')) >= 30 as fv from b join f on f.doc_id = b.doc_id)
+select case when bv then 'original' when fv then 'recovered' else 'none' end as provenance, count(*) as n, cast(coalesce(sum(length(case when bv then b when fv then f end)), 0) as bigint) as chars from v group by 1""")
 def text_provenance(spark, d):
     """A document's own text, else a recovered one, with provenance."""
     docs = table(spark, d, "documents")
     b = docs.select("doc_id", F.expr("case when doc_id % 4 = 0 then text when doc_id % 4 = 1 then '' end").alias("t"))
     f = docs.select("doc_id", F.expr("case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then 'short' end").alias("t"))
-    out = corpus.merged_text(b, f, "doc_id", "t", lambda c: F.length(c) >= 250)
+    out = corpus.merged_text(b, f, "doc_id", "t", validate.long_enough)
     return out.groupBy("provenance").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars"))
 
 
