@@ -87,6 +87,18 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: What forgets the cache of a module, by the module's name.
+CACHES: dict = {}
+
+
+def forget_others(module: str) -> None:
+    """Workers live on and serve one operator after the other: only the one at work keeps its cache."""
+    for name, forget in CACHES.items():
+        if name != module:
+            forget()
+    release()
+
+
 def release() -> None:
     """Give freed memory of this worker back; it serves later stages, too."""
     pa.default_memory_pool().release_unused()
@@ -101,6 +113,7 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     out = to_arrow(df.sparkSession, schema)
 
     def run(batches):
+        forget_others(function.__module__)
         for batch in batches:
             for columns in function(batch):
                 yield pa.RecordBatch.from_arrays(

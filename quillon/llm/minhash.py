@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import CACHES, arrow_map, written
 from .graph import link, stars
 
 #: 240 minima in 40 bands of 6: a pair at similarity 0.8 shares no band with
@@ -30,6 +30,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES[__name__] = _words.clear
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:

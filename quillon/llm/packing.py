@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, to_arrow
+from .common import CACHES, forget_others, release, to_arrow
 
 #: Chunks whose ids a worker keeps.
 CACHE = 400_000
@@ -97,6 +97,7 @@ def byte_letters() -> dict[str, int]:
 
 
 _loaded: dict[bytes, ByteTokenizer] = {}
+CACHES[__name__] = _loaded.clear
 
 
 def tokenizer(content: bytes) -> ByteTokenizer:
@@ -243,6 +244,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
+        forget_others(__name__)
         encode = tokenizer(shared.value).encode
         packer = Packer(window, TaskContext.get().partitionId() << 40, shortest=shortest)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, html, langid, license, linededup, minhash, packing, ppm, toxicity
+from . import decontaminate, embedding, html, langid, license, linededup, lloyd, minhash, packing, pii, ppm, toxicity, variants
 from .common import table
 
 
@@ -58,7 +58,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_html_extraction, op4_packing, op5_license_scan, op6_language_id, op7_toxicity, op8_lm_scoring, op9_embedding_dedup, op10_decontamination)}
+def op11_pii_bootstrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_html_extraction, op4_packing, op5_license_scan, op6_language_id, op7_toxicity, op8_lm_scoring, op9_embedding_dedup, op10_decontamination, op11_pii_bootstrapping, op12_spelling_variants, op13_centroid_clustering)}
 
 _COMPONENTS = """
 reach as (
@@ -152,4 +164,4 @@ nodes as (select distinct a as id from both_ways),
 select v.vec_id, (select count(*) from both_ways w where w.a = v.vec_id) as n_links, coalesce(c.component, v.vec_id) as component_id, coalesce(c.component, v.vec_id) = v.vec_id as kept
 from embeddings v left join component c on c.id = v.vec_id"""
 
-SQL = {"op1_minhash_dedup": _OP1, "op2_line_dedup": _OP2, "op5_license_scan": license.scan_sql(), "op9_embedding_dedup": _OP9}
+SQL = {"op1_minhash_dedup": _OP1, "op2_line_dedup": _OP2, "op5_license_scan": license.scan_sql(), "op9_embedding_dedup": _OP9, "op12_spelling_variants": variants.group_sql(), "op13_centroid_clustering": lloyd.cluster_sql()}
