@@ -26,15 +26,32 @@ def words(value: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
 
 
+#: Characters that most texts hold, looked for one by one where distinct ones are counted.
+_COMMON = "abcdefghijklmnopqrstuvwxyz0123456789 .,"
+
+
+def _variety(low: Column) -> Column:
+    """How many distinct characters: the common ones are looked for, only the others are split apart."""
+    common = F.lit(0)
+    for c in _COMMON:
+        common = common + F.contains(low, F.lit(c)).cast("int")
+    rest = F.translate(low, _COMMON, "")
+    return common + F.when(rest == "", 0).otherwise(F.size(F.array_distinct(F.split(rest, ""))))
+
+
 def quality_score(value: Column) -> Column:
     """Length, words and variety, less a penalty for damaged characters."""
-    s = clean(value)
     damaged = r"[ÃÂâ€žœ™“”–\x{fffd}]"
-    count = lambda p: F.regexp_count(s, F.lit(p))
-    weird = count(r"\x{fffd}") * 10 + count(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") * 5 + count(damaged) * 2
-    variety = F.size(F.array_distinct(F.split(F.lower(s), "")))
-    score = F.length(s) + 3 * F.size(words(s)) + 0.5 * variety - 200 * weird / F.greatest(F.length(s), F.lit(1))
-    return F.when(F.length(s) > 0, score.cast("double")).otherwise(0.0)
+
+    def of(s: Column) -> Column:
+        count = lambda p: F.regexp_count(s, F.lit(p))
+        weird = count(r"\x{fffd}") * 10 + count(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") * 5 + count(damaged) * 2
+        variety = F.transform(F.array(F.lower(s)), _variety)[0]
+        score = F.length(s) + 3 * F.regexp_count(s, F.lit(WORD)) + 0.5 * variety - 200 * weird / F.greatest(F.length(s), F.lit(1))
+        return F.when(F.length(s) > 0, score.cast("double")).otherwise(0.0)
+
+    # an array of one element binds the cleaned text once for all parts of the score
+    return F.transform(F.array(clean(value)), of)[0]
 
 
 def text_class(value: Column, ok: int = 5000, ocr: int = 300, alpha: float = 0.55) -> Column:

@@ -119,21 +119,40 @@ def union_first(streams: list[DataFrame], key: str) -> DataFrame:
     return all_rows.groupBy(key).agg(F.min(F.struct("stream", *rest)).alias("__m")).select(key, "__m.*")
 
 
+#: Distinct hashes of probes up to which they are sent to every task.
+SENT_HASHES = 500_000
+
+
 def contains_blocked(texts: DataFrame, probes: DataFrame, text_id: str, text: str, probe_id: str, probe: str, words: int = 8) -> DataFrame:
     """Which texts contain which probes, blocked on hashes of word runs.
 
-    A probe is known by its first ``words`` words; a text offers all its runs of
-    that length. Only pairs with an equal run are tested with ``contains``."""
+    A probe is known by its first ``words`` words, or by all if it has fewer,
+    which must stand as whole words in the text; a text offers all its runs of
+    those lengths. Only pairs with an equal run are tested with ``contains``.
+    Where the probes are few (counted first), their hashes are sent to the tasks
+    and no run of a text leaves its task without one; else runs are shuffled. An
+    empty or null probe is in no text."""
 
-    def runs(c: Column) -> Column:
-        # the outer transform binds the words once for all runs
-        def of(ws: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, words), " ")))
+    def run(ws: Column, at: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), F.array_join(F.slice(ws, at, n), " "))
 
-        return F.transform(F.array(F.split(c, " ")), of)[0]
-
-    p = probes.select(probe_id, probe, F.xxhash64(F.array_join(F.slice(F.split(probe, " "), 1, words), " ")).alias("__h"))
+    def runs(c: Column, n: int) -> Column:
+        # the outer transform binds the words once for all runs
+        some = lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: run(ws, i, n))).otherwise(F.array().cast("array<long>"))
+        return F.transform(F.array(F.split(c, " ")), some)[0]
+
+    known = probes.where(F.coalesce(F.col(probe), F.lit("")) != "").select(probe_id, probe, F.split(probe, " ").alias("__w")).withColumn("__n", F.least(F.size("__w"), F.lit(words)))
+    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())  # ``words`` of them at most
+    if not lengths:
+        return texts.select(text_id, F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id)).limit(0)
+    key = F.lit(None).cast("long")
+    for n in lengths:
+        key = F.when(F.col("__n") == n, run(F.col("__w"), F.lit(1), n)).otherwise(key)
+    p = known.withColumn("__h", key).select(probe_id, probe, "__h")
+    few = p.select("__h").distinct().limit(SENT_HASHES + 1).count() <= SENT_HASHES
     # only hashes travel; texts are fetched by id for the pairs that are left
-    h = texts.select(text_id, F.explode(F.array_distinct(runs(F.col(text)))).alias("__h"))
+    h = texts.select(text_id, F.explode(F.array_distinct(F.concat(*[runs(F.col(text), n) for n in lengths]))).alias("__h"))
+    if few:
+        h = h.join(F.broadcast(p.select("__h").distinct()), "__h", "left_semi")
     pairs = h.join(p, "__h").select(text_id, probe_id, probe).distinct()
     return texts.select(text_id, text).join(pairs, text_id).where(F.contains(F.col(text), F.col(probe))).select(text_id, probe_id).distinct()

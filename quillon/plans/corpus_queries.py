@@ -359,10 +359,10 @@ def even_pages(spark, d):
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("page", "char_start", "char_end")])
 
 
-@query("select l_orderkey || '_' || l_linenumber || '_' || p as task_id, p as pass from lineitem, (values ('A'), ('B')) t(p) where l_orderkey % 20 = 0")
+@query("select l_orderkey || '_' || l_linenumber || '_' || p as task_id, p as pass from lineitem, (values ('A'), ('B')) t(p)")
 def task_manifest(spark, d):
     """A task for each paper, chunk and pass."""
-    return corpus.manifest(table(spark, d, "lineitem").where("l_orderkey % 20 = 0"), ["A", "B"], "l_orderkey", "l_linenumber").select("task_id", "pass")
+    return corpus.manifest(table(spark, d, "lineitem"), ["A", "B"], "l_orderkey", "l_linenumber").select("task_id", "pass")
 
 
 @query("""
@@ -423,12 +423,12 @@ def garbled_texts(spark, d):
 
 
 @query(r"""
-with s as (select doc_id, text, substr(text, 9, 40) as q from documents), f as (select doc_id, trim(regexp_replace(lower(coalesce(case doc_id % 3 when 0 then upper(q) when 1 then replace(q, ' ', '') else q || ' zzz' end, '')), '\s+', ' ', 'g')) as q, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) as t from s where not regexp_matches(q, '[^\x00-\x7f]'))
+with s as (select doc_id, text, substr(text, 9, 40) as q from documents), f as (select doc_id, trim(regexp_replace(lower(coalesce(case doc_id % 3 when 0 then translate(q, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 1 then replace(q, ' ', '') else q || ' zzz' end, '')), '\s+', ' ', 'g')) as q, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) as t from s)
 select doc_id, (q <> '' and contains(t, q)) or (length(regexp_replace(q, '[^a-z0-9]+', '', 'g')) >= 15 and contains(regexp_replace(t, '[^a-z0-9]+', '', 'g'), regexp_replace(q, '[^a-z0-9]+', '', 'g'))) as grounded from f""")
 def link_grounding(spark, d):
     """Quotes found with white space and case folded, or by letters and digits alone."""
-    s = table(spark, d, "documents").withColumn("q", F.substring("text", 9, 40)).where(~F.col("q").rlike(r"[^\x00-\x7f]"))
-    q = F.when(F.col("doc_id") % 3 == 0, F.upper("q")).when(F.col("doc_id") % 3 == 1, F.replace("q", F.lit(" "), F.lit(""))).otherwise(F.concat("q", F.lit(" zzz")))
+    s = table(spark, d, "documents").withColumn("q", F.substring("text", 9, 40))
+    q = F.when(F.col("doc_id") % 3 == 0, F.translate("q", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(F.col("doc_id") % 3 == 1, F.replace("q", F.lit(" "), F.lit(""))).otherwise(F.concat("q", F.lit(" zzz")))
     return s.select("doc_id", text.grounded_link(q, F.col("text")).alias("grounded"))
 
 

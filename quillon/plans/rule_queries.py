@@ -131,12 +131,12 @@ def label_agreement(spark, d):
 
 
 @query(r"""
-with s as (select doc_id, text, substr(text, 12, 40) as q from documents where length(text) >= 60),
+with s as (select doc_id, text, substr(text, 12, 40) as q from documents where text is not null),
 p as (select doc_id, text, q, strpos(text, q) as i from s)
-select doc_id, regexp_extract(substr(text, 1, i - 1), '[\p{L}\p{N}]*$') || q || regexp_extract(substr(text, i + length(q)), '^[\p{L}\p{N}]*') as snapped from p""")
+select doc_id, case when q = '' then '' else regexp_extract(substr(text, 1, i - 1), '[\p{L}\p{N}]*$') || q || regexp_extract(substr(text, i + length(q)), '^[\p{L}\p{N}]*') end as snapped from p""")
 def quote_snap(spark, d):
     """Quotes cut within words, widened."""
-    s = table(spark, d, "documents").where(F.length("text") >= 60).select("doc_id", "text", F.substring("text", 12, 40).alias("q"))
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.substring("text", 12, 40).alias("q"))
     return s.select("doc_id", text.snap_quote(F.col("q"), F.col("text")).alias("snapped"))
 
 

@@ -95,24 +95,24 @@ def abstract_validity_v2(spark, d):
 
 def _ground(spark, d, norm):
     docs = table(spark, d, "documents").select("doc_id", norm(F.col("text")).alias("t"))
-    probes = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(norm(F.col("text")), " "), 1, 8), " ").alias("p")).where(F.size(F.split("p", " ")) == 8)
+    probes = table(spark, d, "benchmark").select("item_id", norm(F.col("text")).alias("p"))
     hits = link.contains_blocked(docs, probes, "doc_id", "t", "item_id", "p", 8)
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query(r"""
 with t as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) || ' ' as t from documents),
-p as (select item_id, array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')), ' '), 1, 8), ' ') as p from benchmark)
-select item_id, count(*) as n_docs, min(doc_id) as first_doc from t join p on contains(t.t, ' ' || p.p || ' ') where len(string_split(p.p, ' ')) = 8 group by item_id""")
+p as (select item_id, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) as p from benchmark)
+select item_id, count(*) as n_docs, min(doc_id) as first_doc from t join p on contains(t.t, ' ' || p.p) where p.p <> '' group by item_id""")
 def grounding_exact(spark, d):
-    """Documents that hold the first eight words of a benchmark item."""
+    """Documents that hold the whole of a benchmark item."""
     return _ground(spark, d, lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r]+", " ")))
 
 
 @query(r"""
 with t as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as t from documents),
-p as (select item_id, array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 8), ' ') as p from benchmark)
-select item_id, count(*) as n_docs, min(doc_id) as first_doc from t join p on contains(t.t, ' ' || p.p || ' ') where len(string_split(p.p, ' ')) = 8 group by item_id""")
+p as (select item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as p from benchmark)
+select item_id, count(*) as n_docs, min(doc_id) as first_doc from t join p on contains(t.t, ' ' || p.p) where p.p <> '' group by item_id""")
 def grounding_relaxed(spark, d):
     """The same on letters and digits only."""
     return _ground(spark, d, text.loose)

@@ -35,3 +35,14 @@ def test_first_row_of_a_key_wins(spark):
     assert sorted(got, key=str) == sorted([(None, "none"), ("early", "k"), (None, "none"), ("no key", "t")], key=str)
     out = corpus.enriched(rows, [("source", table.select("k", "o", "v"))], "k", "o").where("k = 'a'").first()
     assert (out["v"], out["has_source"]) == ("early", True) and "o" not in out.asDict()
+
+
+def test_probes_of_any_length(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "two three"), (3, ""), (4, None), (5, "xtwo three")], "t int, text string").repartition(2)
+    probes = spark.createDataFrame([(1, "two three"), (2, "two three four five six seven eight nine"), (3, ""), (4, None), (5, "ten"), (6, "one two three four five six seven eight nine te"), (7, "three two")], "p int, probe string")
+    want = {(1, 1), (2, 1), (1, 2), (1, 5), (1, 6)}
+    for most in (500_000, 0):  # hashes are sent, or runs are shuffled
+        monkeypatch.setattr(link, "SENT_HASHES", most)
+        got = link.contains_blocked(texts, probes, "t", "text", "p", "probe")
+        assert {(r["t"], r["p"]) for r in got.collect()} == want
+    assert link.contains_blocked(texts, probes.limit(0), "t", "text", "p", "probe").count() == 0
