@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import corpus_queries, record_queries, rule_queries, table_queries, text_queries, verdict_queries  # noqa: E402, F401
+from . import corpus_queries, record_queries, rule_queries, table_queries, text_queries, value_queries, verdict_queries  # noqa: E402, F401
