@@ -117,9 +117,14 @@ def rescue_level(quote: Column, source: Column) -> Column:
 
 def jaccard(a: Column, b: Column, pattern: str = WORD) -> Column:
     """Overlap of the token sets; 0 if either is empty."""
-    x, y = F.array_distinct(words(F.lower(a), pattern)), F.array_distinct(words(F.lower(b), pattern))
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / F.size(F.array_union(x, y))).otherwise(0.0)
+    tokens = lambda c: F.array_distinct(words(F.lower(c), pattern))
+
+    def of(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["x"], p["y"]))
+        return F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), both / (F.size(p["x"]) + F.size(p["y"]) - both)).otherwise(0.0)
+
+    # an array of one element binds both sets once
+    return F.transform(F.array(F.struct(tokens(a).alias("x"), tokens(b).alias("y"))), of)[0]
 
 
 def first_int(value: Column) -> Column:

@@ -86,3 +86,19 @@ def agree(a: Column, b: Column, lenient: bool) -> Column:
     if not lenient:
         return F.array_sort(a) == F.array_sort(b)
     return F.arrays_overlap(a, b) | (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+
+
+def rating_pair(human: Column, other: Column, lenient: bool, one_sided: str = "exclude") -> Column:
+    """The labels ``(agreed, a, b)`` that a pair of label sets counts with; null if it does not count.
+
+    Sets that agree count with the other rater's smallest label on both sides,
+    sets that do not with the smallest of each. Where one side has no label the
+    pair is left out, or agrees with the label there is, or disagrees, as
+    ``one_sided`` says: exclude, agree or disagree."""
+    if one_sided not in ("exclude", "agree", "disagree"):
+        raise ValueError(f"one_sided is {one_sided!r}")
+    empty = lambda c: c == F.array(F.lit(EMPTY))
+    pair = lambda agreed, a, b: F.struct(F.lit(agreed).alias("agreed"), F.array_min(a).alias("a"), F.array_min(b).alias("b"))
+    there = F.when(empty(other), human).otherwise(other)
+    alone = {"exclude": F.lit(None), "agree": pair(True, there, there), "disagree": pair(False, human, other)}[one_sided]
+    return F.when(empty(human) != empty(other), alone).when(agree(human, other, lenient), pair(True, other, other)).otherwise(pair(False, human, other))

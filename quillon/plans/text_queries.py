@@ -66,7 +66,7 @@ def abstract_validity_v1(spark, d):
     rules = [
         ("empty", F.col("b") == ""),
         ("chars", F.length("b") < 250),
-        ("words", F.size(text.words(F.col("b"), word)) < 30),
+        ("words", F.regexp_count("b", F.lit(word)) < 30),
         ("abstract_is_title", (F.col("t") != "") & (F.contains(low_t, low_b) | (F.contains(low_b, low_t) & (F.length("b") < 2 * F.length("t"))))),
         ("title_jaccard", (F.col("t") != "") & (text.jaccard(F.col("t"), F.col("b"), word) >= 0.7)),
     ]

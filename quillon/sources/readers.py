@@ -8,17 +8,31 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ident import canonical_doi
+
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str], sep: str = ";") -> DataFrame:
-    """A1-A3, C4: every column a string, blanks as '', missing columns added."""
+    """A1, A2, C4: every column a string, blanks as '', missing columns added."""
     df = spark.read.csv(path, sep=sep, header=True, nullValue="\0", emptyValue="")
     out = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
     return df.select(*out, *[F.lit("").alias(c) for c in columns if c not in df.columns])
 
 
+def read_ragged(spark: SparkSession, path: str, names: list[str], sep: str = ",") -> DataFrame:
+    """A3: lines without a header and with more or fewer values than names; missing values are '', others trimmed, surplus ones go. Blank lines give no row."""
+    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, sep=sep, header=False, mode="PERMISSIVE")
+    return rows.select(*[F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n) for n in names])
+
+
+def first_identifier(*values: Column) -> Column:
+    """A4: the canonical form of the first value that is neither blank nor 'unavailable'; null if there is none."""
+    known = [F.when(~F.lower(F.trim(v)).isin("", "unavailable"), canonical_doi(v)) for v in values]
+    return F.coalesce(*known)
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """A5: ``value`` parsed as VARIANT; a bad line gives its first 300 characters as ``parse_error``."""
     rows = spark.read.text(path).where(F.trim("value") != "")

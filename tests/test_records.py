@@ -231,3 +231,26 @@ def test_located_abstracts_of_pages_have_no_markup(spark):
     from quillon.plans import catalog
 
     assert catalog.QUERIES["located_abstracts"](spark, SF).where("how <> 'none' and n_chars < 150").isEmpty()
+
+
+def test_ragged_lines_and_first_identifiers(spark, tmp_path):
+    from quillon.sources import readers
+
+    (tmp_path / "r.csv").write_text('http://a, Name \nhttp://b,"B, C",b.c.,more\n\nhttp://d\n')
+    got = [tuple(r) for r in readers.read_ragged(spark, str(tmp_path / "r.csv"), ["url", "name", "abbr"]).collect()]
+    assert got == [("http://a", "Name", ""), ("http://b", "B, C", "b.c."), ("http://d", "", "")]
+    rows = spark.createDataFrame([(" ", "unavailable", "https://doi.org/10.1/A"), (None, None, "Unavailable"), ("10.2/b", "x", None)], "a string, b string, c string")
+    assert [r[0] for r in rows.select(readers.first_identifier(*map(F.col, "abc"))).collect()] == ["10.1/a", None, "10.2/b"]
+
+
+def test_labels_of_rated_pairs(spark):
+    from quillon.operators import cells
+
+    empty = [cells.EMPTY]
+    df = spark.createDataFrame([(0, ["b", "a"], ["b"]), (1, ["c"], ["b", "a"]), (2, empty, ["x", "d"]), (3, empty, empty), (4, ["z"], empty)], "i int, h array<string>, o array<string>")
+    pairs = lambda lenient, side: [r[0] and tuple(r[0]) for r in df.orderBy("i").select(cells.rating_pair(F.col("h"), F.col("o"), lenient, side)).collect()]
+    assert pairs(True, "exclude") == [(True, "b", "b"), (False, "c", "a"), None, (True, "∅", "∅"), None]
+    assert pairs(False, "agree") == [(False, "a", "b"), (False, "c", "a"), (True, "d", "d"), (True, "∅", "∅"), (True, "z", "z")]
+    assert pairs(False, "disagree")[2] == (False, "∅", "d")
+    with pytest.raises(ValueError):
+        cells.rating_pair(F.col("h"), F.col("o"), True, "else")
