@@ -87,6 +87,20 @@ def align(pattern: str, text: str, most: int) -> int | None:
     return found if found <= most else None
 
 
+def begin_of(pattern: str, text: str) -> int:
+    """Where the substring of ``text`` with the least edits against ``pattern`` begins; the latest of equal ones.
+
+    Both are read from behind, where the best end is the beginning looked for."""
+    row = [0] * (len(text) + 1)
+    back = text[::-1]
+    for i, c in enumerate(reversed(pattern), 1):
+        new = [i]
+        for j, t in enumerate(back):
+            new.append(min(row[j] + (t != c), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return len(text) - row.index(min(row))
+
+
 class Block:
     """A block of benchmark items: long and short ones by q-grams, very short ones as lines."""
 
@@ -244,7 +258,7 @@ class Index:
                     return start, a + at, 0
                 cost = align(pattern, segment, e)
                 if cost is not None:
-                    return start, a, cost
+                    return start, a + begin_of(pattern, segment), cost
         return None
 
 
@@ -257,7 +271,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     an item of ``LEAST`` characters. A shorter item is found where it is a whole
     line of the document. Texts are compared in lower case with white space
     collapsed. ``n_chars`` is the extent of the shared q-grams around the match,
-    at least a window; positions count characters of the compared texts;
+    at least a window; positions count characters of the compared texts, and
+    ``doc_start`` is where the verified window or the first shared q-gram begins;
     ``edits`` are those of the verified window.
 
     The benchmark is the query set: it is taken in blocks of at most about

@@ -243,3 +243,17 @@ def test_clustering_edges(spark):
 
 def test_new_queries_are_registered():
     assert {"op11_pii_bootstrapping", "op12_spelling_variants", "op13_centroid_clustering"} <= set(queries.QUERIES)
+
+
+def test_a_match_is_reported_where_it_begins(spark):
+    from quillon.llm import decontaminate
+
+    item = "the passage that stands in the benchmark and is long enough to be found, whole"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = [item[:2] + "q" + item[3:], item[:30] + item[31:], item[:1] + "zz" + item[1:], item]
+    texts = ["words before it, some of them; " + c + " and after" for c in changed]
+    rows = decontaminate.find(frame(spark, texts), bench).collect()
+    # two characters were put in before the window in the third text
+    assert {r["doc_id"]: r["doc_start"] - r["item_start"] for r in rows} == {0: 31, 1: 31, 2: 33, 3: 31}
+    assert all(r["doc_start"] >= 31 for r in rows)
+    assert decontaminate.begin_of("abcdef", "xxabcxefyy") == 2 and decontaminate.begin_of("abc", "abc") == 0
