@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 from quillon.llm import lloyd, pii, queries, variants
@@ -257,3 +258,75 @@ def test_a_match_is_reported_where_it_begins(spark):
     assert {r["doc_id"]: r["doc_start"] - r["item_start"] for r in rows} == {0: 31, 1: 31, 2: 33, 3: 31}
     assert all(r["doc_start"] >= 31 for r in rows)
     assert decontaminate.begin_of("abcdef", "xxabcxefyy") == 2 and decontaminate.begin_of("abc", "abc") == 0
+
+
+# toxicity: the label model and the scorer, by enumeration and by formula
+
+
+def test_label_model_posterior_by_enumeration():
+    import itertools
+
+    from quillon.llm import toxicity
+
+    rng = np.random.RandomState(8)
+    n = 6000
+    y = rng.rand(n) < 0.3
+    # three independent voters, a copy of the first one that errs a little, and one that mostly abstains
+    say = lambda p1, p0: np.where(y, rng.rand(n) < p1, rng.rand(n) < p0).astype(int)
+    a, b, c = say(0.8, 0.1), say(0.7, 0.05), say(0.6, 0.2)
+    votes = np.stack([a, b, c, np.where(rng.rand(n) < 0.95, a, 1 - a), np.where(rng.rand(n) < 0.8, -1, say(0.9, 0.05))], axis=1).astype(np.int8)
+    labels = np.where(rng.rand(n) < 0.3, y.astype(int), -1)
+    model = toxicity.LabelModel(votes, labels)
+    # the copy and its original depend on each other
+    assert model.parent[3] == 0 or model.parent[0] == 3
+
+    def joint(v, cls):
+        p = model.prior if cls else 1 - model.prior
+        for j, x in enumerate(v):
+            if x >= 0:
+                q = model.rate[j, cls, v[model.parent[j]] + 1 if model.parent[j] >= 0 else 0]
+                p *= q if x else 1 - q
+        return p
+
+    every = list(itertools.product((-1, 0, 1), repeat=5))
+    got = model.posterior(np.array(every, np.int8))
+    for v, p in zip(every, got, strict=True):
+        assert abs(p - joint(v, 1) / (joint(v, 0) + joint(v, 1))) < 1e-9
+    # who speaks does not depend on the class: what the others say sums to the prior
+    for who in itertools.product((False, True), repeat=5):
+        said = [v for v in every if all((x >= 0) == s for x, s in zip(v, who, strict=True))]
+        assert abs(sum(joint(v, 1) for v in said) - model.prior) < 1e-9 and abs(sum(joint(v, 0) for v in said) - 1 + model.prior) < 1e-9
+    # the voters' rates are found, with few labels
+    assert abs(model.prior - 0.3) < 0.05
+    for j, (p1, p0) in enumerate([(0.8, 0.1), (0.7, 0.05), (0.6, 0.2)]):
+        if model.parent[j] < 0:
+            assert abs(model.rate[j, 1, 0] - p1) < 0.07 and abs(model.rate[j, 0, 0] - p0) < 0.07
+    right = ((model.posterior(votes) > 0.5) == y).mean()
+    assert right > 0.9
+
+
+def test_toxicity_scores_by_formula(spark):
+    from quillon.llm import toxicity
+
+    d = spark.read.parquet(SF + "/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    texts = {r["id"]: r["text"] for r in d.collect()}
+    scorer = toxicity.Scorer([])
+    rng = np.random.RandomState(9)
+    weights = rng.normal(size=4 * scorer.size + 4) / 3
+    terms = [{f"={w}" for w in words.split()} for words in toxicity.LEXICON.values()]
+    for r in toxicity.score(d, scorer, weights).collect():
+        text = (texts[r["id"]] or "").lower()
+        tokens = text.split()
+        hits = np.zeros(scorer.size)
+        for token in tokens:
+            for w in toxicity._LETTERS.findall(token):
+                for g, group in enumerate(terms):
+                    hits[len(scorer.mined) + g] += sum(f in group for f in toxicity.features_of(w))
+        for j, p in enumerate(toxicity._PATTERN_LIST):
+            hits[len(scorer.mined) + len(terms) + j] = len(p.findall(text))
+        z, n = weights[-1], len(tokens)
+        for i, c in enumerate(hits):
+            z += weights[4 * i] * (c >= 1) + weights[4 * i + 1] * (c >= 2) + weights[4 * i + 2] * (c >= 4) + weights[4 * i + 3] * (min(1.0, 20 * c / max(n, 20)) if c else 0)
+        z += weights[-4] * min(2.0, (hits > 0).sum() / 10) + weights[-3] * min(2.0, 20 * hits.sum() / max(n, 20)) + weights[-2] * min(2.0, np.log1p(n) / 5)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    assert len(texts) == 200
