@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, for both matchers.
-BLANK = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+from . import vocab
+
+BLANK = vocab.WHITE
 _LETTER = r"[\p{L}\p{N}_]"
 #: Characters of an abstract behind a heading, of a text without a stop, of a paragraph that may serve, and of what is taken of it.
 LEAST, MOST, OPEN_END, PARAGRAPH, TAKEN = 150, 6000, 4000, 250, 3000

@@ -66,7 +66,7 @@ def text_class(value: Column, ok: int = 5000, ocr: int = 300, alpha: float = 0.5
 def sanitize(value: Column) -> Column:
     """Tags, display formulas, commands and entities go."""
     out = F.coalesce(value, F.lit(""))
-    for pattern, by in ((r"<[^>]+>", " "), (r"\$\$[^$]+\$\$", " [formula] "), (r"\\[a-zA-Z]+\{[^}]*\}", " "), (r"&[a-z]+;", " "), (r"\s+", " ")):
+    for pattern, by in ((r"<[^>]+>", " "), (r"\$\$[^$]+\$\$", " [formula] "), (r"\\[a-zA-Z]+\{[^}]*\}", " "), (r"&[a-z]+;", " "), (vocab.WHITE + "+", " ")):
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 
@@ -76,7 +76,7 @@ def strip_html(value: Column) -> Column:
     out = F.regexp_replace(F.coalesce(value, F.lit("")), r"<[^>]+>", " ")
     for entity, by in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(by))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, vocab.WHITE + "+", " "))
 
 
 def strict(value: Column) -> Column:
@@ -177,7 +177,7 @@ def garbled(value: Column, least: int = 30) -> Column:
 
 def grounded_link(quote: Column, source: Column) -> Column:
     """Found with white space and case folded, or, from 15 letters and digits on, by these alone."""
-    flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), vocab.WHITE + "+", " ")))
     bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", "")
     return ((flat(quote) != "") & F.contains(flat(source), flat(quote))) | ((F.length(bare(quote)) >= 15) & F.contains(bare(source), bare(quote)))
 

@@ -230,7 +230,7 @@ def merge_by_kind(cells: DataFrame, keys: list[str], field: str, chunk: str, val
     others by the first that is there. ``chunk_id`` is merged, but for papers of one chunk, which stay as they are."""
     rank = F.create_map(*[F.lit(x) for i, g in enumerate(grades) for x in (g, i)])
     r = F.coalesce(F.try_element_at(rank, F.col(value)), F.lit(-1))
-    rows = cells.join(F.broadcast(kinds), field).where(F.col(value).isNotNull())
+    rows = cells.join(kinds, field).where(F.col(value).isNotNull())
     n = cells.groupBy(*keys).agg(F.count_distinct(chunk).alias("__n"))
     first = F.min(F.struct(chunk, value))[value]
     ordered = F.array_sort(F.collect_list(F.struct(chunk, value)))

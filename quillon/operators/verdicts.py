@@ -11,7 +11,7 @@ from .validate import errors
 
 def flat(value: Column) -> Column:
     """The form in which quotes and sources are compared: lower case, one blank for white space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[ \t\n\r\f\x0b]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), vocab.WHITE + "+", " "))
 
 
 def _category_errors(part: Column, name: str, title: Column, abstract: Column) -> list[tuple[str, Column]]:
@@ -122,7 +122,7 @@ def cell_errors(cells: DataFrame, registry: DataFrame, sources: DataFrame, key:
     quote has its own code, and a quote that is not found may be rescued
     (``rescued`` names how). ``registry(field, kind, allowed, low, high,
     requires_quote, derived)`` is a small table; derived fields are not checked."""
-    spec = F.broadcast(registry.where("not coalesce(derived, false)"))
+    spec = registry.where("not coalesce(derived, false)")
     rows = cells.join(spec, "field").join(sources.select(key, "text"), key, "left")
     wrong = value_error(F.col("kind"), F.col("value"), F.col("allowed"), F.col("low"), F.col("high"))
     as_text = F.try_variant_get("value", "$", "string")

@@ -424,7 +424,7 @@ def garbled_texts(spark, d):
 
 @query(r"""
 with s as (select doc_id, text, substr(text, 9, 40) as q from documents), f as (select doc_id, trim(regexp_replace(lower(coalesce(case doc_id % 3 when 0 then translate(q, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 1 then replace(q, ' ', '') else q || ' zzz' end, '')), '\s+', ' ', 'g')) as q, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) as t from s)
-select doc_id, (q <> '' and contains(t, q)) or (length(regexp_replace(q, '[^a-z0-9]+', '', 'g')) >= 15 and contains(regexp_replace(t, '[^a-z0-9]+', '', 'g'), regexp_replace(q, '[^a-z0-9]+', '', 'g'))) as grounded from f""")
+select doc_id, (q <> '' and contains(t, q)) or (length(regexp_replace(q, '[^a-z0-9]+', '', 'g')) >= 15 and contains(regexp_replace(t, '[^a-z0-9]+', '', 'g'), regexp_replace(q, '[^a-z0-9]+', '', 'g'))) as grounded from f""".replace(r"\s", vocab.WHITE))
 def link_grounding(spark, d):
     """Quotes found with white space and case folded, or by letters and digits alone."""
     s = table(spark, d, "documents").withColumn("q", F.substring("text", 9, 40))

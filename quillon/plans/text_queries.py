@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import ident, text
+from ..functions import ident, text, vocab
 from ..operators import link, segment
 from ..operators.validate import first_error
 from .catalog import query, table
@@ -135,14 +135,14 @@ def quote_status_ladder(spark, d):
 
 
 @query(r"""
-select page_id, length(s) as n_chars, md5(s) as digest from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\$\$[^$]+\$\$', ' [formula] ', 'g'), '\\[a-zA-Z]+\{[^}]*\}', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) as s from pages)""")
+select page_id, length(s) as n_chars, md5(s) as digest from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\$\$[^$]+\$\$', ' [formula] ', 'g'), '\\[a-zA-Z]+\{[^}]*\}', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) as s from pages)""".replace(r"[ \t\n\f\r\v]", vocab.WHITE))
 def sanitize_html(spark, d):
     """G7."""
     return table(spark, d, "pages").select("page_id", text.sanitize(F.col("html")).alias("s")).select("page_id", F.length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
 
 
 @query(r"""
-select page_id, length(s) as n_chars, md5(s) as digest from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\f\r\v]+', ' ', 'g')) as s from pages)""")
+select page_id, length(s) as n_chars, md5(s) as digest from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\f\r\v]+', ' ', 'g')) as s from pages)""".replace(r"[ \t\n\f\r\v]", vocab.WHITE))
 def html_strip(spark, d):
     """G9."""
     return table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("s")).select("page_id", F.length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
@@ -172,12 +172,17 @@ def link_canonical(spark, d):
     return _page_links(spark, d).groupBy("loc").agg(F.count("*").alias("n"))
 
 
-@query(_LINKS + "select loc, arg_min(href, page_id * 100000 + pos) as href, count(*) as occurrences, string_agg(distinct page_id, ',' order by page_id) as sources from canon group by loc")
+@query(_LINKS + "select loc, arg_min(href, {'p': page_id, 'i': pos}) as href, count(*) as occurrences, count(distinct page_id) as n_sources from canon group by loc")
 def link_dedupe(spark, d):
-    """By canonical locator; the first form stays, the pages that name it are gathered."""
-    links = _page_links(spark, d)
-    pages = F.array_join(F.transform(F.array_sort(F.collect_set("page_id")), lambda x: x.cast("string")), ",")
-    return links.groupBy("loc").agg(F.min_by("href", F.col("page_id") * 100000 + F.col("pos")).alias("href"), F.count("*").alias("occurrences"), pages.alias("sources"))
+    """By canonical locator; the first form stays, occurrences and the pages that name it are counted."""
+    by_page = _page_links(spark, d).groupBy("loc", "page_id").agg(F.count("*").alias("k"), F.min(F.struct("page_id", "pos", "href")).alias("first"))
+    return by_page.groupBy("loc").agg(F.min("first").alias("first"), F.sum("k").alias("occurrences"), F.count("*").alias("n_sources")).select("loc", "first.href", "occurrences", "n_sources")
+
+
+@query(_LINKS + "select loc, page_id, count(*) as occurrences from canon group by loc, page_id")
+def link_sources(spark, d):
+    """the pages that name each locator, a row for each, as a link may stand on all pages."""
+    return _page_links(spark, d).groupBy("loc", "page_id").agg(F.count("*").alias("occurrences"))
 
 
 _CLASS = r"""case when regexp_matches(loc, 'github\.com|gitlab\.com|zenodo\.org|figshare\.com|osf\.io|huggingface\.co') then 'author_deposit' when regexp_matches(loc, 'kaggle\.com|physionet\.org|cancerimagingarchive\.net') then 'public_portal'
