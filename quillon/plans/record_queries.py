@@ -282,14 +282,14 @@ _TITLES = """select {k} as k, case when {k} % 4 = 0 then null when {k} % 4 = 1 t
 with asked as ({_TITLES.format(k="p_partkey")}, p_name from part), entry as ({_TITLES.format(k="o_orderkey")}, o_custkey as item, o_orderdate as added from orders),
 n as (select k, item, added, case when trim(coalesce(doi, '')) <> '' then lower(trim(doi)) end as doi, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as title from entry),
 by_doi as (select doi, min({{'o': added, 'v': item}}) as e from n where doi is not null group by 1), by_title as (select title, min({{'o': added, 'v': item}}) as e from n where length(title) >= 30 group by 1)
-select a.k, coalesce(d.e, t.e).v as item, case when d.e is not null then 'doi' when t.e is not null then 'title' else '' end as matched_by
+select a.k, coalesce(coalesce(d.e, t.e).v, -1) as item, case when d.e is not null then 'doi' when t.e is not null then 'title' else '' end as matched_by
 from asked a left join by_doi d on d.doi = lower(trim(a.doi)) left join by_title t on t.title = trim(regexp_replace(lower(a.title), '[^a-z0-9]+', ' ', 'g'))""")
 def doi_or_title_match(spark, d):
     """Entries found by DOI, else by a title of thirty characters or more, the first by date."""
     parts, orders = table(spark, d, "part"), table(spark, d, "orders")
     asked = spark.sql(_TITLES.format(k="p_partkey").replace("{Long}", "{{Long}}") + " from {t}", t=parts)
     entries = spark.sql(_TITLES.format(k="o_orderkey").replace("{Long}", "{{Long}}") + ", o_custkey as item, o_orderdate as added from {t}", t=orders)
-    return link.matched_by_doi_or_title(asked, entries, "doi", "title", "item", "added").select("k", "item", "matched_by")
+    return link.matched_by_doi_or_title(asked, entries, "doi", "title", "item", "added").select("k", F.coalesce("item", F.lit(-1).cast("long")).alias("item"), "matched_by")
 
 
 @query("""
