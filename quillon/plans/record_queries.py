@@ -77,7 +77,7 @@ def standard_columns(spark, d):
         out = one if out is None else out.unionByName(one)
     h = out.withColumn("h", F.md5(F.concat_ws("|", "doi", *_WANTED)))
     return h.groupBy("origin", F.col("doi").startswith("10.").alias("found")).agg(
-        F.count("*").alias("n"), F.count_distinct("doi").alias("dois"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("long")).alias("digest")
+        F.count("*").alias("n"), F.count_distinct("doi").alias("dois"), stats.wrapped_sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("long")).alias("digest")
     )
 
 

@@ -254,3 +254,10 @@ def test_labels_of_rated_pairs(spark):
     assert pairs(False, "disagree")[2] == (False, "∅", "d")
     with pytest.raises(ValueError):
         cells.rating_pair(F.col("h"), F.col("o"), True, "else")
+
+
+def test_digest_sums_wrap(spark):
+    for values in ([5, -7], [2**63 - 1, 1], [-(2**63), -1], [2**47] * 70_000, [-(2**63)] * 3):
+        got = spark.createDataFrame([(v,) for v in values], "v long").agg(stats.wrapped_sum(F.col("v"))).first()[0]
+        assert got == (sum(values) + 2**63) % 2**64 - 2**63
+    assert spark.createDataFrame([(None,)], "v long").agg(stats.wrapped_sum(F.col("v"))).first()[0] is None
