@@ -46,3 +46,12 @@ def test_probes_of_any_length(spark, monkeypatch):
         got = link.contains_blocked(texts, probes, "t", "text", "p", "probe")
         assert {(r["t"], r["p"]) for r in got.collect()} == want
     assert link.contains_blocked(texts, probes.limit(0), "t", "text", "p", "probe").count() == 0
+
+
+def test_sources_of_a_locator_are_all_listed(spark, monkeypatch):
+    links = spark.range(10_000).select(F.lit("everywhere").alias("loc"), (F.col("id") % 5000).alias("page_id"), (F.col("id") % 3).cast("int").alias("pos"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("href"))
+    links = links.unionByName(spark.createDataFrame([("once", 12, 100_001, "late"), ("once", 13, 0, "next page"), ("once", 12, 7, "early")], "loc string, page_id long, pos int, href string"))
+    got = {r["loc"]: r for r in link.gathered(links, "loc", "page_id", "pos", "href").collect()}
+    assert got["everywhere"]["sources"] == ",".join(map(str, range(5000)))
+    assert (got["everywhere"]["occurrences"], got["everywhere"]["n_sources"], got["everywhere"]["href"]) == (10_000, 5000, "h0")
+    assert tuple(got["once"])[1:] == ("early", 3, "12,13", 2)
