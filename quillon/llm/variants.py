@@ -136,6 +136,10 @@ def near_pairs(words: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
     ``key_words`` words is first split by what a word is without one letter,
     which only words one edit apart share, so that no group is compared with
     itself beyond that size and none is cut.
+
+    Tables that grow with the words are shuffled: their files are small beside
+    the keys that come of them, and Spark would judge by the files and broadcast
+    all keys.
     """
     masked = written(_masked(words), "masks")
     keyed = masked.withColumn("k", F.explode(_keys(F.length("word")))).select("k.*", "word", "n", "m0", "m1", "m2")
@@ -151,7 +155,7 @@ def near_pairs(words: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
     columns = [F.col("word_a").alias("a"), F.col("n_a").alias("na"), F.col("word_b").alias("b"), F.col("n_b").alias("nb")]
     busy = not hot.isEmpty()
     a, b = _sides(keyed.join(hot, "key", "left_anti") if busy else keyed)
-    out = a.join(b, "key").where(fits & one).select(*columns)
+    out = a.join(b.hint("merge"), "key").where(fits & one).select(*columns)
     if not busy:
         return _verified(out)
     w = F.col("word")
@@ -159,7 +163,7 @@ def near_pairs(words: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
     rest = F.when(F.col("role") == "S", F.array(F.xxhash64(F.lit(-1), w))).otherwise(F.array_distinct(without))
     split = keyed.join(hot, "key", "left_semi").withColumn("key", F.explode(F.transform(rest, lambda r: F.xxhash64(F.col("key"), r))))
     a, b = _sides(split)
-    return _verified(out.unionByName(a.join(b, "key").where(fits & one).select(*columns)))
+    return _verified(out.unionByName(a.join(b.hint("merge"), "key").where(fits & one).select(*columns)))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     current = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         far = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        later = written(current.join(far, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        later = written(current.join(far.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         current = later.select("word", "root")
         if later.where("moved").isEmpty():
             return current
@@ -201,10 +205,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     pairs = written(near_pairs(words, key_words), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
     near = written(both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("nb")).alias("n"), F.col("b").alias("form"))).alias("best")), "near")
-    all_words = words.join(near, "word", "left").withColumn("is_form", -F.col("best.n") >= ratio * F.col("n"))
+    all_words = words.join(near.hint("merge"), "word", "left").withColumn("is_form", -F.col("best.n") >= ratio * F.col("n"))
     formed = written(all_words.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("is_form"), F.col("best.form")).alias("form"), F.when(F.col("is_form"), -F.col("best.n")).alias("form_n")), "forms")
     roots = _roots(formed.where("form is not null"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group_sql() -> str:

@@ -330,3 +330,20 @@ def test_toxicity_scores_by_formula(spark):
         z += weights[-4] * min(2.0, (hits > 0).sum() / 10) + weights[-3] * min(2.0, 20 * hits.sum() / max(n, 20)) + weights[-2] * min(2.0, np.log1p(n) / 5)
         assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
     assert len(texts) == 200
+
+
+def test_word_tables_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "letters letterz lettersx palettes palette " * 5) for i in range(3)], "doc_id long, text string")
+    # Spark's own threshold, however the session is set
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        words = spark.createDataFrame([("letters", 9), ("letterz", 1), ("lettersx", 1)], "word string, n long")
+        for df, rows in ((variants.near_pairs(words), 2), (variants.group(docs), None)):
+            plan = lambda: df._jdf.queryExecution().executedPlan().toString()  # noqa: B023, E731
+            assert "SortMergeJoin" in plan() and "BroadcastHashJoin" not in plan()
+            got = df.collect()
+            assert rows is None or len(got) == rows
+            assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
