@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ _LETTER = r"[\p{L}\p{N}_]"
 LEAST, MOST, OPEN_END, PARAGRAPH, TAKEN = 150, 6000, 4000, 250, 3000
 #: Characters behind a heading in which no stop counts.
 SAFE = 10
+#: Most places of a text are no blank; one range of characters tells so, the class of all blanks takes many steps.
+_AT_BLANK = "(?![!-~])"
 
 # Headings that begin and end an abstract, stamps of repositories, and what marks a block of authors.
 _BEGIN = "|".join(["{b}*".join("abstract"), "summary", "background"])
@@ -23,6 +27,9 @@ _CRUFT = [
     "this{b}+is{b}+(the{b}+)?(author|accepted|peer)", "take-down{b}+policy", "licens(e|ed){b}+under", "©{b}*[0-9]{{4}}",
 ]
 _AUTHORS = ["department{b}+of", "university", "institute{b}+of", "college{b}+of", "faculty{b}+of", "school{b}+of", "corresponding{b}+author", "{w}@({w}|[.])", "[0-9]{{5}}{b}*,{b}*[a-z]+{b}*,?{b}*[a-z]+"]
+# Lower-case words of which each part of the patterns above holds one; parts of numbers are known by five digits.
+_CRUFT_WORDS = ["citation", "please", "document", "publication", "this", "take-down", "licens", "©"]
+_AUTHOR_WORDS = ["department", "university", "institute", "college", "faculty", "school", "corresponding", "@"]
 
 
 def _any(parts: list[str]) -> str:
@@ -33,12 +40,12 @@ def begins(backtracking: bool) -> str:
     """A heading after a line feed, two blanks or nothing.
 
     For a backtracking matcher blanks are taken whole and only from their first one, so that long runs take linear time."""
-    lead = f"(?:^{BLANK}*+|(?<!{BLANK})(?:{BLANK}{{2,}}+|\\n))" if backtracking else f"(?:^{BLANK}*|{BLANK}{{2,}}|\\n)"
+    lead = f"(?:^{BLANK}*+|{_AT_BLANK}(?<!{BLANK})(?:{BLANK}{{2,}}+|\\n))" if backtracking else f"(?:^{BLANK}*|{BLANK}{{2,}}|\\n)"
     return f"(?i){lead}(?:{_BEGIN.format(b=BLANK)})(?:{BLANK}|[:.—–-])*"
 
 
 def stops(backtracking: bool) -> str:
-    lead = f"(?<!{BLANK})(?:{BLANK}{{2,}}+|\\n)" if backtracking else f"(?:{BLANK}{{2,}}|\\n)"
+    lead = f"{_AT_BLANK}(?<!{BLANK})(?:{BLANK}{{2,}}+|\\n)" if backtracking else f"(?:{BLANK}{{2,}}|\\n)"
     words = "|".join([*_WORDS, rf"[0-9]+\.?{{b}}*(?:{'|'.join(_NUMBERED)})"]).format(b=BLANK)
     return f"(?i){lead}(?:(?:{words})(?:[^\\p{{L}}\\p{{N}}_]|$)|(?:©{BLANK}*|doi:|received:){_LETTER})"
 
@@ -48,7 +55,7 @@ KEYWORDS = rf"(?i)^(keywords?|index{BLANK}+terms){BLANK}*[:—–-]{BLANK}*"
 
 
 def _flat(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(value, "-\n", ""), BLANK + "+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(value, "-\n", ""), _AT_BLANK + BLANK + "+", " "))
 
 
 def located(value: Column) -> Column:
@@ -81,14 +88,20 @@ def located(value: Column) -> Column:
     def headed(t: Column) -> Column:
         return bound(F.split(t, begins(True)), lambda parts: F.when(F.size(parts) > 1, bound(behind(parts), lambda f: ended(t, parts, f))))
 
+    def held(low: Column, words: list[str]) -> Column:
+        return reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words])
+
     def readable(p: Column) -> Column:
         commas, stops_ = F.regexp_count(p, F.lit(",")), F.regexp_count(p, F.lit(r"\."))
         shouted = (F.upper(p) == p) & (F.lower(p) != p)
-        return (F.length(p) >= PARAGRAPH) & (stops_ > 0) & ~shouted & ~p.rlike(AUTHORS) & ~p.rlike(CRUFT) & ~((commas > 8) & (stops_ < 3))
+        # patterns are tried only where a word stands that each of their parts holds
+        marked = bound(F.lower(p), lambda low: (held(low, _AUTHOR_WORDS) | p.rlike("[0-9]{5}")) & p.rlike(AUTHORS) | held(low, _CRUFT_WORDS) & p.rlike(CRUFT))
+        return (F.length(p) >= PARAGRAPH) & F.contains(p, F.lit(".")) & ~shouted & ~((commas > 8) & (stops_ < 3)) & ~marked
 
     def paragraph(t: Column) -> Column:
-        some = F.filter(F.transform(F.split(t, f"\n{BLANK}*\n"), _flat), readable)
-        return F.when(F.size(some) > 0, F.struct(F.left(some[0], F.lit(TAKEN)).alias("abstract"), F.lit("paragraph").alias("how")))
+        # once one is found, no other is looked at
+        first = F.aggregate(F.split(t, f"\n{BLANK}*\n"), F.lit(None).cast("string"), lambda a, p: F.when(a.isNotNull(), a).otherwise(bound(_flat(p), lambda f: F.when(readable(f), f))))
+        return bound(first, lambda f: F.when(f.isNotNull(), F.struct(F.left(f, F.lit(TAKEN)).alias("abstract"), F.lit("paragraph").alias("how"))))
 
     none = F.struct(F.lit("").alias("abstract"), F.lit("none").alias("how"))
     return bound(text, lambda t: F.coalesce(headed(t), paragraph(t), none))

@@ -18,3 +18,12 @@ def test_cells_are_not_dealt_out_by_field(spark):
     got = corpus.merge_by_kind(cells, ["k"], "field", "c", "v", kinds, [])
     assert "hashpartitioning(field" not in _plan(got)
     assert [tuple(r) for r in got.select("k", "field", "v", "chunk_id").collect()] == [(1, "a", "x; y", "merged")]
+
+
+def test_paragraphs_are_judged_until_one_is_found(spark):
+    plain = "Plain words of a paragraph, one after the other. " * 8
+    texts = [plain + "\n\n" + plain.upper(), "University of x\n" + plain + "\n \n" + plain, "a@b " + plain, "12345 , ab cd " + plain, "this  is the accepted " + plain, "this is it " + plain]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", abstracts.located(F.col("t")).alias("a"))
+    assert "filter(transform(split" not in _plan(df, "analyzed")
+    got = {r["i"]: (r["a"]["how"], r["a"]["abstract"][:7]) for r in df.collect()}
+    assert got == {0: ("paragraph", "Plain w"), 1: ("paragraph", "Plain w"), 2: ("none", ""), 3: ("none", ""), 4: ("none", ""), 5: ("paragraph", "this is")}
