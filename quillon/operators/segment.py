@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,32 +76,48 @@ def plan_pages(page_rows: DataFrame, key: str, ceiling: int, overlap: int = 1, s
 
     snap = sections is not None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page").reset_index(drop=True)
-        first, last, n = pdf.char_start.tolist(), pdf.char_end.tolist(), len(pdf)
-        breaks = [] if not snap or pdf["__breaks"][0] is None else sorted(pdf["__breaks"][0])
+    def planned(pages: list, first: list, last: list, breaks: list) -> list[tuple]:
+        n = len(pages)
         cost = lambda a, b: int(1600 * (b - a + 1) + 0.25 * (last[b] - first[a]))
 
         def end_of(i: int) -> int:
             j = i
             while j + 1 < n and cost(i, j + 1) <= ceiling:
                 j += 1
-            near = [b for b in breaks if last[j] - tail * (last[j] - first[i]) <= b <= last[j]]
-            if j == i or not near or (i == 0 and cost(0, n - 1) <= ceiling):
+            at = bisect_right(breaks, last[j]) - 1
+            if j == i or at < 0 or breaks[at] < last[j] - tail * (last[j] - first[i]) or (i == 0 and cost(0, n - 1) <= ceiling):
                 return j
-            home = next((k for k in range(i, j + 1) if first[k] <= near[-1] < last[k]), j + 1)
+            home = next((k for k in range(i, j + 1) if first[k] <= breaks[at] < last[k]), j + 1)
             return max(i, home - 1)
 
         out, i = [], 0
         while i < n:
             j = end_of(i)
-            out.append((pdf[key][0], len(out), int(pdf.page[i]), int(pdf.page[j]), cost(i, j)))
+            out.append((len(out), pages[i], pages[j], cost(i, j)))
             i = n if j + 1 >= n else max(i + 1, j + 1 - overlap)
-        return pd.DataFrame(out, columns=[key, "chunk", "page_start", "page_end", "est_tokens"])
-
+        return out
+
+    def run(batches):
+        for batch in batches:
+            given = [batch.column(c) for c in ("page", "char_start", "char_end", "breaks")]
+            keys, out = [], []
+            for k in range(batch.num_rows):
+                pages, first, last, breaks = [c[k].as_py() or [] for c in given]
+                rows = planned(pages, first, last, breaks)
+                keys += [k] * len(rows)
+                out += rows
+            numbers = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), *[pa.array(x, pa.int64()) for x in numbers]], names=[key, "chunk", "page_start", "page_end", "est_tokens"])
+
+    # one row for each document: tasks take many of them at once, not group by group
+    part = lambda c: F.transform("__pages", lambda x: x[c].cast("long")).alias(c)
+    docs = page_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "char_start", "char_end"))).alias("__pages"))
     if snap:
-        page_rows = page_rows.join(sections.groupBy(key).agg(F.collect_list("start").alias("__breaks")), key, "left")
-    return page_rows.groupBy(key).applyInPandas(run, f"{key} long, chunk long, page_start long, page_end long, est_tokens long")
+        docs = docs.join(sections.groupBy(key).agg(F.array_sort(F.collect_list(F.col("start").cast("long"))).alias("breaks")), key, "left")
+    else:
+        docs = docs.withColumn("breaks", F.lit(None).cast("array<long>"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), part("page"), part("char_start"), part("char_end"), "breaks")
+    return docs.mapInArrow(run, f"{key} long, chunk long, page_start long, page_end long, est_tokens long")
 
 
 def pack_units(units: DataFrame, key: str, order: str, source: str, text: str, images: str, image_limit: int, char_limit: int, overlap: int = 2000) -> DataFrame:

@@ -27,3 +27,11 @@ def test_paragraphs_are_judged_until_one_is_found(spark):
     assert "filter(transform(split" not in _plan(df, "analyzed")
     got = {r["i"]: (r["a"]["how"], r["a"]["abstract"][:7]) for r in df.collect()}
     assert got == {0: ("paragraph", "Plain w"), 1: ("paragraph", "Plain w"), 2: ("none", ""), 3: ("none", ""), 4: ("none", ""), 5: ("paragraph", "this is")}
+
+
+def test_runs_with_sections_are_planned_in_batches(spark):
+    df = catalog.QUERIES["pack_pages_sections"](spark, SF)
+    assert "InPandas" not in _plan(df) and "MapInArrow" in _plan(df)
+    pages = spark.createDataFrame([(d, p, p * 10, p * 10 + 10) for d in (1, None) for p in range(1, 5)], "doc long, page int, char_start int, char_end int")
+    got = segment.plan_pages(pages, "doc", 5000, sections=spark.createDataFrame([(1, 38)], "doc long, start long")).where("doc = 1").orderBy("chunk").collect()
+    assert [(r["page_start"], r["page_end"]) for r in got] == [(1, 2), (2, 4)]
