@@ -35,3 +35,10 @@ def test_runs_with_sections_are_planned_in_batches(spark):
     pages = spark.createDataFrame([(d, p, p * 10, p * 10 + 10) for d in (1, None) for p in range(1, 5)], "doc long, page int, char_start int, char_end int")
     got = segment.plan_pages(pages, "doc", 5000, sections=spark.createDataFrame([(1, 38)], "doc long, start long")).where("doc = 1").orderBy("chunk").collect()
     assert [(r["page_start"], r["page_end"]) for r in got] == [(1, 2), (2, 4)]
+
+
+def test_runs_are_planned_in_batches(spark):
+    assert "InPandas" not in _plan(catalog.QUERIES["pack_pages_budget"](spark, SF))
+    pages = spark.createDataFrame([(d, p, p * 10, p * 10 + 10) for d in (1, None) for p in range(1, 5)], "doc long, page int, char_start int, char_end int")
+    got = {(r["doc"], r["chunk"], r["page_start"], r["page_end"]) for r in segment.plan_pages(pages, "doc", 5000).collect()}
+    assert got == {(d, *run) for d in (1, None) for run in ((0, 1, 3), (1, 3, 4))}
