@@ -158,8 +158,10 @@ def rebuild(df: DataFrame, key: str, order: str, body: str, sep: str = "\f") ->
 
 
 def inverted_text(df: DataFrame, key: str, index: str, last_wins: bool = False) -> DataFrame:
-    """The text of a map from words to positions; where two words claim a position the first or the last of the map stays."""
-    words = df.select(key, F.posexplode(F.map_entries(index)).alias("__i", "__e")).select(key, "__i", F.col("__e.key").alias("__w"), F.explode("__e.value").alias("__p"))
-    pick = F.max_by("__w", "__i") if last_wins else F.min_by("__w", "__i")
-    placed = words.groupBy(key, "__p").agg(pick.alias("__w"))
-    return placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__w"))), lambda x: x["__w"]), " ").alias("text"))
+    """The text of a map from words to positions; where two words claim a position the first or the last of the map stays.
+
+    All of it happens inside a map's row, without a shuffle; an empty or null map gives no row."""
+    # arrays of one element bind a value once for all that use it
+    entries = F.transform(F.map_entries(index), lambda e, i: F.transform(F.coalesce(e["value"], F.array()), lambda p: F.struct(p.alias("p"), (-i if last_wins else i).alias("i"), e["key"].alias("w"))))
+    text = F.transform(F.array(F.sort_array(F.flatten(entries))), lambda xs: F.array_join(F.transform(F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["p"] != x["p"])), lambda x: x["w"]), " "))[0]
+    return df.where(F.cardinality(index) > 0).select(key, text.alias("text"))

@@ -286,7 +286,8 @@ def jaccard_pairs(spark, d):
 select doc_id, length(s) as n_chars, md5(s) as digest from (select doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) as s from documents)""")
 def inverted_index_text(spark, d):
     """Texts rebuilt from maps of words to positions."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), " ")).alias("p", "w"))
+    # dealt out by document before texts become words: the aggregates below then need no shuffle
+    words = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     t = segment.inverted_text(index, "doc_id", "index")
     return t.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))

@@ -42,3 +42,10 @@ def test_runs_are_planned_in_batches(spark):
     pages = spark.createDataFrame([(d, p, p * 10, p * 10 + 10) for d in (1, None) for p in range(1, 5)], "doc long, page int, char_start int, char_end int")
     got = {(r["doc"], r["chunk"], r["page_start"], r["page_end"]) for r in segment.plan_pages(pages, "doc", 5000).collect()}
     assert got == {(d, *run) for d in (1, None) for run in ((0, 1, 3), (1, 3, 4))}
+
+
+def test_texts_are_shuffled_once(spark):
+    assert _plan(catalog.QUERIES["inverted_index_text"](spark, SF)).count("Exchange ") == 1
+    maps = spark.createDataFrame([(1, {"a": [2, 0], "b": [1, 2]}), (2, {}), (3, None)], "d int, m map<string,array<int>>")
+    assert "Exchange" not in _plan(segment.inverted_text(maps, "d", "m"))
+    assert [tuple(r) for r in segment.inverted_text(maps, "d", "m").collect()] == [(1, "a b a")]
