@@ -89,7 +89,17 @@ def strict(value: Column) -> Column:
 
 def relaxed(value: Column) -> Column:
     """The strict form's letters a-z, digits and blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(strict(value), r"[^a-z0-9 ]", ""), r" +", " "))
+    return _letters(strict(value))
+
+
+def _letters(value: Column) -> Column:
+    """What the relaxed form keeps of the strict one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(value, r"[^a-z0-9 ]", ""), r" +", " "))
+
+
+def bound(value: Column, function) -> Column:
+    """``function`` of a value that is worked out once, by an array of one element, for all that use it."""
+    return F.transform(F.array(value), function)[0]
 
 
 def loose(value: Column) -> Column:

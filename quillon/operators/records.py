@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ident import citation_key
-from ..functions.text import bib_escape, strip_html
+from ..functions.text import bib_escape, bound, strip_html
 from ..sources.store import materialised
 
 FIELDS = ("Title", "Authors", "Affiliations", "Journal", "PublicationYear", "Abstract", "Keywords", "ManuscriptLink")
@@ -41,10 +41,8 @@ def _first(*values: Column) -> Column:
 
 def _joined(values: Column) -> Column:
     """Values in order, each once whatever its case, by semicolons."""
-    some = F.filter(F.transform(values, flat), lambda v: v != "")
-    folded = F.transform(some, lambda v: F.lower(v))
-    once = F.filter(some, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
-    return F.array_join(once, "; ")
+    once = lambda some: bound(F.transform(some, lambda v: F.lower(v)), lambda folded: F.filter(some, lambda v, i: F.array_position(folded, F.get(folded, i)) == i + 1))
+    return F.array_join(bound(F.filter(F.transform(values, flat), lambda v: v != ""), once), "; ")
 
 
 def year_of(record: Column, *paths: str) -> Column:
@@ -104,7 +102,7 @@ def _inverted(r: Column) -> Column:
     entries = F.map_entries(F.coalesce(at(r, "$.abstract_inverted_index", "map<string,array<int>>"), F.create_map().cast("map<string,array<int>>")))
     placed = F.flatten(F.transform(entries, lambda e, i: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
     order = F.array_sort(F.filter(placed, lambda x: x["p"] >= 0))
-    first = F.filter(order, lambda x, i: (i == 0) | (F.get(order, i - 1)["p"] != x["p"]))
+    first = bound(order, lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["p"] != x["p"])))
     return flat(F.array_join(F.transform(first, lambda x: x["w"]), " "))
 
 

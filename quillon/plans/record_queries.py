@@ -112,7 +112,9 @@ def parsed_records(spark, d):
     unpaywall = cat('{"best_oa_location":', F.when(v < 4, cat('{"url_for_pdf":null,"url":"http://best/', k, '"}')).otherwise("null"), ',"oa_locations":[{"url":""},{"url_for_pdf":"http://other/', k, '"}]}')
     s = F.col("p_partkey") % 5
     record = F.when(s == 0, csl).when(s == 1, crossref).when(s == 2, openalex).when(s == 3, s2).otherwise(unpaywall)
-    df = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.try_parse_json(record).alias("r"))
+    # a small file gives many records: they are dealt out before the work begins
+    parts = table(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    df = parts.select(F.col("p_partkey").alias("k"), F.try_parse_json(record).alias("r"))
     return records.parsed(df, "r").drop("r")
 
 

@@ -49,3 +49,9 @@ def test_texts_are_shuffled_once(spark):
     maps = spark.createDataFrame([(1, {"a": [2, 0], "b": [1, 2]}), (2, {}), (3, None)], "d int, m map<string,array<int>>")
     assert "Exchange" not in _plan(segment.inverted_text(maps, "d", "m"))
     assert [tuple(r) for r in segment.inverted_text(maps, "d", "m").collect()] == [(1, "a b a")]
+
+
+def test_values_are_folded_once(spark):
+    df = spark.createDataFrame([(["A", "b ", None, "a", "B", "", "c"],)], "xs array<string>").select(records._joined(F.col("xs")).alias("j"))
+    assert _plan(df, "analyzed").count("regexp_replace") == 1
+    assert df.first()["j"] == "A; b; c"
