@@ -120,9 +120,17 @@ def rescue_level(quote: Column, source: Column) -> Column:
     """R1 rejoins hyphenation, R2 drops outer punctuation, R3 keeps letters and digits only."""
     rejoined = F.regexp_replace(source, r"-\s*\n\s*", "-")
     bare = F.regexp_replace(quote, r"^\p{P}+|\p{P}+$", "")
-    bare_of = lambda s: F.replace(relaxed(s), F.lit(" "), F.lit(""))
-    has = lambda s, q: (strict(q) != "") & F.contains(strict(s), strict(q))
-    return F.when(has(source, quote), "R0").when(has(rejoined, quote), "R1").when(has(rejoined, bare), "R2").when((bare_of(quote) != "") & F.contains(bare_of(rejoined), bare_of(quote)), "R3").otherwise("unverified")
+    bare_of = lambda s: F.replace(_letters(s), F.lit(" "), F.lit(""))
+    has = lambda s, q: (q != "") & F.contains(s, q)
+
+    # each form is worked out once, and only where the levels before it fail
+    def letters(p: Column) -> Column:
+        return F.when(has(p["s"], p["q"]), "R3").otherwise("unverified")
+
+    def later(r: Column, q: Column) -> Column:
+        return F.when(has(r, q), "R1").when(bound(strict(bare), lambda b: has(r, b)), "R2").otherwise(bound(F.struct(bare_of(r).alias("s"), bare_of(q).alias("q")), letters))
+
+    return bound(strict(quote), lambda q: F.when(has(strict(source), q), "R0").otherwise(bound(strict(rejoined), lambda r: later(r, q))))
 
 
 def jaccard(a: Column, b: Column, pattern: str = WORD) -> Column:
@@ -197,6 +205,11 @@ def longest_fragment(quote: Column, source: Column) -> Column:
 
     For each first word the run grows as long as it is found, so a quote of n
     words takes at most 2n tests: the next start keeps the length reached."""
+    return bound(F.struct(relaxed(quote).alias("q"), relaxed(source).alias("s")), lambda x: _fragment(x["q"], x["s"]))
+
+
+def _fragment(quote: Column, source: Column) -> Column:
+    """:func:`longest_fragment` of relaxed forms."""
 
     def grow(words: Column, s: Column) -> Column:
         start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("best"))
@@ -211,22 +224,25 @@ def longest_fragment(quote: Column, source: Column) -> Column:
         end = F.aggregate(F.sequence(F.lit(1), 2 * F.size(words) + 1), start, step)
         return F.array_join(F.slice(words, end["at"] + 1, end["best"]), " ")
 
-    # the outer transforms bind words and source once
-    return F.transform(F.array(F.struct(F.filter(F.split(relaxed(quote), " "), lambda w: w != "").alias("w"), relaxed(source).alias("s"))), lambda x: grow(x["w"], x["s"]))[0]
+    return bound(F.filter(F.split(quote, " "), lambda w: w != ""), lambda words: grow(words, source))
 
 
 def rescue_quote(value: Column, quote: Column, source: Column) -> Column:
     """``(quote, kind)`` of a quote that is not found whole: its longest run of at least five words and twenty
     characters, else the value itself from four characters on, or from twelve without blanks; else null."""
-    run = longest_fragment(quote, source)
-    tokens, bare = relaxed(value), F.replace(relaxed(value), F.lit(" "), F.lit(""))
     named = ~is_absent(value, "refill")
     pair = lambda q, kind: F.struct(q.alias("quote"), F.lit(kind).alias("kind"))
-    return (
-        F.when((F.size(F.split(run, " ")) >= 5) & (F.length(run) >= 20), pair(run, "fragment"))
-        .when(named & (F.length(tokens) >= 4) & F.contains(relaxed(source), tokens), pair(value, "value_token"))
-        .when(named & (F.length(bare) >= 12) & F.contains(F.replace(relaxed(source), F.lit(" "), F.lit("")), bare), pair(value, "value_token_nospace"))
-    )
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+
+    def found(x: Column, run: Column) -> Column:
+        return (
+            F.when((F.size(F.split(run, " ")) >= 5) & (F.length(run) >= 20), pair(run, "fragment"))
+            .when(named & (F.length(x["v"]) >= 4) & F.contains(x["s"], x["v"]), pair(value, "value_token"))
+            .when(named & (F.length(bare(x["v"])) >= 12) & F.contains(bare(x["s"]), bare(x["v"])), pair(value, "value_token_nospace"))
+        )
+
+    forms = F.struct(relaxed(quote).alias("q"), relaxed(source).alias("s"), relaxed(value).alias("v"))
+    return bound(forms, lambda x: bound(_fragment(x["q"], x["s"]), lambda run: found(x, run)))
 
 
 def holds_integer(value: Column, number: Column) -> Column:

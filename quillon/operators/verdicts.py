@@ -121,9 +121,10 @@ def cell_errors(cells: DataFrame, registry: DataFrame, sources: DataFrame, key:
     ``sources(key, text)``. Strictly, nothing comes from an image only, a missing
     quote has its own code, and a quote that is not found may be rescued
     (``rescued`` names how). ``registry(field, kind, allowed, low, high,
-    requires_quote, derived)`` is a small table; derived fields are not checked."""
+    requires_quote, derived)`` is a small table that is sent to all tasks; derived fields are not checked."""
     spec = registry.where("not coalesce(derived, false)")
-    rows = cells.join(spec, "field").join(sources.select(key, "text"), key, "left")
+    # dealt out by field, all cells would go to a few tasks
+    rows = cells.join(F.broadcast(spec), "field").join(sources.select(key, "text"), key, "left")
     wrong = value_error(F.col("kind"), F.col("value"), F.col("allowed"), F.col("low"), F.col("high"))
     as_text = F.try_variant_get("value", "$", "string")
     absent = F.col("value").isNull() | text.is_absent(F.lower(as_text), "refill" if strict else "validator")

@@ -55,3 +55,15 @@ def test_values_are_folded_once(spark):
     df = spark.createDataFrame([(["A", "b ", None, "a", "B", "", "c"],)], "xs array<string>").select(records._joined(F.col("xs")).alias("j"))
     assert _plan(df, "analyzed").count("regexp_replace") == 1
     assert df.first()["j"] == "A; b; c"
+
+
+def test_sources_are_relaxed_once(spark):
+    q = "one two three four five six"
+    df = spark.createDataFrame([("v", "zz " + q, "so " + q + "!"), ("Long Value", "zz", "a long-value"), ("nr", "zz", "nr")], "v string, q string, s string")
+    out = df.select(text.rescue_quote(F.col("v"), F.col("q"), F.col("s")).alias("r"))
+    assert _plan(out, "analyzed").count("coalesce(s#") == 1
+    assert [r["r"] and tuple(r["r"]) for r in out.collect()] == [(q, "fragment"), None, None]
+    cells, sources = spark.createDataFrame([(1, "f", "q")], "k int, field string, quote string"), spark.createDataFrame([(1, "q")], "k int, text string")
+    cells = cells.withColumn("value", F.parse_json(F.lit('"x"'))).withColumn("image_only", F.lit(False))
+    registry = spark.createDataFrame([("f", "text", None, None, None, True, False)], "field string, kind string, allowed array<string>, low long, high long, requires_quote boolean, derived boolean")
+    assert "hashpartitioning(field" not in _plan(verdicts.cell_errors(cells, registry, sources, "k"))
