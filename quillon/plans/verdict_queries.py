@@ -164,7 +164,9 @@ def subscreen_verdicts(spark, d):
         F.lit('", "confidence": "'), "confidence", F.lit('", "ionising_modality_quote": "'), "mq", F.lit('", "context_quote": "'), "cq", F.lit('"'), rest, F.lit("}"),
     )
     v = F.try_parse_json(F.when(F.col("event_id") % 41 == 0, F.lit("{")).otherwise(whole))
-    out = verdicts.subscreen_errors(v, F.expr(_SOURCE), F.col("event_id") % 17 != 0)
+    # columns of their own: each row's text is parsed once, not for every member that is read
+    e = e.select("event_id", v.alias("v"), F.expr(_SOURCE).alias("source"))
+    out = verdicts.subscreen_errors(F.col("v"), F.col("source"), F.col("event_id") % 17 != 0)
     return e.select("event_id", F.array_join(out, ";").alias("errors"))
 
 

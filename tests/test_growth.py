@@ -67,3 +67,7 @@ def test_sources_are_relaxed_once(spark):
     cells = cells.withColumn("value", F.parse_json(F.lit('"x"'))).withColumn("image_only", F.lit(False))
     registry = spark.createDataFrame([("f", "text", None, None, None, True, False)], "field string, kind string, allowed array<string>, low long, high long, requires_quote boolean, derived boolean")
     assert "hashpartitioning(field" not in _plan(verdicts.cell_errors(cells, registry, sources, "k"))
+
+
+def test_verdicts_are_parsed_once(spark):
+    assert _plan(catalog.QUERIES["subscreen_verdicts"](spark, SF), "optimizedPlan").count("parseJson") == 1
