@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 @dataclass(frozen=True)
 class Field:
@@ -29,10 +31,6 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _is_list(v: Column) -> Column:
-    return _kind(v).startswith("ARRAY")
-
-
 def _wrapped(v: Column) -> Column:
     return _kind(v).startswith("OBJECT")
 
@@ -40,7 +38,7 @@ def _wrapped(v: Column) -> Column:
 def _list(v: Column) -> Column:
     """An entry as a list of its items: a list's own, else the one, none of a missing one."""
     none = F.array().cast("array<variant>")
-    return F.when(_is_list(v), _get(v, "$", "array<variant>")).when(_kind(v) == "VOID", none).otherwise(F.array(v))
+    return bound(_kind(v), lambda kind: F.when(kind.startswith("ARRAY"), _get(v, "$", "array<variant>")).when(kind == "VOID", none).otherwise(F.array(v)))
 
 
 def scalar_text(v: Column) -> Column:
@@ -49,13 +47,13 @@ def scalar_text(v: Column) -> Column:
     has = lambda name: _get(v, f"$.{name}").isNotNull()
     person = F.regexp_replace(F.concat(text("$.family"), F.lit(", "), text("$.given")), "^[, ]+|[, ]+$", "")
     thing = F.when(has("family") | has("given"), person).when(has("metric_name"), F.concat(text("$.metric_name"), F.lit("="), text("$.value"))).otherwise(F.to_json(v))
-    kind = _kind(v)
-    return (
-        F.when(kind == "VOID", "")
+    return bound(
+        _kind(v),
+        lambda kind: F.when(kind == "VOID", "")
         .when(kind == "BOOLEAN", F.when(_get(v, "$", "boolean"), "TRUE").otherwise("FALSE"))
         .when(kind.startswith("OBJECT"), thing)
         .when(kind.startswith("ARRAY"), F.to_json(v))
-        .otherwise(_get(v, "$", "string"))
+        .otherwise(_get(v, "$", "string")),
     )
 
 
@@ -125,7 +123,8 @@ def flattened(df: DataFrame, record: str, ids: list[str], registry: list[Field])
         elif of[name].human:
             value = F.lit("")
         else:
-            value = value_and_quote(_get(r, f"$.passes['{of[name].part}']['{name}']"))[kind == "quote"]
+            entry = _get(r, f"$.passes['{of[name].part}']['{name}']")
+            value = bound(entry, (lambda e: value_and_quote(e)[1]) if kind == "quote" else (lambda e: value_and_quote(e)[0]))
         out.append(value.alias(column))
     return df.select(*out)
 

@@ -160,7 +160,7 @@ from orders left join (select l_orderkey, string_agg(case when l_linenumber % 2
 def flattened_fields(spark, d):
     """Nested entries as the flat columns that a registry asks for."""
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.when(F.col("l_linenumber") % 2 == 1, F.col("l_returnflag")).alias("value"), F.concat(F.lit("q"), F.col("l_linenumber").cast("string")).alias("quote"))
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["value"].alias("value"), x["quote"].alias("quote"))).alias("lines"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["value"].alias("value"), x["quote"].alias("quote"))).alias("lines"))
     o = table(spark, d, "orders").join(li, "o_orderkey", "left")
     m = F.col("o_orderkey") % 3
     cust = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))

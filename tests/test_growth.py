@@ -71,3 +71,9 @@ def test_sources_are_relaxed_once(spark):
 
 def test_verdicts_are_parsed_once(spark):
     assert _plan(catalog.QUERIES["subscreen_verdicts"](spark, SF), "optimizedPlan").count("parseJson") == 1
+
+
+def test_kinds_of_values_are_read_once(spark):
+    df = spark.sql("select parse_json('{\"a\": 1}') as v").select(flatten.scalar_text(F.col("v")).alias("t"))
+    assert _plan(df, "analyzed").count("schema_of_variant") == 1
+    assert df.first()["t"] == '{"a":1}'
