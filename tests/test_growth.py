@@ -77,3 +77,10 @@ def test_kinds_of_values_are_read_once(spark):
     df = spark.sql("select parse_json('{\"a\": 1}') as v").select(flatten.scalar_text(F.col("v")).alias("t"))
     assert _plan(df, "analyzed").count("schema_of_variant") == 1
     assert df.first()["t"] == '{"a":1}'
+
+
+def test_forms_of_a_quote_are_worked_out_once(spark):
+    rows = [("ab", "x ab"), ("a-b", "a-\nb"), ('"a-b"', "a-\nb"), ("a / b", "a b"), ("q", "a"), ("", "a"), (None, None)]
+    df = spark.createDataFrame(rows, "q string, s string").select(text.rescue_level(F.col("q"), F.col("s")).alias("l"))
+    assert _plan(df, "analyzed").count("coalesce(q#") == 1
+    assert [r["l"] for r in df.collect()] == ["R0", "R1", "R2", "R3", "unverified", "unverified", "unverified"]
