@@ -10,21 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import header
+from ..functions.text import bound, header
 
 
-def _offsets(parts: Column) -> Column:
-    """Where each part begins if each is followed by one more character; a running sum inside the row."""
+#: Running sums copy the list so far for each item; longer lists are summed block by block.
+_BLOCK = 256
+
+
+def _running(values: Column) -> Column:
+    """What a list sums up to before each item, ``out``, and in all, ``at``."""
     start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(parts, start, lambda s, p: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + F.length(p) + 1).alias("at")), lambda s: s["out"])
+    return F.aggregate(values, start, lambda s, x: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + x).alias("at")))
+
+
+def _offsets(lengths: Column) -> Column:
+    """Where each part begins if each is followed by one more character; running sums inside the row."""
+
+    def joined(blocks: Column) -> Column:
+        bases = _running(F.transform(blocks, lambda b: b["at"]))["out"]
+        return bound(bases, lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda x: x + base[i]))))
+
+    def summed(xs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(_BLOCK))
+        return F.when(F.size(xs) <= _BLOCK, _running(xs)["out"]).otherwise(bound(F.transform(firsts, lambda i: _running(F.slice(xs, i, _BLOCK))), joined))
+
+    return bound(F.transform(lengths, lambda n: n + 1), summed)
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with their number, character offset and whether a blank line or nothing comes before; no shuffle."""
-    split = df.select(key, F.split(text, "\n").alias("__l"))
+    split = df.where(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("__l"))
     before = F.concat(F.array(F.lit("")), F.slice("__l", 1, F.greatest(F.size("__l") - 1, F.lit(0))))
-    zipped = F.arrays_zip(F.col("__l").alias("line"), _offsets(F.col("__l")).alias("start"), before.alias("before"))
-    out = split.where("__l is not null").select(key, F.posexplode(zipped).alias("line_no", "x"))
+    zipped = F.arrays_zip(F.col("__l").alias("line"), _offsets(F.transform("__l", F.length)).alias("start"), before.alias("before"))
+    out = split.select(key, F.posexplode(zipped).alias("line_no", "x"))
     return out.select(key, "line_no", "x.line", "x.start", (F.trim(F.regexp_replace("x.before", r"\s+", " ")) == "").alias("before_blank"))
 
 
@@ -53,9 +71,10 @@ def sections(df: DataFrame, key: str, text: str, after_blank: bool = True) -> Da
 
 def pages(df: DataFrame, key: str, text: str, mark: str = "\f") -> DataFrame:
     """Pages with offsets; the mark belongs to the page before it; a last page of at most one character goes."""
-    parts = df.select(key, F.length(text).alias("total"), F.split(text, mark).alias("__p")).where("__p is not null")
-    out = parts.select(key, "total", F.posexplode(F.arrays_zip(F.col("__p").alias("body"), _offsets(F.col("__p")).alias("at"))).alias("page", "x")).select(key, "total", "page", F.col("x.at").alias("char_start"), F.col("x.body").alias("body"))
-    out = out.withColumn("char_end", F.least(F.col("char_start") + F.length("body") + 1, F.col("total")))
+    # lengths alone leave the row; a text has one part at least, so that the outer form only keeps Spark from working the list out again to test it
+    parts = df.where(F.col(text).isNotNull()).select(key, F.length(text).alias("total"), F.transform(F.split(text, mark), F.length).alias("__n"))
+    out = parts.select(key, "total", F.posexplode_outer(F.arrays_zip(F.col("__n").alias("n"), _offsets(F.col("__n")).alias("at"))).alias("page", "x")).select(key, "total", "page", F.col("x.at").alias("char_start"), F.col("x.n").alias("n"))
+    out = out.withColumn("char_end", F.least(F.col("char_start") + F.col("n") + 1, F.col("total")))
     return out.where((F.col("char_end") - F.col("char_start") > 1) | (F.col("page") == 0)).select(key, (F.col("page") + 1).alias("page"), "char_start", "char_end")
 
 
@@ -99,10 +118,11 @@ def plan_pages(page_rows: DataFrame, key: str, ceiling: int, overlap: int = 1, s
 
     def run(batches):
         for batch in batches:
-            given = [batch.column(c) for c in ("page", "char_start", "char_end", "breaks")]
+            # flat lists are turned into Python's numbers at once, not list by list
+            given = [(c.offsets.to_pylist(), c.values.to_pylist()) for c in map(batch.column, ("page", "char_start", "char_end", "breaks"))]
             keys, out = [], []
             for k in range(batch.num_rows):
-                pages, first, last, breaks = [c[k].as_py() or [] for c in given]
+                pages, first, last, breaks = [values[at[k] : at[k + 1]] for at, values in given]
                 rows = planned(pages, first, last, breaks)
                 keys += [k] * len(rows)
                 out += rows

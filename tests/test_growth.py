@@ -44,6 +44,18 @@ def test_runs_are_planned_in_batches(spark):
     assert got == {(d, *run) for d in (1, None) for run in ((0, 1, 3), (1, 3, 4))}
 
 
+def test_offsets_of_long_texts_are_summed_in_blocks(spark):
+    for n in (1, 255, 256, 257, 1000):
+        parts = ["x" * (k % 7 + 2) for k in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join(parts)), (2, None)], "d long, t string")
+        pages, lines = segment.pages(docs, "d", "t", "\n"), segment.lines(docs, "d", "t")
+        want = [sum(len(p) + 1 for p in parts[:k]) for k in range(n)]
+        assert [r["char_start"] for r in pages.orderBy("page").collect()] == want
+        assert [r["start"] for r in lines.orderBy("line_no").collect()] == want
+    assert "slice(" in _plan(pages, "optimizedPlan")
+    assert [_plan(df, "optimizedPlan").count("split(t#") for df in (pages, lines)] == [1, 1]
+
+
 def test_texts_are_shuffled_once(spark):
     assert _plan(catalog.QUERIES["inverted_index_text"](spark, SF)).count("Exchange ") == 1
     maps = spark.createDataFrame([(1, {"a": [2, 0], "b": [1, 2]}), (2, {}), (3, None)], "d int, m map<string,array<int>>")
