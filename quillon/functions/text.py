@@ -81,9 +81,18 @@ def strip_html(value: Column) -> Column:
 
 def strict(value: Column) -> Column:
     """G11 without compatibility folding: quotes, dashes, line-end hyphens, white space, case."""
-    t = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x{200b}-\x{200f}\x{feff}\x{00ad}\x{2060}]", "")
+    return _folded(_ascii_signs(F.coalesce(value, F.lit(""))))
+
+
+def _ascii_signs(t: Column) -> Column:
+    """Invisible signs go, quotes and dashes are those of ASCII."""
+    t = F.regexp_replace(t, r"[\x{200b}-\x{200f}\x{feff}\x{00ad}\x{2060}]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[\x{2018}-\x{201b}]", "'"), r"[\x{201c}-\x{201f}]", '"')
-    t = F.regexp_replace(F.regexp_replace(t, r"[\x{2010}-\x{2015}\x{2212}]", "-"), r"-\s*\n\s*", "")
+    return F.regexp_replace(t, r"[\x{2010}-\x{2015}\x{2212}]", "-")
+
+
+def _folded(t: Column) -> Column:
+    t = F.regexp_replace(t, r"-\s*\n\s*", "")
     return F.trim(F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
 
 
@@ -120,17 +129,21 @@ def rescue_level(quote: Column, source: Column) -> Column:
     """R1 rejoins hyphenation, R2 drops outer punctuation, R3 keeps letters and digits only."""
     rejoined = F.regexp_replace(source, r"-\s*\n\s*", "-")
     bare = F.regexp_replace(quote, r"^\p{P}+|\p{P}+$", "")
-    bare_of = lambda s: F.replace(_letters(s), F.lit(" "), F.lit(""))
+    bare_of = lambda s: F.regexp_replace(s, r"[^a-z0-9]+", "")
     has = lambda s, q: (q != "") & F.contains(s, q)
 
+    # the strict form; a text of ASCII alone has no signs to replace
+    def form(value: Column) -> Column:
+        return bound(F.coalesce(value, F.lit("")), lambda t: _folded(F.when(F.octet_length(t) == F.char_length(t), t).otherwise(_ascii_signs(t))))
+
     # each form is worked out once, and only where the levels before it fail
     def letters(p: Column) -> Column:
         return F.when(has(p["s"], p["q"]), "R3").otherwise("unverified")
 
     def later(r: Column, q: Column) -> Column:
-        return F.when(has(r, q), "R1").when(bound(strict(bare), lambda b: has(r, b)), "R2").otherwise(bound(F.struct(bare_of(r).alias("s"), bare_of(q).alias("q")), letters))
+        return F.when(has(r, q), "R1").when(bound(form(bare), lambda b: has(r, b)), "R2").otherwise(bound(F.struct(bare_of(r).alias("s"), bare_of(q).alias("q")), letters))
 
-    return bound(strict(quote), lambda q: F.when(has(strict(source), q), "R0").otherwise(bound(strict(rejoined), lambda r: later(r, q))))
+    return bound(form(quote), lambda q: F.when(has(form(source), q), "R0").otherwise(bound(form(rejoined), lambda r: later(r, q))))
 
 
 def jaccard(a: Column, b: Column, pattern: str = WORD) -> Column:

@@ -1,5 +1,7 @@
 """Work that must not grow faster than the input: how rows are dealt out, and what is worked out once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -96,3 +98,20 @@ def test_forms_of_a_quote_are_worked_out_once(spark):
     df = spark.createDataFrame(rows, "q string, s string").select(text.rescue_level(F.col("q"), F.col("s")).alias("l"))
     assert _plan(df, "analyzed").count("coalesce(q#") == 1
     assert [r["l"] for r in df.collect()] == ["R0", "R1", "R2", "R3", "unverified", "unverified", "unverified"]
+
+
+def test_signs_of_a_quote_are_replaced_only_where_there_are_any(spark):
+    deal = random.Random(5)
+    some = lambda n: "".join(deal.choice("aB1 -\n.\"'/ß’“‐−​­ İé") if deal.random() < 0.4 else deal.choice("ab -\n.") for _ in range(n))
+    rows = [(some(deal.randint(0, 5)), some(deal.randint(0, 40))) for _ in range(3000)] + [("a", None), (None, "a")]
+    q, s = F.col("q"), F.col("s")
+    rejoined, bare = F.regexp_replace(s, r"-\s*\n\s*", "-"), F.regexp_replace(q, r"^\p{P}+|\p{P}+$", "")
+    has = lambda f, s, q: (f(q) != "") & F.contains(f(s), f(q))
+    solid = lambda x: F.replace(text.relaxed(x), F.lit(" "), F.lit(""))
+    plain = F.when(has(text.strict, s, q), "R0").when(has(text.strict, rejoined, q), "R1").when(has(text.strict, rejoined, bare), "R2").when(has(solid, rejoined, q), "R3").otherwise("unverified")
+    df = spark.createDataFrame(rows, "q string, s string").select("q", "s", plain.alias("want"), text.rescue_level(q, s).alias("got"))
+    got = df.collect()
+    assert [r for r in got if r["want"] != r["got"]] == []
+    assert {r["got"] for r in got} == {"R0", "R1", "R2", "R3", "unverified"}
+    plan = _plan(df.select("got"), "optimizedPlan")
+    assert "octet_length" in plan and "[^a-z0-9 ]" not in plan
